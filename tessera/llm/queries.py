@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, pieces, secrets
+from . import langid, media, packing, pieces, quality, secrets, toxicity
+from .common import id_crc, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,30 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held(divisor: int, rest: int) -> Column:
+    """True for rows kept out of learning; false where the id is null."""
+    return F.coalesce(F.pmod(id_crc("doc_id"), F.lit(divisor)) == rest, F.lit(False))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(quality.document_statistics(table(spark, sf_dir, "documents")), "stats")
+    labels = table(spark, sf_dir, "labels").filter(~held(5, 0))
+    model = quality.learn(stats, labels, calibration=held(5, 4))
+    return quality.score(stats, model).select("doc_id", held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~held(4, 2)))
+    return langid.identify(docs, model).select("doc_id", held(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held(4, 2)))
+    return toxicity.score(docs, model).select("doc_id", held(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -38,6 +64,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op3_language": op3_language,
+        "op5_toxicity": op5_toxicity,
         "op6_pack": op6_pack,
         "op8_pieces": op8_pieces,
         "op9_media": op9_media,
