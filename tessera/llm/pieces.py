@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -50,7 +51,8 @@ class PieceModel:
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         skip = {i for i in range(len(self.text)) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.id_of = {p: i for i, p in enumerate(self.text) if i not in skip}
-        self.score = [sp.get_score(i) for i in range(len(self.text))]
+        self.rank = {p: -sp.get_score(i) for p, i in self.id_of.items()}
+        self.single = {p for p in self.id_of if len(p) == 1}
         if any(MARK in p.lstrip(MARK) for p in self.id_of):
             raise ValueError("a piece holds the marker behind another character")
         self.control = {i for i in skip if i not in self.byte_of}
@@ -58,13 +60,37 @@ class PieceModel:
         for p, i in self.id_of.items():
             self.matches.add_word(p[::-1], (len(p), i))
         self.matches.make_automaton()
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.longest = ahocorasick.Automaton()
+        for p, i in self.id_of.items():
+            self.longest.add_word(p, i)
+        self.longest.make_automaton()
+        self.inside = {a + b for p in self.id_of for a, b in zip(p, p[1:], strict=False)}
+        self.pair_ok: dict[int, bool] = {}
         self.known: dict[str, str] = {}  # segment: its ids, each behind a comma
         self.held = 0
         self.odd: dict[str, str] = {}  # segments that decode to another text
 
     def merge(self, chars: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, leftmost on ties."""
+        if len(chars) > 64:
+            return self._merge_long(chars)
+        part, get, none = list(chars), self.rank.get, math.inf
+        ranks = [get(a + b, none) for a, b in zip(part, part[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            part[i] += part.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(part[i - 1] + part[i], none)
+            if i < len(ranks):
+                ranks[i] = get(part[i] + part[i + 1], none)
+        return part
+
+    def _merge_long(self, chars: str) -> list[str]:
+        """The same with a heap, for segments of any length."""
         part: list[str | None] = list(chars)
         size = len(part)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -73,15 +99,15 @@ class PieceModel:
         def offer(a: int, b: int) -> None:
             if a >= 0 and b < size:
                 both = part[a] + part[b]
-                i = self.id_of.get(both)
-                if i is not None:
-                    heapq.heappush(heap, (-self.score[i], a, b, both))
+                rank = self.rank.get(both)
+                if rank is not None:
+                    heapq.heappush(heap, (rank, a, b, both))
 
         for i in range(size - 1):
             offer(i, i + 1)
         while heap:
             _, a, b, both = heapq.heappop(heap)
-            if part[a] is None or b >= size or part[b] is None or after[a] != b or part[a] + part[b] != both:
+            if part[a] is None or part[b] is None or after[a] != b or part[a] + part[b] != both:
                 continue
             part[a], part[b] = both, None
             after[a] = after[b]
@@ -91,72 +117,90 @@ class PieceModel:
             offer(a, after[a])
         return [p for p in part if p is not None]
 
-    def compatible(self, a: int, b: int) -> bool:
-        ok = self.pair_ok.get((a, b))
-        if ok is None:
-            if len(self.pair_ok) > 1_000_000:
-                self.pair_ok.clear()
-            left, right = self.text[a], self.text[b]
-            ok = self.pair_ok[a, b] = self.merge(left + right) == [left, right]
+    def _compatible(self, a: int, b: int) -> bool:
+        """May piece b stand behind piece a; a is -1 at the front."""
+        if len(self.pair_ok) > 1_500_000:
+            self.pair_ok.clear()
+        left, right = self.text[a] if a >= 0 else "", self.text[b]
+        ok = self.pair_ok[a << 20 | b] = self.merge(left + right) == ([left, right] if left else [right])
         return ok
 
     def segment_ids(self, segment: str) -> list[int]:
         id_of = self.id_of
-        if any(c not in id_of for c in segment):
+        if not self.single.issuperset(segment):
             ids: list[int] = []
             for p in self.merge(segment):
                 i = id_of.get(p)
                 ids += [i] if i is not None else [self.byte_id[b] for b in p.encode("utf-8", "replace")]
             return ids
-        size = len(segment)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, match in self.matches.iter(segment[::-1]):
-            starting[size - 1 - end].append(match)
-        for found in starting:
-            found.sort(reverse=True)
-        taken: list[tuple[int, int, int]] = []  # start, rank among the matches there, id
-        failed = bytearray(size + 1)
-        at, rank = 0, 0
-        while at < size:
-            found, step = starting[at], None
-            while rank < len(found):
-                length, i = found[rank]
-                if not failed[at + length] and (self.compatible(taken[-1][2], i) if taken else self.merge_is(i)):
-                    step = (at, rank, i)
-                    break
-                rank += 1
-            if step:
-                taken.append(step)
-                at, rank = at + found[rank][0], 0
+        pair_ok, compatible = self.pair_ok, self._compatible
+        greedy, before = [i for _, i in self.longest.iter_long(segment)], -1
+        for i in greedy:
+            ok = pair_ok.get(before << 20 | i)
+            if not (ok or ok is None and compatible(before, i)):
+                break
+            before = i
+        else:
+            if "".join([self.text[i] for i in greedy]) == segment:
+                return greedy  # the longest matches stand as they are
+        last = len(segment) - 1
+        starting: list[list[tuple[int, int]]] = [[] for _ in segment]
+        for end, match in self.matches.iter(segment[::-1]):  # at each place the longest one comes first
+            starting[last - end].append(match)
+        failed = bytearray(last + 2)  # positions that lead nowhere
+        ids, ranks, starts = [], [], []
+        at = rank = 0
+        before = -1
+        while at <= last:
+            found = starting[at]
+            for r in range(rank, len(found)):
+                length, i = found[r]
+                if not failed[at + length]:
+                    ok = pair_ok.get(before << 20 | i)
+                    if ok or ok is None and compatible(before, i):
+                        ids.append(i)
+                        ranks.append(r)
+                        starts.append(at)
+                        at, rank, before = at + length, 0, i
+                        break
             else:
                 failed[at] = 1
-                if not taken:
+                if not ids:
                     return [id_of[p] for p in self.merge(segment)]
-                at, rank, _ = taken.pop()
-                rank += 1
-        return [i for _, _, i in taken]
-
-    def merge_is(self, i: int) -> bool:
-        """The piece's own characters merge to it; -1 stands for no piece before."""
-        ok = self.pair_ok.get((-1, i))
-        if ok is None:
-            ok = self.pair_ok[-1, i] = self.merge(self.text[i]) == [self.text[i]]
-        return ok
+                ids.pop()
+                at, rank = starts.pop(), ranks.pop() + 1
+                before = ids[-1] if ids else -1
+        return ids
+
+    def _cut(self, segment: str) -> int:
+        """A place behind the last letter where no piece can span the cut; 0 if there is none."""
+        if segment.isalnum() or len(segment) > 64:
+            return 0
+        for k in range(len(segment) - 1, 0, -1):
+            if segment[k - 1].isalnum():
+                return k if k < len(segment) and segment[k - 1 : k + 1] not in self.inside else 0
+        return 0
 
     def segment(self, segment: str) -> str:
         """The ids of a segment as text, each behind a comma."""
         got = self.known.get(segment)
         if got is None:
-            ids = self.segment_ids(segment)
-            got = "".join([f",{i}" for i in ids])
+            cut = self._cut(segment)
+            if cut:
+                got = self.segment(segment[:cut]) + self.segment(segment[cut:])
+                ids = [int(i) for i in got[1:].split(",")] if self.odd else None
+            else:
+                ids = self.segment_ids(segment)
+                got = "".join([f",{i}" for i in ids])
             self.held += len(segment) + len(got)
             if len(self.known) >= CACHE_SEGMENTS or self.held > CACHE_CHARS:
                 self.known.clear()
                 self.odd.clear()
                 self.held = len(segment) + len(got)
             self.known[segment] = got
-            if (surface := self.surface(ids)) != segment.replace(MARK, " "):
-                self.odd[segment] = surface
+            if ids and "".join([self.text[i] for i in ids]) != segment:
+                if (surface := self.surface(ids)) != segment.replace(MARK, " "):
+                    self.odd[segment] = surface
         return got
 
     def digest(self, text: str) -> tuple[int, str, str]:
