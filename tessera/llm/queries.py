@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, pieces, quality, secrets, toxicity
+from . import html, langid, media, ngram_join, packing, pieces, quality, secrets, toxicity
 from .common import id_crc, written
 
 
@@ -34,6 +34,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.filter(~held(4, 2)))
@@ -65,7 +73,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_ngram_join": op2_ngram_join,
         "op3_language": op3_language,
+        "op4_html": op4_html,
         "op5_toxicity": op5_toxicity,
         "op6_pack": op6_pack,
         "op8_pieces": op8_pieces,
