@@ -264,9 +264,8 @@ class Index:
 
     def lists(self, tokens: np.ndarray, low: int, high: int) -> list[list[int]]:
         """Non-empty inverted lists of tokens within the rank window, shortest first."""
-        at = np.searchsorted(self.keys, tokens)
-        at = at[at < len(self.keys)] if len(self.keys) else at[:0]
-        at = at[np.isin(self.keys[at], tokens)]
+        at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+        at = at[self.keys[at] == tokens]
         out = []
         for a, b in zip(self.first[at].tolist(), self.ends[at].tolist(), strict=True):
             ranks = self.owner[a:b].tolist()
