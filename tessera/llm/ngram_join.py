@@ -48,7 +48,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -442,3 +442,21 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = every.join(written(known, "classes"), ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id.
+
+    Rows with a null id stay, as nothing links them; of rows that repeat an id
+    the one with the first text in order stays.
+    """
+    classes = written(join_components(docs, id_col=id_col, text_col=text_col), "components")
+    kept = written(classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept_id"), "kept")
+    key = F.col(f"`{id_col}`").cast("long")
+    out = docs.join(kept.filter("rows = 1"), key == F.col("__kept_id"), "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        again = docs.join(kept.filter("rows > 1"), key == F.col("__kept_id"), "left_semi")
+        first = Window.partitionBy(id_col).orderBy(text_col)
+        again = again.withColumn("__kept_row", F.row_number().over(first)).filter("__kept_row = 1").drop("__kept_row")
+        out = out.unionByName(again)
+    return out.unionByName(docs.filter(key.isNull()))

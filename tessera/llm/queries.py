@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, media, ngram_join, packing, pieces, quality, secrets, toxicity
+from . import html, langid, media, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
 from .common import id_crc, written
 
 
@@ -58,6 +58,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_report(table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html": op4_html,
         "op5_toxicity": op5_toxicity,
         "op6_pack": op6_pack,
+        "op7_quality_rules": op7_quality_rules,
         "op8_pieces": op8_pieces,
         "op9_media": op9_media,
         "op10_secrets": op10_secrets,
@@ -85,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality_rules.ORACLE_SQL}

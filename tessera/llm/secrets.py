@@ -159,3 +159,19 @@ def scan_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                     [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+
+
+def masked(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_chars", scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every span masked; ``size_col``, where there is one, follows the new text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index(size_col)
+            old = batch.column(at).to_pylist()
+            new = [redact(t, find_spans(t, scope)[1]) for t in old]
+            if size_at >= 0:
+                sizes = [len(n) if n is not None and n is not o else s for o, n, s in zip(old, new, batch.column(size_at).to_pylist(), strict=True)]
+                batch = batch.set_column(size_at, batch.schema.field(size_at), pa.array(sizes, batch.schema.field(size_at).type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
