@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 BITS = 22
-MAX_TRAIN = 16_000
+MAX_TRAIN = 14_000
 EPOCHS = 5
 RARE = 3  # coordinates of fewer training rows never get a weight
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
@@ -81,7 +81,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> ToxicityMo
     often = np.zeros(size, np.int32)
     for at, _ in rows:
         often[at] += 1
-    rows = [(at[often[at] >= RARE], y) for at, y in rows]
+    rows = [(at[often[at] >= RARE].astype(np.int64), y) for at, y in rows]
+    del often
     for _ in range(epochs):
         for at, y in rows:
             zi, ni = z[at], n[at]
@@ -94,9 +95,10 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> ToxicityMo
             n[at] = ni + g * g
             z[size] += g - (np.sqrt(n[size] + g * g) - rb) / ALPHA * wb
             n[size] += g * g
-    w = -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-    where = np.flatnonzero(w[:size])
-    return ToxicityModel(float(-z[size] / ((BETA + np.sqrt(n[size])) / ALPHA + L2)), where.astype(np.uint32), w[where].astype(np.float32))
+    where = np.flatnonzero(np.abs(z[:size]) > L1)
+    zi, ni = z[where], n[where]
+    w = -np.sign(zi) * (np.abs(zi) - L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
+    return ToxicityModel(float(-z[size] / ((BETA + np.sqrt(n[size])) / ALPHA + L2)), where.astype(np.uint32), w.astype(np.float32))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -117,8 +119,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     made = map_rows(picked, ["doc_id", "text", "y", "place"], features, "doc_id long, place long, y int, at binary",
                     ["doc_id", "place", "y", "at"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]).toArrow()
-    order = sorted(zip(*(made.column(c).to_pylist() for c in ("place", "doc_id", "at", "y")), strict=True))
-    return ftrl([(np.frombuffer(at, np.uint32).astype(np.int64), int(y > 0)) for _, _, at, y in order], epochs)
+    made = made.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    # the coordinates stay in Arrow's buffers; ftrl copies only the frequent ones
+    rows = [(np.frombuffer(at.as_buffer(), np.uint32), int(y > 0)) for at, y in zip(made.column("at"), made.column("y").to_pylist(), strict=True)]
+    return ftrl(rows, epochs)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
