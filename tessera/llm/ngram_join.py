@@ -56,7 +56,7 @@ from .common import written
 WORDS = 5
 BATCH_DOCS = 2048
 LOCALLY_HOT = 64  # more documents of a batch share a shingle: it is sent once
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 256
 MU = 0.0085  # weight of the merge cost in DivideSkip's number of long lists
 CACHE_WORDS = 400_000
 _NONE = 0xFFFF
