@@ -31,6 +31,7 @@ SLOTS = 1 << 13
 BLOCK = 256  # slots a row of partial counts holds
 SHARPNESS = 6.0
 AMBIGUOUS = 0.15  # distance between the two nearest codewords
+LEAST_SCORE = 0.3  # below it a text is in no known language; texts that mix two are kept
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = regex.compile(r"[A-Za-z]")
 
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in a known language without ambiguity, all columns kept."""
+    """Rows of ``docs`` in a known language, all columns kept; a text that mixes languages is in the nearest one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +156,8 @@ def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
             at = batch.schema.get_field_index(text_col) if at is None else at
             keep = []
             for text in batch.column(at).to_pylist():
-                lang, _, unsure = m.predict(text)
-                keep.append(lang != "und" and not unsure)
+                lang, score, _ = m.predict(text)
+                keep.append(lang != "und" and score >= LEAST_SCORE)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -107,7 +107,7 @@ def test_pipeline_against_plain_python(spark, pipeline):
         if langs[i] is not None and re.search(r"[^\W\d_]", t):
             counts[langs[i]] = counts.get(langs[i], 0) + np.bincount(langid.trigram_slots(t), minlength=langid.SLOTS)
     model = langid.LanguageModel.from_counts(counts)
-    kept = {i: t for i, t in kept.items() if (p := model.predict(t))[0] != "und" and not p[2]}
+    kept = {i: t for i, t in kept.items() if (p := model.predict(t))[0] != "und" and p[1] >= langid.LEAST_SCORE}
     classes = plain_components(list(kept.items()))
     kept = {i: t for i, t in kept.items() if classes[i][1] == i}
     rows = pipeline.run(spark, small).collect()
