@@ -46,6 +46,15 @@ def test_names(spark):
     assert one(spark, lambda t: norm.section(t, "<A>", "<B>"), "0<A>in<B>out", "none") == ["in", None]
 
 
+def test_folding_and_masks(spark):
+    assert one(spark, lambda t: norm.folded(t, {"dept": "department", "govt": "government"}), "Water Dept. & Govt  of X") == ["water department and government of x"]
+    assert one(spark, lambda t: norm.masked(t, r"\bISO \d+\b"), "per ISO 9001 and 9001") == ["per   and 9001"]
+    assert one(spark, norm.without_trailing_note, "Canal (old)", "Canal (Pkg-3)") == ["Canal", "Canal (Pkg-3)"]
+    assert one(spark, norm.lenient_year, "2020-01-01T00", "x", None) == [2020, None, None]
+    assert one(spark, norm.lenient_date, "2020-01-05T00", "2020-13-01") == [dt.date(2020, 1, 5), None]
+    assert one(spark, norm.number, "(2,464,151)", "12", "-3", "x") == [-2464151, 12, -3, None]
+
+
 def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
