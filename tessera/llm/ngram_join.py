@@ -453,9 +453,10 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(join_components(docs, id_col=id_col, text_col=text_col), "components")
     kept = written(classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept_id"), "kept")
     key = F.col(f"`{id_col}`").cast("long")
-    out = docs.join(kept.filter("rows = 1"), key == F.col("__kept_id"), "left_semi")
+    # dealt by id at every size, with the ids as the hashed side: texts are neither sorted nor is anything broadcast
+    out = docs.join(kept.filter("rows = 1").hint("shuffle_hash"), key == F.col("__kept_id"), "left_semi")
     if kept.filter("rows > 1").limit(1).count():
-        again = docs.join(kept.filter("rows > 1"), key == F.col("__kept_id"), "left_semi")
+        again = docs.join(kept.filter("rows > 1").hint("shuffle_hash"), key == F.col("__kept_id"), "left_semi")
         first = Window.partitionBy(id_col).orderBy(text_col)
         again = again.withColumn("__kept_row", F.row_number().over(first)).filter("__kept_row = 1").drop("__kept_row")
         out = out.unionByName(again)
