@@ -9,6 +9,13 @@ loss of each bit weighs as much as that bit's classifier is sure about the
 language in question.  The nearest codeword wins; where the second one is almost
 as near, the row is flagged as ambiguous.
 
+Whether a text is in any known language at all is another question, as the nearest
+codeword always wins by some share.  ``LanguageModel.fit`` answers it: the mean
+log-likelihood of the text's trigrams, each under the language that has it most (so
+that mixed known languages fit), on a scale where trigrams drawn at random have
+0 and the learned rows have 1 in the mean.  Words with digits (numbers, keys) are in
+no language and don't count beside others.  ``accepted`` asks for ``LEAST_FIT``.
+
 Defined results: null text or text without a letter is ``und`` with score
 0; languages are those with a labelled row; without any, every row is ``und``.
 """
@@ -31,8 +38,10 @@ SLOTS = 1 << 13
 BLOCK = 256  # slots a row of partial counts holds
 SHARPNESS = 6.0
 AMBIGUOUS = 0.15  # distance between the two nearest codewords
-LEAST_SCORE = 0.3  # below it a text is in no known language; texts that mix two are kept
+LEAST_SCORE = 0.3  # of the share among known languages; accepted() doesn't ask for it, as it says nothing about unknown ones
+LEAST_FIT = 0.5  # nearer to random trigrams than to the learned rows: in no known language
 _LETTER = regex.compile(r"\p{L}")
+_WITH_DIGITS = regex.compile(r"\S*\d\S*")
 _ASCII_LETTER = regex.compile(r"[A-Za-z]")
 
 
@@ -66,15 +75,21 @@ class LanguageModel:
     code: np.ndarray  # classes x bits
     weights: np.ndarray  # bits x slots, float32
     trust: np.ndarray  # classes x bits, rows sum to 1
+    familiar: np.ndarray  # per slot: 0 as random trigrams, 1 as the learned rows, in the mean
 
     @classmethod
     def from_counts(cls, counts: dict[str, np.ndarray]) -> LanguageModel:
         languages = sorted(counts)
         code = codewords(len(languages))
-        if not languages or not code.shape[1]:
-            return cls(languages, code, np.zeros((0, SLOTS), np.float32), np.zeros(code.shape))
+        if not languages:
+            return cls(languages, code, np.zeros((0, SLOTS), np.float32), np.zeros(code.shape), np.zeros(SLOTS))
         p = np.array([counts[x] for x in languages], float) + 0.5
         p /= p.sum(1, keepdims=True)
+        most = np.log(p.max(0))
+        learned = (p @ most).mean()
+        familiar = (most - most.mean()) / max(learned - most.mean(), 1e-9)
+        if not code.shape[1]:
+            return cls(languages, code, np.zeros((0, SLOTS), np.float32), np.zeros(code.shape), familiar)
         rows = []
         for bit in code.T:
             rows.append(np.log(p[bit > 0].mean(0) / p[bit < 0].mean(0)))
@@ -82,7 +97,16 @@ class LanguageModel:
         usual = p @ w.T  # margin that a text of each class has in the mean
         w /= np.maximum(np.abs(usual).mean(0), 1e-9)[:, None]
         sure = np.maximum(p @ w.T * code, 1e-6)
-        return cls(languages, code, w.astype(np.float32), sure / sure.sum(1, keepdims=True))
+        return cls(languages, code, w.astype(np.float32), sure / sure.sum(1, keepdims=True), familiar)
+
+    def fit(self, text: str | None) -> float:
+        """How well the text's trigrams are known, whichever known languages they are in."""
+        if not self.languages or not has_letter(text):
+            return 0.0
+        words = _WITH_DIGITS.sub("", text)
+        if has_letter(words):
+            text = words
+        return float(self.familiar[trigram_slots(text)].mean())
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the decision is ambiguous."""
@@ -146,7 +170,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in a known language, all columns kept; a text that mixes languages is in the nearest one."""
+    """Rows of ``docs`` in a known language, all columns kept; a text that mixes known languages is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +180,7 @@ def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
             at = batch.schema.get_field_index(text_col) if at is None else at
             keep = []
             for text in batch.column(at).to_pylist():
-                lang, score, _ = m.predict(text)
-                keep.append(lang != "und" and score >= LEAST_SCORE)
+                keep.append(m.fit(text) >= LEAST_FIT)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

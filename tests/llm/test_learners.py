@@ -76,6 +76,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert quality.document_statistics(no_docs).count() == 0 and toxicity.score(no_docs, toxicity.learn(no_docs, some)).count() == 0
 
 
+UNKNOWN = [
+    "日本の首都は東京であり、多くの人々がこの都市で働き、暮らしている。春には桜が咲き、公園は花見の客でにぎわう。",
+    "Москва является столицей России. Каждый день миллионы людей едут на работу в метро, читают книги и слушают музыку.",
+    "القاهرة هي عاصمة مصر وأكبر مدنها ويعيش فيها ملايين الناس الذين يعملون كل يوم في الأسواق والمكاتب",
+    "Helsinki on Suomen pääkaupunki ja sen suurin kaupunki. Joka päivä tuhannet ihmiset kulkevat töihin junalla ja lukevat kirjoja.",
+    "Ankara Türkiye'nin başkentidir ve her gün binlerce insan işe gitmek için otobüse biner, kitap okur ve müzik dinler.",
+    "kqz vxw jjq zpfk wqx bzv hxk qqj vkz xwp mzq jxv kpq zzw fqk vbx qjz xkw pvq zfx wkj qvz",
+    "3q2+7wAAAEVx9sKfQzJ8bXkPLm0Vd4hTn1c5YwRgU6aZoBiEjFvHsMtNyOxQpSrCuDlGkWA8e7f6d5c4b3a2",
+    "static int parse(struct node *n, char **p) { for (int i = 0; i < n->len; i++) { if (p[i] == NULL) return -1; n->buf[i] = *p[i]; } return 0; }",
+    "12345 67890 !!!",
+]
+
+
+def test_language_stage_drops_unknown_and_keeps_mixed(spark):
+    """Foreign and junk texts go, all known ones stay, mixed ones and ones full of numbers too."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs)
+    firsts = {r["lang"]: r["text"] for r in docs.filter("length(text) between 300 and 2000").orderBy("doc_id").collect()}
+    names = sorted(firsts)
+    mixed = [firsts[a][:300] + " " + firsts[b][:300] for a in names for b in names if a < b] + [" ".join(firsts[a][:200] for a in names)]
+    mixed.append(firsts["de"][:60] + ' 7844238401328224 token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add" +1 (545) 555-9193')
+    planted = [(10**6 + i, t, None) for i, t in enumerate(UNKNOWN)] + [(2 * 10**6 + i, t, None) for i, t in enumerate(mixed)]
+    out = {r["doc_id"] for r in langid.accepted(docs.unionByName(spark.createDataFrame(planted, docs.schema)), model).collect()}
+    assert [t for i, t in enumerate(UNKNOWN) if 10**6 + i in out] == []
+    assert [t for i, t in enumerate(mixed) if 2 * 10**6 + i not in out] == []
+    assert len(out) == docs.count() + len(mixed)
+    one = langid.learn(docs.filter("lang = 'en'"))
+    assert one.fit(firsts["en"]) > 0.5 > max(map(one.fit, UNKNOWN))
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     import corpus_pipeline
