@@ -2,8 +2,10 @@
 
 The page is read into a tree (implied end tags, raw-text elements, unclosed
 markup).  Parts that never are article text go first: head, scripts, forms,
-menus, site headers, footers, sidebars, and elements whose class, id or role
-names such a part.  For every node left, the composite density weighs its
+menus, site headers, footers, sidebars, and what is hidden.  An element whose class, id
+or role names such a part goes only if nothing in it speaks for an article (see
+``_prune``), as wrappers carry such names too; else its name halves its density.
+For every node left, the composite density weighs its
 characters per tag by how few of them stand in links.  The node whose children's
 densities have the largest sum holds the article; the smallest density on
 the path from it to the body is the threshold: a part beside that path joins only if it
@@ -64,11 +66,14 @@ BESIDE = frozenset(
     "share sharing social related recommended recommendations trending popular widget widgets teaser skip disclaimer "
     "complementary contentinfo legal paywall".split()
 )
+MARKS = frozenset("article main h1".split())
+SEVERAL = 3  # paragraphs that make an element worth measuring in spite of its name
+NAMED_WEIGHT = 0.5  # of the density of all within an element named like a part beside the article
 KEPT = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "items", "kids", "link_chars", "link_tags", "parent", "spread", "tag", "tags")
+    __slots__ = ("chars", "density", "items", "kids", "link_chars", "link_tags", "named", "parent", "spread", "tag", "tags", "weight", "within")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -76,24 +81,27 @@ class _Node:
         self.kids: list[_Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.spread = 0.0
+        self.weight = 1.0  # of the density: less within elements named like parts beside the article
+        self.named = self.within = False  # named like a part beside the article; in an article or main element
 
 
-def _beside(tag: str, attrs: str, in_article: bool) -> bool:
-    """The element is no part of an article by its tag or by how it is named."""
+def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return True, False
+    named = False
     if not attrs or tag in KEPT:
-        return False
+        return False, False
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        elif any(w.lower() in BESIDE for w in _NAME.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+                return True, False
+        elif not named:
+            named = any(w.lower() in BESIDE for w in _NAME.findall(_CAMEL.sub(" ", value)))
+    return False, named
 
 
 def parse(page: str) -> _Node:
@@ -101,7 +109,7 @@ def parse(page: str) -> _Node:
     root = _Node("#root", None)
     node, at, dropped = root, 0, 0
     open_tags: list[str] = []  # within a dropped element
-    articles = 0
+    articles, any_named = 0, False
     size = len(page)
     while at < size:
         m = _MARKUP.search(page, at)
@@ -147,7 +155,8 @@ def parse(page: str) -> _Node:
             continue
         if tag in _P_ENDERS or tag in _SIBLINGS:
             node = _implied_end(node, tag)
-        if _beside(tag, attrs, articles > 0):
+        beside, named = _beside(tag, attrs, articles > 0)
+        if beside:
             if tag in RAW:
                 at = _after_raw(page, at, tag)
             elif tag not in VOID and not attrs.endswith("/"):
@@ -159,14 +168,50 @@ def parse(page: str) -> _Node:
                 node.items.append(_Node("br", node))
             continue
         child = _Node(tag, node)
+        child.named, child.within = named, articles > 0
+        any_named = any_named or named
         node.items.append(child)
         node.kids.append(child)
         if tag not in VOID and not attrs.endswith("/"):
             node = child
             articles += tag in ("article", "main")
+    if any_named:
+        _prune(root)
     return root
 
 
+def _prune(root: _Node) -> None:
+    """Takes out elements named like parts beside the article that hold nothing of one.
+
+    They stay, for density to decide, with an article or main element, with
+    several paragraphs that aren't links, with most of the page's plain text (unless an
+    article or main element with text stands elsewhere), or with the main heading
+    within an article.
+    """
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(n.kids)
+    plain: dict[_Node, int] = {}
+    paragraphs: dict[_Node, int] = {}
+    holds: dict[_Node, set[str]] = {}
+    for n in reversed(order):
+        plain[n] = 0 if n.tag == "a" else sum(len(x.strip()) for x in n.items if isinstance(x, str)) + sum(plain[k] for k in n.kids)
+        n.chars = sum(len(x.strip()) for x in n.items if isinstance(x, str)) + sum(k.chars for k in n.kids)
+        paragraphs[n] = sum(paragraphs[k] + (k.tag == "p" and 0 < k.chars <= 2 * plain[k]) for k in n.kids)
+        holds[n] = {t for k in n.kids for t in (*holds[k], k.tag) if t in MARKS and k.chars}
+    marked = bool(holds[root] & {"article", "main"})
+    for n in order:
+        if not n.named or n.parent is None:
+            continue
+        if holds[n] & {"article", "main"} or paragraphs[n] >= SEVERAL or 2 * plain[n] > plain[root] and (n.within or not marked) or n.within and "h1" in holds[n]:
+            continue
+        at = next(i for i, x in enumerate(n.parent.items) if x is n)
+        n.parent.items[at : at + 1] = [] if n.tag in INLINE else [_Node("br", n.parent)]
+        n.parent.kids.remove(n)
+
+
 def _after_raw(page: str, at: int, tag: str) -> int:
     m = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
     return m.end() if m else len(page)
@@ -211,8 +256,10 @@ def _measure(root: _Node) -> None:
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             inside = n.chars / max(n.link_chars, 1) * tags / max(n.link_tags, 1)
             n.density = max(n.chars / tags * math.log(max(inside, 1.0001)) / math.log(max(base, 1.0001)), 0.0)
-    for n in order:
-        n.spread = sum(k.density for k in n.kids)
+    for n in order:  # parents first
+        for k in n.kids:
+            k.weight = n.weight * NAMED_WEIGHT if k.named else n.weight
+        n.spread = sum(k.density * k.weight for k in n.kids)
 
 
 def _content(root: _Node) -> list[_Node]:
@@ -237,7 +284,7 @@ def _content(root: _Node) -> list[_Node]:
         for k in above.kids:
             if k is below:
                 before = False
-            elif k.density >= threshold and k.chars > 0 and 2 * k.link_chars <= k.chars:
+            elif k.density * min(k.weight / best.weight, 1.0) >= threshold and k.chars > 0 and 2 * k.link_chars <= k.chars:
                 (left if before else right).append(k)
         chosen = [*left, *chosen, *right]
     return chosen

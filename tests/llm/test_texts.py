@@ -247,6 +247,21 @@ def test_html():
     html.extract("<div>" * 5000 + "deep")
 
 
+def test_names_of_wrappers_decide_nothing():
+    """Wrappers named after parts beside the article stay; such parts themselves go."""
+    one, two = ("".join(f"<p>Long {w} number {k} with many plain words inside it.</p>" for k in range(5)) for w in ("paragraph", "passage"))
+    plain = [" ".join(f"Long {w} number {k} with many plain words inside it." for k in range(5)) for w in ("paragraph", "passage")]
+    menu, side = "<div class=menu><a href=/a>l1</a> <a href=/b>l2</a></div>", "<div class=sidebar><p>Side text</p></div>"
+    for name in ("content has-sidebar", "no-sidebar", "elementor-widget-container", "commentsOff"):
+        assert html.extract(f'<body>{menu}<div class="{name}">{one}</div>{side}</body>') == plain[0]
+        assert html.extract(f'<body>{menu}<div class="{name}"><div>{side}<article>{one}</article></div></div></body>') == plain[0]
+        assert html.extract(f'<body>{menu}<div class="{name}">{one}</div><div class="{name}">{two}</div></body>') == " ".join(plain)
+    assert html.extract(f'<article><header class="entry-header"><h1>The title</h1></header>{one}</article>') == "The title " + plain[0]
+    assert html.extract('<div class="widget">A page in one block, without paragraphs.</div><div class="footer">foot</div>') == "A page in one block, without paragraphs."
+    said = "".join(f"<p>I say {k} too</p>" for k in range(4))
+    assert html.extract(f"<body>{menu}<article>{one}</article><div class=comments>{said}</div></body>") == plain[0]
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html.extract_pages(pages).collect()
