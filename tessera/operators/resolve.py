@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 RECALL = 0.30  # least share of a name's weight that a mention must carry
 MARGIN = 0.05  # least lead over the second name
+SALTED = 50  # names of one token that a join key holds about
 
 
 def tokens(text: Column) -> Column:
@@ -21,9 +22,9 @@ def tokens(text: Column) -> Column:
 def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention", name: str = "name") -> DataFrame:
     """(mention, name, confidence, ambiguous) of every distinct mention.
 
-    The join is on tokens, rarest first in effect: a token that more than one in
-    ten names (and more than 50) share decides nothing and doesn't join, but still counts
-    for a name that is matched by another token.
+    The join is on each name's rarest tokens, however frequent they are: those without
+    which the rest weighs less than RECALL, so that every name that reaches it is a
+    candidate.  A token of many names is dealt out over salted keys.
     """
     said = mentions.select(F.trim(mention).alias("m")).filter(F.col("m").isNotNull()).distinct()
     known = names.select(F.trim(name).alias("n")).filter(F.col("n").isNotNull()).distinct()
@@ -32,12 +33,15 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
     rest = said.join(exact.select("m"), "m", "left_anti")
     words = known.select("n", F.explode(F.array_distinct(tokens(F.col("n")))).alias("t"))
     df = words.groupBy("t").agg(F.count("*").alias("df"))
-    total = known.count()
     weighted = words.join(df, "t")
     sizes = weighted.groupBy("n").agg(F.sum(1 / F.col("df")).alias("full"))
-    keyed = weighted.filter((F.col("df") <= 50) | (F.col("df") * 10 <= total)).select("n", "t")
+    rest_of_name = Window.partitionBy("n").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = weighted.withColumn("left", F.sum(1 / F.col("df")).over(rest_of_name)).join(sizes, "n").filter(F.col("left") >= RECALL * F.col("full") - 1e-9)
+    salts = F.ceil(F.col("df") / SALTED).cast("int")
+    keyed = keyed.select("n", "t", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt"))
     heard = rest.select("m", F.array_distinct(tokens(F.col("m"))).alias("ts"))
-    pairs = heard.select("m", F.explode("ts").alias("t")).join(keyed, "t").select("m", "n").distinct()
+    asked = heard.select("m", F.explode("ts").alias("t")).join(df, "t").select("m", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    pairs = asked.join(keyed, ["t", "salt"]).select("m", "n").distinct()
     scored = pairs.join(heard, "m").join(weighted.select("n", "t", "df"), "n").filter(F.array_contains("ts", F.col("t")))
     scored = scored.groupBy("m", "n").agg(F.sum(1 / F.col("df")).alias("got")).join(sizes, "n").withColumn("score", F.col("got") / F.col("full"))
     ranked = scored.filter(F.col("score") >= RECALL).withColumn("r", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("score"), F.desc("got"), "n")))

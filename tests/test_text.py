@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,31 @@ def test_resolution_refuses(spark):
     assert [r[0] for r in df.select(resolve.contiguous_run(F.col("t"), F.col("p"))).collect()] == [2, 0]
 
 
+def test_names_of_frequent_words_resolve(spark):
+    """512 names of which every word stands in 64; and brute force over random mentions."""
+    words = [f"{place}{k}" for place in "abc" for k in range(8)]
+    names = [f"a{i} b{j} c{k}" for i in range(8) for j in range(8) for k in range(8)]
+    names += ["a1 rare", "b2 c2 rare seldom", "c3"]
+    pick = random.Random(5)
+    said = ["the a3 b4 c5 people"] + [" ".join(pick.sample(words + ["rare", "seldom", "other"], pick.randint(1, 4))) + " x" for _ in range(60)]
+    df = Counter(t for n in names for t in n.split())
+    want = {}
+    for m in set(said):
+        scores = []
+        for n in names:
+            got = sum(1 / df[t] for t in n.split() if t in m.split())
+            score = got / sum(1 / df[t] for t in n.split())
+            if score >= resolve.RECALL:
+                scores.append((score, got, n))
+        top = sorted(scores, reverse=True)[:2]
+        close = len(top) == 2 and top[0][0] - top[1][0] < resolve.MARGIN and top[0][1] - top[1][1] < resolve.MARGIN
+        want[m] = (None if close or not top else top[0][2], close)
+    frames = [spark.createDataFrame([(x,) for x in rows], f"{column} string") for rows, column in ((said, "mention"), (names, "name"))]
+    got = {r["mention"]: (r["name"], r["ambiguous"]) for r in resolve.resolve(*frames).collect()}
+    assert got["the a3 b4 c5 people"] == ("a3 b4 c5", False)
+    assert got == want
+
+
 VOCABULARY = Vocabulary.of("work", {"category": ["road", "dam"], "state": ["Kerala", "Goa"]})
 
 
