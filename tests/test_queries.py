@@ -30,6 +30,12 @@ def test_matches_sql(spark, duck, name, tmp_path):
         assert duck.sql(f"select {cols} from {a} except all select {cols} from {b} limit 3").fetchall() == []
 
 
+def test_upsert_over_all_customers(spark):
+    keys = {r["k"] for r in catalog.QUERIES["upsert_whole"](spark, DIR).collect()}
+    whole = {r[0] for r in spark.read.parquet(f"{DIR}/customer.parquet").select("c_custkey").collect()}
+    assert whole <= keys
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
