@@ -10,8 +10,9 @@ position, all pieces that start there, longest first.  The longest one is
 taken if it may stand behind the piece before it, that is if merging the
 two pieces' characters again ends in just these two pieces; otherwise the next
 shorter one is tried, and a position where none is left is marked in a
-bitfield as failed, and the search steps back.  Characters without a piece fall
-back to their UTF-8 bytes after plain merging.
+bitfield as failed, and the search steps back.  Characters in no piece cut the segment
+and fall back to their UTF-8 bytes; only a stretch with characters that are in
+longer pieces but in none of their own is merged plainly.
 
 Defined results: null text counts as empty; the empty text has no ids and
 decodes to the empty text.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -53,6 +55,7 @@ class PieceModel:
         self.id_of = {p: i for i, p in enumerate(self.text) if i not in skip}
         self.rank = {p: -sp.get_score(i) for p, i in self.id_of.items()}
         self.single = {p for p in self.id_of if len(p) == 1}
+        self.covered = {c for p in self.id_of for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.id_of):
             raise ValueError("a piece holds the marker behind another character")
         self.control = {i for i in skip if i not in self.byte_of}
@@ -125,13 +128,17 @@ class PieceModel:
         ok = self.pair_ok[a << 20 | b] = self.merge(left + right) == ([left, right] if left else [right])
         return ok
 
+    def _bytes(self, chars: str) -> list[int]:
+        return [self.byte_id[b] for b in chars.encode("utf-8", "replace")]
+
     def segment_ids(self, segment: str) -> list[int]:
         id_of = self.id_of
         if not self.single.issuperset(segment):
+            if self.covered.issuperset(segment):  # characters that have a piece only together with others
+                return [x for p in self.merge(segment) for x in ([id_of[p]] if p in id_of else self._bytes(p))]
             ids: list[int] = []
-            for p in self.merge(segment):
-                i = id_of.get(p)
-                ids += [i] if i is not None else [self.byte_id[b] for b in p.encode("utf-8", "replace")]
+            for covered, run in itertools.groupby(segment, self.covered.__contains__):  # nothing merges across other characters
+                ids += self.segment_ids("".join(run)) if covered else self._bytes("".join(run))
             return ids
         pair_ok, compatible = self.pair_ok, self._compatible
         greedy, before = [i for _, i in self.longest.iter_long(segment)], -1

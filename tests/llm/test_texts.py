@@ -53,6 +53,16 @@ def test_small_cache_gives_the_same(monkeypatch):
     assert m.digest(text) == (len(SP.encode(text)), ",".join(map(str, SP.encode(text))), SP.decode(SP.encode(text)))
 
 
+def test_segments_with_odd_characters_go_through_backtracking(monkeypatch):
+    """Merging never sees a whole segment around a character without a piece; ids equal the library's."""
+    m, seen = pieces.PieceModel(MODEL), []
+    merge = m.merge
+    monkeypatch.setattr(m, "merge", lambda chars: seen.append(chars) or merge(chars))
+    for text in ("some\nother words\n\nstand here", "\n", "\nx\n", "unbelievable𓀀𓀁thinking", "𓀀𓀁𓀂 ☃\n" * 5):
+        assert m.encode(text) == SP.encode(text)
+    assert [chars for chars in seen if not m.covered.issuperset(chars)] == []
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_ids_equal_the_tokenizer(text):
