@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,17 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+#: Paths of written tables that no one has released yet, with the session that wrote them.
+_LEFT: dict[str, SparkSession] = {}
 
 
 def work_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (tests on one machine) a temporary
-    folder of the driver is used.
+    Only where that setting is missing and the master is local (tests on one machine) a
+    temporary folder is used; on a cluster each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tessera-"))
     return _LOCAL_ROOT[0]
@@ -30,12 +37,40 @@ def work_root(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared work folder and read it back.
 
-    Cuts the lineage: what was written survives the loss of any executor.
+    Cuts the lineage: what was written survives the loss of any executor.  The table
+    stays until it is released or the program ends.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        _delete(getattr(table, "written_at", None))
+
+
+def _delete(path: str | None) -> None:
+    spark = _LEFT.pop(path, None) if path else None
+    if spark is not None:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@atexit.register
+def _clear() -> None:
+    """What a job has left behind, where the session can still be reached."""
+    for path in list(_LEFT):
+        with contextlib.suppress(Exception):
+            _delete(path)
+    for root in _LOCAL_ROOT:
+        shutil.rmtree(root, ignore_errors=True)
 
 
 def id_crc(doc_id: str | Column) -> Column:

@@ -9,10 +9,13 @@ For every node left, the composite density weighs its
 characters per tag by how few of them stand in links.  The node whose children's
 densities have the largest sum holds the article; the smallest density on
 the path from it to the body is the threshold: a part beside that path joins only if it
-is at least as dense.  Text is given per block, in page order.
+is at least as dense.  Bare text beside the path is such a part too.  An article or main
+element around the path vouches for its own paragraphs, headings and bare text,
+except for lists of links.  Text is given per block, in page order.
 
 Defined results: null html counts as empty; a page without text gives the empty
-string; malformed markup never fails, a ``<`` that opens no tag is text.
+string; malformed markup never fails, a ``<`` that opens no tag is text; repeated rows
+are read once each; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +45,16 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "head script style noscript template svg math canvas object iframe textarea title nav footer aside form button "
-    "select option input label dialog menu audio video map xmp noembed noframes fieldset".split()
+    "head script style noscript template svg canvas object iframe textarea title nav footer aside form button "
+    "select option input label dialog menu audio video map xmp noembed noframes fieldset annotation annotation-xml".split()
 )
 #: Elements inside which white space is kept together with their neighbours' text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr img".split()
+    "strong sub sup time tt u var wbr img math semantics mrow mi mn mo ms mtext msub msup msubsup mfrac msqrt mroot munder mover munderover mspace mstyle".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl figure table".split())
 _P_ENDERS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
@@ -66,6 +74,13 @@ BESIDE = frozenset(
     "share sharing social related recommended recommendations trending popular widget widgets teaser skip disclaimer "
     "complementary contentinfo legal paywall".split()
 )
+#: Of these, words that name adverts and readers' talk; the others name places of a layout.
+FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted "
+    "comment comments commentlist disqus replies reply respond discussion related recommended recommendations".split()
+)
+TALK = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+OF_ARTICLE = frozenset("article entry post story".split())  # their header is the article's own
 MARKS = frozenset("article main h1".split())
 SEVERAL = 3  # paragraphs that make an element worth measuring in spite of its name
 NAMED_WEIGHT = 0.5  # of the density of all within an element named like a part beside the article
@@ -73,7 +88,7 @@ KEPT = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "items", "kids", "link_chars", "link_tags", "named", "parent", "spread", "tag", "tags", "weight", "within")
+    __slots__ = ("chars", "density", "items", "kids", "link_chars", "link_tags", "named", "parent", "spread", "tag", "tags", "talk", "weight", "within")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -82,26 +97,49 @@ class _Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.spread = 0.0
         self.weight = 1.0  # of the density: less within elements named like parts beside the article
-        self.named = self.within = False  # named like a part beside the article; in an article or main element
+        self.named = self.talk = self.within = False  # named like a part beside the article, like readers' talk; in an article or main element
+
+
+def _named(value: str, prose: bool) -> bool:
+    """A class, id or role names a part beside the article; paragraphs and headings of an article only if it is foreign."""
+    words = {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", value))}
+    found = words & (FOREIGN if prose else BESIDE)
+    return bool(found) and not (found == {"header"} and words & OF_ARTICLE)
 
 
-def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one."""
+def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one; like readers' talk."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True, False
-    named = False
-    if not attrs or tag in KEPT:
-        return False, False
+        return True, False, False
+    named = talk = False
+    if not attrs:
+        return False, False, False
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return tag not in KEPT, False, False
         if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True, False
-        elif not named:
-            named = any(w.lower() in BESIDE for w in _NAME.findall(_CAMEL.sub(" ", value)))
-    return False, named
+            if tag not in KEPT and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+                return True, False, False
+        elif tag not in KEPT:
+            named = named or _named(value, in_article and tag in PROSE)
+        if key in ("class", "id") and tag not in ("html", "body", "main"):
+            talk = talk or any(w.lower() in TALK for w in _NAME.findall(_CAMEL.sub(" ", value)))
+    return False, named, talk
+
+
+class _Forms:
+    """Some sites put the whole page into one form: what stands between a form's tags, from places found once per page."""
+
+    def __init__(self, page: str) -> None:
+        places = lambda pattern: [m.start() for m in re.finditer(pattern, page, re.IGNORECASE)]
+        self.ends, self.articles, self.paragraphs = places("</form"), places("<(?:article|main)"), places("<p[ >]")
+
+    def wraps_page(self, at: int) -> bool:
+        k = bisect_left(self.ends, at)
+        end = self.ends[k] if k < len(self.ends) else sys.maxsize
+        inside = lambda found: bisect_left(found, end) - bisect_left(found, at)
+        return inside(self.articles) > 0 or inside(self.paragraphs) >= SEVERAL
 
 
 def parse(page: str) -> _Node:
@@ -109,7 +147,7 @@ def parse(page: str) -> _Node:
     root = _Node("#root", None)
     node, at, dropped = root, 0, 0
     open_tags: list[str] = []  # within a dropped element
-    articles, any_named = 0, False
+    articles, any_named, forms = 0, False, None
     size = len(page)
     while at < size:
         m = _MARKUP.search(page, at)
@@ -155,21 +193,23 @@ def parse(page: str) -> _Node:
             continue
         if tag in _P_ENDERS or tag in _SIBLINGS:
             node = _implied_end(node, tag)
-        beside, named = _beside(tag, attrs, articles > 0)
+        beside, named, talk = _beside(tag, attrs, articles > 0)
         if beside:
             if tag in RAW:
                 at = _after_raw(page, at, tag)
             elif tag not in VOID and not attrs.endswith("/"):
-                if tag == "form" and _wraps_page(page, at):
-                    continue
+                if tag == "form":
+                    forms = forms or _Forms(page)
+                    if forms.wraps_page(at):
+                        continue
                 open_tags.append(tag)
                 dropped = 1
             if tag not in INLINE:
                 node.items.append(_Node("br", node))
             continue
         child = _Node(tag, node)
-        child.named, child.within = named, articles > 0
-        any_named = any_named or named
+        child.named, child.talk, child.within = named, talk, articles > 0
+        any_named = any_named or named or talk
         node.items.append(child)
         node.kids.append(child)
         if tag not in VOID and not attrs.endswith("/"):
@@ -186,7 +226,7 @@ def _prune(root: _Node) -> None:
     They stay, for density to decide, with an article or main element, with
     several paragraphs that aren't links, with most of the page's plain text (unless an
     article or main element with text stands elsewhere), or with the main heading
-    within an article.
+    within an article.  Readers' talk goes wherever an article stands outside it.
     """
     order, stack = [], [root]
     while stack:
@@ -195,21 +235,33 @@ def _prune(root: _Node) -> None:
         stack.extend(n.kids)
     plain: dict[_Node, int] = {}
     paragraphs: dict[_Node, int] = {}
+    articles: dict[_Node, int] = {}  # characters in article elements, else in main elements
     holds: dict[_Node, set[str]] = {}
     for n in reversed(order):
         plain[n] = 0 if n.tag == "a" else sum(len(x.strip()) for x in n.items if isinstance(x, str)) + sum(plain[k] for k in n.kids)
         n.chars = sum(len(x.strip()) for x in n.items if isinstance(x, str)) + sum(k.chars for k in n.kids)
         paragraphs[n] = sum(paragraphs[k] + (k.tag == "p" and 0 < k.chars <= 2 * plain[k]) for k in n.kids)
+        articles[n] = sum(articles[k] for k in n.kids)
+        if n.tag == "article" or n.tag == "main" and not articles[n]:
+            articles[n] = n.chars
         holds[n] = {t for k in n.kids for t in (*holds[k], k.tag) if t in MARKS and k.chars}
     marked = bool(holds[root] & {"article", "main"})
+    gone: set[_Node] = set()
     for n in order:
-        if not n.named or n.parent is None:
+        if n.parent is None or not n.named and not n.talk:
+            continue
+        outside = articles[root] - articles[n]
+        if n.talk and (outside >= articles[n] if articles[n] else n.within or outside > 0):
+            gone.add(n)
+            continue
+        if not n.named:
             continue
         if holds[n] & {"article", "main"} or paragraphs[n] >= SEVERAL or 2 * plain[n] > plain[root] and (n.within or not marked) or n.within and "h1" in holds[n]:
             continue
-        at = next(i for i, x in enumerate(n.parent.items) if x is n)
-        n.parent.items[at : at + 1] = [] if n.tag in INLINE else [_Node("br", n.parent)]
-        n.parent.kids.remove(n)
+        gone.add(n)
+    for above in {n.parent for n in gone}:
+        above.items = [y for x in above.items for y in (([] if x.tag in INLINE else [_Node("br", above)]) if x in gone else [x])]
+        above.kids = [k for k in above.kids if k not in gone]
 
 
 def _after_raw(page: str, at: int, tag: str) -> int:
@@ -217,13 +269,6 @@ def _after_raw(page: str, at: int, tag: str) -> int:
     return m.end() if m else len(page)
 
 
-def _wraps_page(page: str, at: int) -> bool:
-    """Some sites put the whole page into one form."""
-    end = page.lower().find("</form", at)
-    inner = page[at : end if end > 0 else len(page)].lower()
-    return "<article" in inner or "<main" in inner or inner.count("<p>") + inner.count("<p ") >= 3
-
-
 def _implied_end(node: _Node, tag: str) -> _Node:
     ends, stop = _SIBLINGS.get(tag, ({"p"}, {"td", "th", "table", "button", "object", "article", "section", "div", "li", "body", "main"}))
     up: _Node | None = node
@@ -262,7 +307,7 @@ def _measure(root: _Node) -> None:
         n.spread = sum(k.density * k.weight for k in n.kids)
 
 
-def _content(root: _Node) -> list[_Node]:
+def _content(root: _Node) -> list:
     """The node with the largest density sum and dense parts beside its path, in page order."""
     _measure(root)
     best, stack = root, [root]
@@ -271,25 +316,65 @@ def _content(root: _Node) -> list[_Node]:
         if n.spread > best.spread:
             best = n
         stack.extend(reversed(n.kids))
-    while best.tag in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6"} and best.parent is not None:
+    while best.tag in INLINE | HEADINGS | {"p"} and best.parent is not None:
         best = best.parent  # a paragraph full of markup is no article
-    path, up = [], best
-    while up is not None:
-        path.append(up)
-        up = up.parent
+    path = list(_upwards(best))
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    chosen: list[_Node] = [best]
+    _without_link_lists(best, threshold)
+    chosen: list = [best]
     for below, above in zip(path, path[1:], strict=False):
-        left, right, before = [], [], True
-        for k in above.kids:
-            if k is below:
-                before = False
-            elif k.density * min(k.weight / best.weight, 1.0) >= threshold and k.chars > 0 and 2 * k.link_chars <= k.chars:
-                (left if before else right).append(k)
-        chosen = [*left, *chosen, *right]
+        inside = above.tag if above.tag in ("article", "main") else "main" if above.within else ""
+        sides: tuple[list, list] = ([], [])
+        right = 0
+        for x in above.items:
+            if x is below:
+                right = 1
+            elif isinstance(x, str):
+                if x.strip() and (inside or _bare_density(x, root) >= threshold):
+                    sides[right].append(x)
+            elif x.tag == "br" or x.chars > 0 and _joins(x, inside, threshold, best):
+                sides[right].append(x)
+        chosen = [*sides[0], *chosen, *sides[1]]
     return chosen
 
 
+def _without_link_lists(best: _Node, threshold: float) -> None:
+    """Blocks below the threshold that hold several links and hardly anything else go; what an article element holds stays."""
+    stack = [] if any(n.tag == "article" for n in _upwards(best)) else [best]
+    while stack:
+        n = stack.pop()
+        lists = {k for k in n.kids if k.tag not in INLINE and k.link_tags > 1 and k.density < threshold and 10 * (k.chars - k.link_chars) <= k.chars}
+        if lists and n.chars > sum(k.chars for k in lists):
+            n.items = [_Node("br", n) if x in lists else x for x in n.items]
+            n.kids = [k for k in n.kids if k not in lists]
+        stack.extend(k for k in n.kids if k.tag != "article")
+
+
+def _upwards(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _joins(k: _Node, inside: str, threshold: float, best: _Node) -> bool:
+    """A part beside the path belongs to the text.
+
+    Links never do.  Within an article element all else does that isn't named like
+    another part, within a main element headings and paragraphs; the density decides the rest.
+    """
+    if 2 * k.link_chars > k.chars:
+        return False
+    if inside and not k.named and (inside == "article" or k.tag in PROSE or k.tag in INLINE):
+        return True
+    return k.density * min(k.weight / best.weight, 1.0) >= threshold
+
+
+def _bare_density(text: str, root: _Node) -> float:
+    """Density of text that stands in no element of its own."""
+    n = len(text.strip())
+    return n * math.log(max(n, 1.0001)) / math.log(max(root.link_chars / max(root.chars, 1) * n + math.e, 1.0001))
+
+
 def _blocks(node: _Node) -> Iterator[str]:
     """Pieces of text; None between two blocks."""
     stack: list = [iter([node])]
@@ -317,15 +402,15 @@ def extract(page: str | None) -> str:
         return ""
     out: list[str] = []
     run: list[str] = []
-    for node in _content(parse(page)):
-        for piece in (*_blocks(node), None):
-            if piece is not None:
-                run.append(piece)
-            elif run:
-                text = " ".join(entities.unescape("".join(run)).split())
-                if text:
-                    out.append(text)
-                run.clear()
+    pieces = chain.from_iterable([x] if isinstance(x, str) else _blocks(x) for x in _content(parse(page)))
+    for piece in chain(pieces, [None]):
+        if piece is not None:
+            run.append(piece)
+        elif run:
+            text = " ".join(entities.unescape("".join(run)).split())
+            if text:
+                out.append(text)
+            run.clear()
     return " ".join(out)
 
 

@@ -17,7 +17,8 @@ that mixed known languages fit), on a scale where trigrams drawn at random have
 no language and don't count beside others.  ``accepted`` asks for ``LEAST_FIT``.
 
 Defined results: null text or text without a letter is ``und`` with score
-0; languages are those with a labelled row; without any, every row is ``und``.
+0; languages are those with a labelled row; without any, every row is ``und``; an
+empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -38,7 +39,7 @@ SLOTS = 1 << 13
 BLOCK = 256  # slots a row of partial counts holds
 SHARPNESS = 6.0
 AMBIGUOUS = 0.15  # distance between the two nearest codewords
-LEAST_SCORE = 0.3  # of the share among known languages; accepted() doesn't ask for it, as it says nothing about unknown ones
+MAX_LANGUAGES = 512  # labels of more languages than that aren't languages; bounds what a task and the driver hold (64 KB each)
 LEAST_FIT = 0.5  # nearer to random trigrams than to the learned rows: in no known language
 _LETTER = regex.compile(r"\p{L}")
 _WITH_DIGITS = regex.compile(r"\S*\d\S*")
@@ -124,8 +125,11 @@ class LanguageModel:
         return self.languages[best], float(nearness[best] / nearness.sum()), bool(distance[order[1]] - distance[best] < AMBIGUOUS)
 
 
-def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Counts of all rows that have both columns, summed per language."""
+def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Counts of all rows that have both columns, summed per language.
+
+    More than ``max_languages`` different labels raise ValueError before anything is counted.
+    """
     blocks = SLOTS // BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +151,8 @@ def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
 
     known = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    if rows.select(F.col(lang_col).cast("string").alias("lang")).dropna().distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"column {lang_col} has more than {max_languages} different labels")
     schema = "lang string, block int, counts binary"
     parts = known.mapInArrow(count, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
     counts: dict[str, np.ndarray] = {}
@@ -155,7 +161,7 @@ def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     return LanguageModel.from_counts(counts)
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bits x 8,192 floats
 

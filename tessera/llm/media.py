@@ -32,6 +32,7 @@ Found = tuple[str, int, int]  # type, start, length
 
 _U32LE, _U32BE, _U16BE = struct.Struct("<I"), struct.Struct(">I"), struct.Struct(">H")
 RATE = 8000
+PIECE = 1 << 16  # bytes that are inflated at a time
 
 
 def _png(b: bytes, at: int) -> int | None:
@@ -151,20 +152,44 @@ def _mp4(b: bytes, at: int) -> int | None:
     return p - at if kinds[:1] == [b"ftyp"] and b"moov" in kinds else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 and b.find(b" obj", at, end) > 0 else None
+class Blob(bytes):
+    """Bytes that remember where the next occurrence of a mark is, so that a search per hit stays linear over all hits."""
+
+    def ahead(self, mark: bytes, at: int) -> int:
+        """First place of the mark at or behind ``at``; the blob's size where there is none."""
+        known = self.__dict__.setdefault("known", {})
+        asked, found = known.get(mark, (0, -1))
+        if not asked <= at <= found:
+            found = self.find(mark, at)
+            found = len(self) if found < 0 else found
+            known[mark] = (at, found)
+        return found
+
+
+def _pdf(b: Blob, at: int) -> int | None:
+    end = b.ahead(b"%%EOF", at)
+    return end + 5 - at if end < len(b) and b.ahead(b"startxref", at) < end and b.ahead(b" obj", at) < end else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
+    """Inflates piece by piece and keeps nothing, so that memory doesn't follow what a blob expands to."""
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    d = zlib.decompressobj(31)
+    d, p, rest = zlib.decompressobj(31), at, b""
+    view = memoryview(b)
     try:
-        d.decompress(b[at:])
+        while not d.eof:
+            if not rest:
+                if p >= len(b):
+                    if d.decompress(b"", PIECE) or d.eof:
+                        continue
+                    return None
+                rest, p = view[p : p + PIECE], p + PIECE
+            d.decompress(rest, PIECE)
+            rest = d.unconsumed_tail
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+    return min(p, len(b)) - len(d.unused_data) - at
 
 
 #: Magic bytes, media type, where the magic stands in the format.
@@ -202,6 +227,7 @@ def _automaton():
 
 def sniff(blob: bytes) -> list[Found]:
     """Valid media in a blob by start, none inside another."""
+    blob = Blob(blob)
     hits: list[tuple[int, int]] = []
     for end, (size, which) in _automaton().iter(blob.decode("latin-1")):
         hits += [(end + 1 - size, i) for i in which]

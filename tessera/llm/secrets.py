@@ -5,8 +5,9 @@ hex runs).  Beyond them there are weak candidates that mean nothing alone:
 identifiers (``client_id: x``, user names), secret-looking tokens (mixed case
 and digits, high entropy) and endpoints (URLs, hosts with a port).  Every part
 opens a scope around itself; two parts whose scopes overlap within the same
-paragraph are joined (an interval join by a sweep over starts).  A weak
-candidate is reported only if a secret-like part and an identifier or endpoint
+paragraph are joined (an interval join by a sweep over starts).  Parts that overlap
+are no complements of each other: a path of mixed letters isn't the key of its own
+URL.  A weak candidate is reported only if a secret-like part and an identifier or endpoint
 are linked; base matches act as parts too, but are always reported.
 
 Defined results: null or empty text has no spans; all positions are code
@@ -100,7 +101,7 @@ def linked_parts(text: str, base: list[Span], weak: list[Span], scope: int = SCO
     for s in every:
         live = [p for p in live if p.end + scope >= s.start - scope]  # whose scope reaches this one's
         for p in live:
-            if (p.kind in secretive) != (s.kind in secretive) and "\n\n" not in text[min(p.end, s.start) : s.start]:
+            if p.end <= s.start and (p.kind in secretive) != (s.kind in secretive) and "\n\n" not in text[p.end : s.start]:
                 good.update((p, s))
         live.append(s)
     return [s for s in weak if s in good]

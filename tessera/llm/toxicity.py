@@ -7,17 +7,21 @@ zero, so the model that is sent to the executors is a short list, whose
 size is bounded by the number of coordinates.
 
 The fit reads at most ``MAX_TRAIN`` labelled rows (those whose hashed id is
-smallest), whatever the size of the corpus; scoring covers every row and text.
+smallest) with at most ``MAX_COORDINATES`` coordinates in all, whatever the size of the
+corpus: both bounds hold what the driver keeps to about 100 MB.  A row that doesn't fit
+what is left of the second bound is passed over.  Scoring covers every row and text.
 
 Defined results: null or empty text scores what the bias alone says; labels
 without a document and documents without a label are no training rows; of
-repeated labels of an id the larger one counts; without labels the score is 0.
+repeated labels of an id the larger one counts; without labels nothing is known and
+every score is 0.5; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, released, written
 
 BITS = 22
 MAX_TRAIN = 14_000
+MAX_COORDINATES = 24_000_000  # distinct ones per row, summed over the training rows
 EPOCHS = 5
 RARE = 3  # coordinates of fewer training rows never get a weight
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
@@ -62,16 +67,17 @@ class ToxicityModel:
     where: np.ndarray  # coordinates with a weight, ascending
     weight: np.ndarray
 
+    @cached_property
     def dense(self) -> np.ndarray:
+        """All coordinates' weights; made once in every Python worker."""
         out = np.zeros(1 << BITS, np.float32)
         out[self.where] = self.weight
         return out
 
-    @staticmethod
-    def score(text: str | None, dense: np.ndarray, bias: float) -> float:
+    def score(self, text: str | None) -> float:
         at = coordinates(text)
-        at = at[dense[at] != 0]
-        return float(1 / (1 + np.exp(-np.clip(bias + dense[np.unique(at)].sum(), -35, 35))))
+        at = at[self.dense[at] != 0]
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.dense[np.unique(at)].sum(), -35, 35))))
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> ToxicityModel:
@@ -102,26 +108,45 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> ToxicityMo
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = MAX_TRAIN, epochs: int = EPOCHS) -> ToxicityModel:
-    """Fit on at most ``max_rows`` labelled rows (documented bound)."""
+          max_rows: int = MAX_TRAIN, max_coordinates: int = MAX_COORDINATES, epochs: int = EPOCHS) -> ToxicityModel:
+    """Fit on at most ``max_rows`` labelled rows with ``max_coordinates`` coordinates (documented bounds)."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("place", F.xxhash64("doc_id"))
     total = rows.count()
-    if total > max_rows:  # first about as many as needed, then exactly so many, so that no task gets all
-        rows = rows.filter(F.pmod("place", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * max_rows / total)) + 1)
+    if total > max_rows:  # first somewhat more than needed, then exactly so many, so that no task gets all
+        share = min(1.0, (max_rows + 8 * max_rows**0.5 + 16) / total)
+        rows = rows.filter(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
         rows = rows.orderBy("place", "doc_id").limit(max_rows)
     chosen = F.broadcast(rows)  # max_rows rows at most
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
 
     def features(ids: list, texts: list, ys: list, places: list) -> Iterator[tuple]:
         for doc_id, text, y, place in zip(ids, texts, ys, places, strict=True):
-            yield doc_id, place, y, np.unique(coordinates(text)).tobytes()
-
-    made = map_rows(picked, ["doc_id", "text", "y", "place"], features, "doc_id long, place long, y int, at binary",
-                    ["doc_id", "place", "y", "at"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]).toArrow()
-    made = made.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+            at = np.unique(coordinates(text))
+            yield doc_id, place, y, len(at), at.tobytes()
+
+    made = written(map_rows(
+        picked, ["doc_id", "text", "y", "place"], features, "doc_id long, place long, y int, size long, at binary",
+        ["doc_id", "place", "y", "size", "at"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()],
+    ), "coordinates")
+    # texts of repeated ids make more rows than labels, so the bound on rows holds here too
+    keys = ["place", "doc_id", "size"]
+    sizes = made.groupBy(keys).agg(F.count("*").alias("rows")).orderBy(keys).limit(max_rows)
+    left, rows_left, fits = max_coordinates, max_rows, []
+    for r in sizes.collect():  # max_rows rows of four numbers
+        if r["size"] * r["rows"] <= left and r["rows"] <= rows_left:
+            left -= r["size"] * r["rows"]
+            rows_left -= r["rows"]
+            fits.append(tuple(r[k] for k in keys))
+    if not fits:
+        released(made)
+        return ftrl([], epochs)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(fits, "place long, doc_id long, size long"))  # max_rows rows at most
+    fitting = made.join(chosen, keys, "left_semi").select(*keys, "y", "at").toArrow()
+    fitting = fitting.sort_by([(c, "ascending") for c in (*keys, "y")])
     # the coordinates stay in Arrow's buffers; ftrl copies only the frequent ones
-    rows = [(np.frombuffer(at.as_buffer(), np.uint32), int(y > 0)) for at, y in zip(made.column("at"), made.column("y").to_pylist(), strict=True)]
+    rows = [(np.frombuffer(at.as_buffer(), np.uint32), int(y > 0)) for at, y in zip(fitting.column("at"), fitting.column("y").to_pylist(), strict=True)]
+    released(made)
     return ftrl(rows, epochs)
 
 
@@ -130,10 +155,8 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
-        m = shared.value
-        dense = m.dense()
         for doc_id, text in zip(ids, texts, strict=True):
-            yield doc_id, ToxicityModel.score(text, dense, m.bias)
+            yield doc_id, shared.value.score(text)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_rows(rows, ["doc_id", "text"], run, "doc_id long, score double", ["doc_id", "score"], [pa.int64(), pa.float64()])

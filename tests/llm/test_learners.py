@@ -37,18 +37,173 @@ def test_toxicity(spark):
     df = queries.op5_toxicity(spark, DIR)
     assert df.count() == 1000 and df.filter("score between 0 and 1").count() == 1000
     rows = joined(spark, df, "toxic")
-    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.85
+    caught = sum(r["predicted"] and r["toxic"] for r in rows)
+    # a quarter to a third of the toxic rows hold no word that tells them from the others
+    assert caught >= 0.6 * sum(r["toxic"] for r in rows) > 0 and caught >= 0.9 * sum(r["predicted"] for r in rows)
 
 
 def test_toxicity_learns_a_planted_word():
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 40)) + (" vile" if i % 5 == 0 else "") for i in range(600)]
     model = toxicity.ftrl([(np.unique(toxicity.coordinates(t)).astype(np.int64), int(i % 5 == 0)) for i, t in enumerate(texts)])
-    dense = model.dense()
-    assert toxicity.ToxicityModel.score("some vile words", dense, model.bias) > 0.5 > toxicity.ToxicityModel.score("some other words", dense, model.bias)
+    assert model.score("some vile words") > 0.5 > model.score("some other words")
     assert len(model.where) < 200
 
 
+def small(spark, *columns):
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    return docs, labels
+
+
+def remainder(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return [0.0] * quality.STATS
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&", "|<>{}[]\\_=~^", "!?", ".,;:", None, " \t\n\v\f\r"]
+    shares = [sum(c >= 128 if k is None else chr(c) in k for c in raw) / len(raw) for k in kinds]
+    lines = [x for x in raw.split(b"\n") if x]
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    log = lambda x: float(np.log(1 + x))
+    return shares + [
+        log(len(words)), log(len(raw) / len(words)), log(max(map(len, words))), len(set(words)) / len(words) ** 0.8, 1 - len(set(triples)) / len(triples) if triples else 0.0,
+        1 - len(set(lines)) / len(lines), log(len(raw) / len(lines)), words.count(b"|") / len(words), sum(len(x) <= 2 for x in words) / len(words),
+    ]
+
+
+def test_quality_against_plain_numpy(spark):
+    """All rows in one matrix: least squares on the stacked ridge system, isotonic means by the max-min formula."""
+    docs, labels = small(spark)
+    ids = sorted(docs)
+    x = np.array([plain_statistics(docs[i]["text"]) for i in ids])
+    y = np.array([labels[i]["quality"] if i in labels and labels[i]["quality"] is not None and remainder(i, 5) else np.nan for i in ids], float)
+    learned = ~np.isnan(y)
+    z = np.clip((x - x[learned].mean(0)) / np.maximum(x[learned].std(0), 1e-3), -6, 6)
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(0, 1 / np.sqrt(quality.STATS), (quality.STATS, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    f = np.column_stack([np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), np.ones(len(z))])
+    fit = learned & np.array([remainder(i, 5) != 4 for i in ids])
+    ridge = np.diag(np.sqrt([quality.RIDGE] * quality.FEATURES + [1e-6]))
+    beta = np.linalg.lstsq(np.vstack([f[fit], ridge]), np.r_[y[fit], np.zeros(len(ridge))], rcond=None)[0]
+    raw = f @ beta
+    place = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    held = learned & ~fit
+    bins = sorted(set(place[held]))
+    n = np.array([(place[held] == k).sum() for k in bins], float)
+    s = np.array([y[held][place[held] == k].sum() for k in bins])
+    n, s = n + 0.02, s + 0.02 * y[held].mean()
+    mean = lambda a, b: s[a : b + 1].sum() / n[a : b + 1].sum()
+    steps = [max(min(mean(a, b) for b in range(i, len(bins))) for a in range(i + 1)) for i in range(len(bins))]
+    want = np.clip(np.interp(raw, [quality.LOW + (k + 0.5) / quality.BINS * (quality.HIGH - quality.LOW) for k in bins], steps), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert [got[i] for i in ids] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def plain_trigrams(text):
+    raw = f" {text.lower()} ".encode()
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+        yield (h ^ h >> 15) * 0x2C1B3C6D % 2**32 >> 19
+
+
+def test_language_against_plain_python(spark):
+    """Counts in dictionaries; every bit, margin and loss in a loop of its own."""
+    docs, _ = small(spark)
+    counts: dict = {}
+    for i, r in docs.items():
+        if r["lang"] is not None and remainder(i, 4) != 2 and re.search(r"[^\W\d_]", r["text"] or ""):
+            for t in plain_trigrams(r["text"]):
+                of = counts.setdefault(r["lang"], {})
+                of[t] = of.get(t, 0) + 1
+    names, slots = sorted(counts), range(langid.SLOTS)
+    total = {x: sum(counts[x].values()) + 0.5 * langid.SLOTS for x in names}
+    p = {x: [(counts[x].get(t, 0) + 0.5) / total[x] for t in slots] for x in names}
+    code = langid.codewords(len(names)).tolist()
+    bits = range(len(code[0]))
+    weights, sure = [], [[0.0] * len(bits) for _ in names]
+    for k in bits:
+        side = lambda sign: [names[c] for c in range(len(names)) if code[c][k] == sign]  # noqa: E731, B023
+        w = [np.log(np.mean([p[x][t] for x in side(1)]) / np.mean([p[x][t] for x in side(-1)])) for t in slots]
+        usual = [sum(p[x][t] * w[t] for t in slots) for x in names]
+        scale = max(np.mean(np.abs(usual)), 1e-9)
+        weights.append([v / scale for v in w])
+        for c in range(len(names)):
+            sure[c][k] = max(usual[c] / scale * code[c][k], 1e-6)
+    trust = [[v / sum(row) for v in row] for row in sure]
+    got = {r["doc_id"]: r for r in queries.op3_language(spark, "/root/testdata/sf0.001").collect()}
+    for i in sorted(docs)[::4]:
+        text = docs[i]["text"]
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        seen = list(plain_trigrams(text))
+        margin = [sum(weights[k][t] for t in seen) / len(seen) for k in bits]
+        loss = [sum(trust[c][k] * np.log1p(np.exp(-2 * code[c][k] * margin[k])) for k in bits) for c in range(len(names))]
+        near = [np.exp(-langid.SHARPNESS * (v - min(loss))) for v in loss]
+        assert got[i]["lang_pred"] == names[int(np.argmin(loss))]
+        assert got[i]["score"] == pytest.approx(max(near) / sum(near), abs=1e-4)  # weights are floats of 32 bits
+
+
+def test_too_many_labels_are_no_languages(spark):
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="different labels"):
+        langid.learn(docs, max_languages=10)
+    assert len(langid.learn(docs, max_languages=20).languages) == 20
+
+
+def test_toxicity_against_plain_python(spark):
+    """FTRL-proximal over dictionaries, one coordinate at a time."""
+    docs, labels = small(spark)
+    order = spark.createDataFrame([(i,) for i in docs], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) p").orderBy("p", "doc_id").collect()
+    rows = [(sorted(set(toxicity.coordinates(docs[r["doc_id"]]["text"]).tolist())), labels[r["doc_id"]]["toxic"]) for r in order
+            if r["doc_id"] in labels and labels[r["doc_id"]]["toxic"] is not None and remainder(r["doc_id"], 4) != 2]
+    often: dict = {}
+    for at, _ in rows:
+        for k in at:
+            often[k] = often.get(k, 0) + 1
+    z, n = {}, {}
+
+    def weight(k):
+        l1 = 0 if k == "bias" else toxicity.L1
+        zk = z.get(k, 0.0)
+        return 0.0 if abs(zk) <= l1 else -(zk - np.sign(zk) * l1) / ((toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    def say(at):
+        return 1 / (1 + np.exp(-np.clip(sum(map(weight, at)) + weight("bias"), -35, 35)))
+
+    for _ in range(toxicity.EPOCHS):
+        for at, y in rows:
+            at = [k for k in at if often[k] >= toxicity.RARE]
+            g = say(at) - y
+            for k in [*at, "bias"]:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((old + g * g) ** 0.5 - old ** 0.5) / toxicity.ALPHA * weight(k)
+                n[k] = old + g * g
+    got = {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    for i, r in docs.items():
+        assert got[i] == pytest.approx(say(sorted(k for k in set(toxicity.coordinates(r["text"]).tolist()) if k in z)), abs=1e-5)
+
+
+def test_toxicity_bounds(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50 if i else 5000))) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    seen = []
+    keep, toxicity.ftrl = toxicity.ftrl, lambda rows, epochs: seen.append(rows) or keep(rows, epochs)
+    try:
+        toxicity.learn(docs, labels, max_rows=10)
+        toxicity.learn(docs, labels, max_coordinates=1000)
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.ftrl = keep
+    assert [len(rows) for rows in seen] == [10, 6, 20]
+    assert sum(len(at) for at, _ in seen[1]) <= 1000
+
+
 def test_codewords_and_isotonic():
     for k in (2, 4, 7, 12):
         code = langid.codewords(k)
@@ -137,7 +292,7 @@ def test_pipeline_against_plain_python(spark, pipeline):
         if langs[i] is not None and re.search(r"[^\W\d_]", t):
             counts[langs[i]] = counts.get(langs[i], 0) + np.bincount(langid.trigram_slots(t), minlength=langid.SLOTS)
     model = langid.LanguageModel.from_counts(counts)
-    kept = {i: t for i, t in kept.items() if (p := model.predict(t))[0] != "und" and p[1] >= langid.LEAST_SCORE}
+    kept = {i: t for i, t in kept.items() if model.fit(t) >= langid.LEAST_FIT}
     classes = plain_components(list(kept.items()))
     kept = {i: t for i, t in kept.items() if classes[i][1] == i}
     rows = pipeline.run(spark, small).collect()

@@ -70,16 +70,50 @@ def test_ids_equal_the_tokenizer(text):
     assert np.frombuffer(raw, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60))
-def test_bins(lengths):
-    bins, offsets = packing.best_two_fit(lengths, 40)
+def bins_used(lengths, capacity=40):
+    """Number of bins after checking that every place is whole and gapless."""
+    bins, offsets = packing.best_two_fit(lengths, capacity)
     used = {}
     for b, o, n in sorted(zip(bins, offsets, lengths, strict=True)):
         assert used.get(b, 0) == o
         used[b] = o + n
-    assert all(v <= 40 for v in used.values())
-    assert len(used) <= 11 * -(-sum(lengths) // 40) / 9 + 1
+    assert all(v <= capacity for v in used.values())
+    return len(used)
+
+
+def fewest_bins(lengths, capacity=40):
+    """The optimum, by trying every bin for every length."""
+    lengths = sorted(lengths, reverse=True)
+
+    def fits(k, room):
+        return k == len(lengths) or any(
+            fits(k + 1, [*room[:i], room[i] - lengths[k], *room[i + 1 :]]) for i in {r: i for i, r in enumerate(room)}.values() if room[i] >= lengths[k]
+        )
+
+    return next(n for n in range(len(lengths) + 1) if fits(0, [capacity] * n))
+
+
+def first_fit_decreasing(lengths, capacity=40):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        at = next((i for i, r in enumerate(room) if r >= n), None)
+        if at is None:
+            room.append(capacity - n)
+        else:
+            room[at] -= n
+    return len(room)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=8))
+def test_few_bins_against_the_optimum(lengths):
+    assert bins_used(lengths) <= (11 * fewest_bins(lengths) + 6) / 9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=20, max_size=200))
+def test_many_bins_against_first_fit(lengths):
+    assert bins_used(lengths) <= first_fit_decreasing(lengths) + 1
 
 
 def test_two_fit_exchange():
@@ -143,6 +177,23 @@ def test_sniffing(blob, kind):
     assert media.sniff(blob[: len(blob) // 2]) == []
 
 
+def test_bombs_and_repeated_magic():
+    import gzip
+    import resource
+
+    bomb = gzip.compress(bytes(300_000_000), 9)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert media.sniff(b"junk" + bomb + b"tail") == [("application/gzip", 4, len(bomb))]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 50_000  # KB
+    for n in (0, 1, 70_000, 131_072):
+        packed = gzip.compress(np.random.default_rng(n).bytes(n))
+        assert media.sniff(packed + b"x" * n) == [("application/gzip", 0, len(packed))]
+        assert media.sniff(packed[:-1]) == []
+    assert media.sniff(b"%PDF-" * 60_000) == media.sniff(b"%PDF-" * 60_000 + b"%%EOF") == []
+    pdf = b"%PDF-1.4 1 0 obj startxref 0 %%EOF"
+    assert media.sniff(b"%PDF- " + pdf + b" " + pdf)[-1] == ("application/pdf", 7 + len(pdf), len(pdf))
+
+
 def test_sniffing_rejects_look_alikes(spark):
     assert media.true_type(b"BM is no bitmap, RIFF no wave, %PDF- no document", "text/plain")[0] == "unknown"
     broken = bytearray(png())
@@ -183,6 +234,38 @@ def test_weak_parts_need_a_complement():
     assert secrets.redact(f"a {key} b", [secrets.Span("token", 2, 2 + len(key))]) == "a [secret] b"
 
 
+def plain_links(text, base, weak):
+    """Weak spans with a complement, by trying all pairs."""
+    secretive = ("assign", "hex", "token")
+    good = set()
+    for a in weak:
+        for b in [*base, *weak]:
+            first, second = sorted((a, b), key=lambda s: s.start)
+            near = second.start - first.end <= 2 * secrets.SCOPE and second.start >= first.end
+            if near and (a.kind in secretive) != (b.kind in secretive) and "\n\n" not in text[first.end : second.start]:
+                good.add(a)
+    return good
+
+
+LINKABLE = ["password=", "longvalue1", "deadbeef" * 4, "AKIA" + "B2" * 8, " ", "\n", "\n\n", "client_id: alpha-7", "user: bob", "https://db.example.com/Ab1/x", "db.example.com:5432",
+            "Zk3xQ9vLm2Tt7Rb8Wc1Yp4Hd", "https://docs.example.com/Pages/AbCdEf1234567890GhIjKl", "user: Zk3xQ9vLm2Tt7Rb8Wc1Yp4Hd", "word " * 20, "é漢"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(LINKABLE), max_size=16).map(" ".join))
+def test_links_equal_all_pairs(text):
+    base, spans = secrets.find_spans(text)
+    assert set(spans) - set(base) == plain_links(text, base, secrets.weak_parts(text, base))
+    assert sum(s in base for s in spans) == len(base)
+
+
+def test_parts_that_overlap_are_no_complements():
+    assert secrets.find_spans("see https://docs.example.com/Pages/AbCdEf1234567890GhIjKl there")[1] == []
+    assert secrets.find_spans("user: Zk3xQ9vLm2Tt7Rb8Wc1Yp4Hd")[1] == []
+    both = secrets.find_spans("user: Zk3xQ9vLm2Tt7Rb8Wc1Yp4Hd then Qq4yR8wKn3Uu6Sc9Xd2Zq5Je")[1]
+    assert {s.kind for s in both} == {"ident", "token"}
+
+
 def test_scan(odd_docs, no_docs):
     rows = secrets.scan_digest(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -272,6 +355,72 @@ def test_names_of_wrappers_decide_nothing():
     assert html.extract(f"<body>{menu}<article>{one}</article><div class=comments>{said}</div></body>") == plain[0]
 
 
+PARAGRAPHS = ["The first paragraph of the text says a good deal about the matter at hand, in plain words.",
+              "A second one goes on with it, at length, and with <b>some</b> stress on what matters most here.",
+              "The third ends the matter; nothing is left to be said about it, so that all readers may go home."]
+
+
+def plain_main_text(page):
+    """The paragraphs and headings of the page in order, by a DOM of the standard library: without links, readers' talk and menus."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.beside, self.stack = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            name = dict(attrs).get("class") or ""
+            beside = tag in ("nav", "footer", "script") or name in ("menu", "talk comments", "links")
+            self.stack.append(beside)
+            self.beside += beside
+
+        def handle_endtag(self, tag):
+            self.beside -= self.stack.pop()
+
+        def handle_data(self, data):
+            if not self.beside:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(re.sub("</(p|h1|h2|section|div|li|article)>", lambda m: " " + m[0], page))
+    return " ".join("".join(reader.out).split())
+
+
+def test_density_without_an_article_element():
+    """Nested sections, lists of links and comments around paragraphs: the same text as a plain walk over the tree gives."""
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Some link number {k} to another page</a></li>' for k in range(8)) + "</ul>"
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    talk = '<div class="talk comments">' + "".join(f"<div><p>I for one say {k} to that</p></div>" for k in range(6)) + "</div>"
+    pages = [
+        f'<body><div class="menu">{links}</div><div><section>{body}</section></div><footer>foot</footer></body>',
+        f'<body><nav>{links}</nav><div><div><section><h2>One</h2>{body}</section><section><h2>Two</h2>{body}</section></div></div></body>',
+        f'<body><div class="links">{links}</div><article>{body}{talk}</article>{talk}</body>',
+        f'<body><div><div class="links">{links}</div><div>{body}</div><div class="links">{links}</div></div></body>',
+        f"<body><main>{body}<div class='links'>{links}</div></main><script>var x = '<p>no</p>'</script></body>",
+    ]
+    for page in pages:
+        assert html.extract(page) == plain_main_text(page)
+
+
+def test_text_beside_the_densest_part_stays():
+    body, plain = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), re.sub("</?b>", "", " ".join(PARAGRAPHS))
+    assert html.extract(f"<body><article>Lead sentence.<div>{body}</div>A last word</article></body>") == f"Lead sentence. {plain} A last word"
+    assert html.extract(f'<article><div class="post-header"><h1>Title</h1></div><div>{body}</div><p class="legal">By law.</p></article>') == f"Title {plain} By law."
+    assert html.extract(f'<div class="post"><div class="post-header"><h1>Title</h1></div><div>{body}</div></div>').endswith(plain)
+    assert html.extract(f"<article>{body}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>") == f"{plain} so x=1 holds"
+    assert html.extract(f'<article>{body}<p class="ad">Buy this now</p></article>') == plain
+    wrapped = f'<main><div class="comments-open"><article>{body}</article></div><div class="comments"><article><p>My word on it</p></article></div></main>'
+    assert html.extract(wrapped) == plain
+    assert html.extract("<form>" * 3000 + f"<article>{body}</article>") == plain
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x y</p>", "t", 5), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect()) == [(0, "", 0), (1, "x y", 3)]
+    assert html.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html.extract_pages(pages).collect()
