@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, released, written
 
 FEATURES = 192
 RIDGE = 3.0
@@ -111,6 +111,14 @@ def learn(stats: DataFrame, labels: DataFrame, *, calibration: Column | None = N
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna()
     y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = stats.join(y, "doc_id").withColumn("hold", F.coalesce(calibration, F.lit(False)) if calibration is not None else F.lit(False))
+    rows = written(rows.select("stats", "y", "hold"), "labelled")  # three passes read it
+    model = _fitted(rows, calibration is not None, seed)
+    released(rows)
+    return model
+
+
+def _fitted(rows: DataFrame, calibrates: bool, seed: int) -> QualityModel | None:
+    """Moments, normal equations and calibration over (stats, y, hold)."""
     moments = rows.select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     if not moments:
         return None
@@ -146,7 +154,7 @@ def learn(stats: DataFrame, labels: DataFrame, *, calibration: Column | None = N
             at = np.clip((model.raw(_matrix(batch.column(0))) - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["bin", "y"])
 
-    held = rows.filter("hold") if calibration is not None else rows
+    held = rows.filter("hold") if calibrates else rows
     bins = held.select("stats", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy("bin").collect()
     if not bins:
         bins = rows.select("stats", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy("bin").collect()
