@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 _LOCAL_ROOT: list[str] = []
 #: Paths of written tables that no one has released yet, with the session that wrote them.
 _LEFT: dict[str, SparkSession] = {}
+#: Paths written by the step that runs, where someone collects them.
+_STEP: ContextVar[list[str] | None] = ContextVar("step", default=None)
 
 
 def work_root(spark: SparkSession) -> str:
@@ -43,12 +46,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_root(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
     _LEFT[path] = spark
+    if (step := _STEP.get()) is not None:
+        step.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def settled(make: Callable[[], DataFrame], label: str, *done: DataFrame) -> DataFrame:
+    """What ``make`` returns, written; tables that it wrote on its way and those in ``done`` are deleted."""
+    mine: list[str] = []
+    mark = _STEP.set(mine)
+    try:
+        out = make()
+    finally:
+        _STEP.reset(mark)
+    out = written(out, label)
+    for path in mine:
+        _delete(path)
+    released(*done)
+    return out
+
+
 def released(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for table in tables:

@@ -6,33 +6,42 @@ The way there:
 
 1. *Sets.*  Every batch of documents becomes sorted 64-bit shingle hashes; equal
    sets within a batch send one copy.  Hashes travel packed, dealt by their
-   leading bits, so each bucket counts the documents of its shingles.  A shingle
-   that is frequent within one batch is sent once for all its documents.
+   leading bits, so each bucket counts the documents of its shingles; the number of
+   buckets follows the bytes of text.  A shingle that is frequent within one batch is
+   sent once for all its documents.
 2. *Only shared shingles can match.*  They go back to their documents with
    their frequency.  A document with fewer shared shingles than the least
    overlap it needs has no partner and is done; most are.
-3. *Families.*  Among the rest, shingles are ordered by (frequency, hash).  Two
+3. *Kinds.*  Documents with the same shared shingles differ in size alone, so they overlap
+   with any other document alike, and a smaller one links wherever a larger one does.
+   The smallest speaks for its kind; the others need no more than the *reach* of the kind:
+   the largest size that some partner still links with.  A passage that thousands of
+   documents share is one kind.
+4. *Families.*  Among kinds, shingles are ordered by (frequency, hash).  Two
    linked documents must share one of the first n - ceil(0.8 n) + 1, so
    components over these few rare shingles keep all possible partners together.
-4. *T-occurrence search* within a family, in blocks of bounded size: DivideSkip.
+5. *T-occurrence search* within a family, in blocks of bounded size: DivideSkip.
    The longest inverted lists are set aside, the short ones are heap-merged, and
    documents that occur often enough there are probed in the long lists by binary
    search until they reach the required overlap.  Partners that are already connected are
-   skipped, as only connectivity is asked for.  Families larger than a block
-   are first joined in two random partitions into blocks; then every document
-   outside the family's largest component is searched in all its blocks, which leaves no
-   pair of different components unexamined.
-5. *Components* of the links found, by contraction rounds; copies get the class of
+   skipped, as only connectivity (and reach) is asked for.  Families larger than a block
+   are first joined in two random partitions into blocks.  Then they are dealt anew by their
+   rarest shingle, and what is outside the family's largest component, or has reach to
+   gain, is searched in those blocks that hold one of its rare shingles and a size
+   it can link with; no pair of different components that could link stays unexamined.  A task
+   holds one block and a bounded number of those that ask.
+6. *Components* of the links found, in a logarithmic number of rounds; copies get the class of
    their set.
 
-Hashes have 64 bits: within the two sets of a pair a false match has a chance of
-about 1e-13.  Nothing is sampled or capped, and no list of documents is
+Hashes are made with 64 bits; a bucket sees the lower 48 and the up to 16 by which it was dealt.
+Within the two sets of a pair of a thousand shingles each a false match has a chance of about
+1e-9 at the fewest buckets.  Nothing is sampled or capped, and no list of documents is
 collected: the driver sees counts alone.
 
 Defined results: null, empty and blank texts have no shingles and no links; texts
 of one to four words have their whole word sequence as one shingle; rows with a
 null id have their own set size and a null component; repeated ids are one document
-with the links of all their rows.
+with the links of all their rows; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -51,12 +60,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, settled, written
 
 WORDS = 5
 BATCH_DOCS = 2048
 LOCALLY_HOT = 64  # more documents of a batch share a shingle: it is sent once
 BLOCK_DOCS = 256
+ASKING_DOCS = 2048  # documents that ask in a block, per task
+BUCKET_BYTES = 1 << 25  # packed shingles a bucket holds about
+MOST_BITS = 20
 MU = 0.0085  # weight of the merge cost in DivideSkip's number of long lists
 CACHE_WORDS = 400_000
 _NONE = 0xFFFF
@@ -240,8 +252,9 @@ def _assemble(rows: pd.DataFrame, travels: np.uint64) -> pd.DataFrame:
         tokens = shared["token"][ends[k] : ends[k + 1]].astype("<u8")
         size = int(n[k])
         first = size - least_needed(size) + 1 - (size - len(tokens))  # unshared ones stand before all others
-        out.append((int(ids[k]), size, tokens.tobytes(), tokens[:first].view("<i8").tolist()))
-    return pd.DataFrame(out, columns=["doc_id", "n", "tokens", "prefix"])
+        kind = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist()
+        out.append((int(ids[k]), size, *kind, tokens.tobytes(), tokens[:first].view("<i8").tolist()))
+    return pd.DataFrame(out, columns=["doc_id", "n", "kind_hi", "kind_lo", "tokens", "prefix"])
 
 
 # ---------------------------------------------------------------- 4: T-occurrence search
@@ -250,33 +263,30 @@ def _assemble(rows: pd.DataFrame, travels: np.uint64) -> pd.DataFrame:
 class Index:
     """Inverted lists over the documents of one block, sorted by set size."""
 
-    def __init__(self, ids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[int], sizes: list[int], largest: list[int], tokens: list[np.ndarray]) -> None:
         order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k]))
-        self.ids, self.sizes = [ids[k] for k in order], [sizes[k] for k in order]
+        self.ids, self.sizes, self.largest = [ids[k] for k in order], [sizes[k] for k in order], [largest[k] for k in order]
         self.tokens = [tokens[k] for k in order]
         every = np.concatenate(self.tokens) if ids else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(ids)), [len(t) for t in self.tokens])
         by = np.argsort(every, kind="stable")
-        every, self.owner = every[by], owner[by]
-        self.first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
-        self.keys = every[self.first]
-        self.ends = np.r_[self.first[1:], len(every)] if len(every) else np.zeros(0, np.int64)
+        every, owner = every[by], owner[by]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        self.keys = every[first]
+        self.owner = owner.tolist()
+        # places of all postings as one ascending sequence: list number, then rank
+        self.place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(every)])) * len(ids) + owner
 
     def lists(self, tokens: np.ndarray, low: int, high: int) -> list[list[int]]:
         """Non-empty inverted lists of tokens within the rank window, shortest first."""
         at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        at = at[self.keys[at] == tokens]
-        out = []
-        for a, b in zip(self.first[at].tolist(), self.ends[at].tolist(), strict=True):
-            ranks = self.owner[a:b].tolist()
-            ranks = ranks[bisect_left(ranks, low) : bisect_left(ranks, high)]
-            if ranks:
-                out.append(ranks)
-        out.sort(key=len)
-        return out
-
-    def search(self, tokens: np.ndarray, n: int, low: int, high: int, skip: np.ndarray) -> Iterator[int]:
-        """Ranks in [low, high) that reach the overlap; those marked in skip are left out as they come up."""
+        at = at[self.keys[at] == tokens] * len(self.ids)
+        begin, end = np.searchsorted(self.place, at + low), np.searchsorted(self.place, at + high)
+        some = begin < end
+        return sorted((self.owner[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)), key=len)
+
+    def search(self, tokens: np.ndarray, n: int, low: int, high: int, skip: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(rank, overlap) in [low, high) of those that reach the overlap; those marked in skip are left out as they come up."""
         least = needed(n, self.sizes[low])
         lists = self.lists(tokens, low, high)
         if len(lists) < least:
@@ -291,22 +301,34 @@ class Index:
             if found < target - long:
                 continue
             for k, ranks in enumerate(probed):
-                if found >= target or found + len(probed) - k < target:
+                if found + len(probed) - k < target:
                     break
                 at = bisect_left(ranks, rank)
                 found += at < len(ranks) and ranks[at] == rank
             if found >= target:
-                yield rank
+                yield rank, found
+
 
-    def overlap(self, a: int, b: int) -> int:
-        return len(np.intersect1d(self.tokens[a], self.tokens[b], assume_unique=True))
+def least_reach(n: int, tokens: int) -> int:
+    """Largest size of the own kind that its smallest, of size n, links with."""
+    return 9 * tokens // 4 - n
 
 
-def block_components(ids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(id, smallest connected id) of all documents of a block."""
-    index = Index(ids, sizes, tokens)
+def block_links(ids: list[int], sizes: list[int], largest: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(id, smallest connected id, reach) of all documents of a block; largest: size in its kind, 0 where it is alone."""
+    index = Index(ids, sizes, largest, tokens)
     count = len(ids)
     label = np.arange(count)
+    reach = [least_reach(n, len(t)) for n, t in zip(index.sizes, index.tokens, strict=True)]
+    done = np.array([r >= m for r, m in zip(reach, index.largest, strict=True)], bool)
+    nothing = np.zeros(count, bool)
+
+    def meet(q: int, r: int, overlap: int) -> None:
+        label[label == label[q]] = label[r]
+        for one, other in ((q, r), (r, q)):
+            reach[one] = max(reach[one], 9 * overlap // 4 - index.sizes[other])
+            done[one] = reach[one] >= index.largest[one]
+
     low = 0
     for q in range(count):
         n = index.sizes[q]
@@ -314,109 +336,162 @@ def block_components(ids: list[int], sizes: list[int], tokens: list[np.ndarray])
             low += 1
         if low == q:
             continue
-        if index.overlap(q, q - 1) >= needed(n, index.sizes[q - 1]):  # neighbours in size are often copies
-            label[label == label[q]] = label[q - 1]
-        skip = label == label[q]
+        for r, overlap in index.search(index.tokens[q], n, q - 1, q, nothing):  # neighbours in size are often copies
+            meet(q, r, overlap)
+        skip = done & (label == label[q]) if done[q] else nothing.copy()
+        skip[q - 1] = True
         if skip[low:q].all():
             continue
-        for r in index.search(index.tokens[q], n, low, q, skip):
-            if label[r] != label[q]:
-                label[label == label[q]] = label[r]
-                skip |= label == label[q]
+        for r, overlap in index.search(index.tokens[q], n, low, q, skip):
+            meet(q, r, overlap)
+            if done[q]:
+                skip |= done & (label == label[q])
     smallest: dict[int, int] = {}
     for k, c in zip(index.ids, label.tolist(), strict=True):
         smallest[c] = min(k, smallest.get(c, k))
-    return [(k, smallest[c]) for k, c in zip(index.ids, label.tolist(), strict=True)]
+    return [(k, smallest[c], far) for k, c, far in zip(index.ids, label.tolist(), reach, strict=True)]
 
 
 def _tokens(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in rows["tokens"]]
 
 
+_LINKS = "a long, b long, reach long"
+
+
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(block_components(rows["doc_id"].tolist(), rows["n"].tolist(), _tokens(rows)), columns=["a", "b"])
+    found = block_links(rows["doc_id"].tolist(), rows["n"].tolist(), rows["largest"].tolist(), _tokens(rows))
+    return pd.DataFrame(found, columns=["a", "b", "reach"]).astype("int64")
 
 
-def _outside(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of the documents outside the main component with one block of their family."""
+def _asked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of those that ask with one block of their family: one for each component met, with the farthest reach."""
     here, queries = rows[~rows["asks"]], rows[rows["asks"]]
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     if len(here) and len(queries):
-        index = Index(here["doc_id"].tolist(), here["n"].tolist(), _tokens(here))
+        index = Index(here["doc_id"].tolist(), here["n"].tolist(), here["largest"].tolist(), _tokens(here))
         class_of = dict(zip(here["doc_id"], here["label"], strict=True))
         label = np.array([class_of[i] for i in index.ids])
-        for doc_id, n, tokens, own in zip(queries["doc_id"], queries["n"], _tokens(queries), queries["label"], strict=True):
+        own_rank = {i: k for k, i in enumerate(index.ids)}
+        for doc_id, n, largest, tokens, own, reach in zip(*(queries[c] for c in ("doc_id", "n", "largest")), _tokens(queries), queries["label"], queries["reach"], strict=True):
             low, high = bisect_left(index.sizes, -(-4 * n // 5)), bisect_left(index.sizes, 5 * n // 4 + 1)
-            skip = label == own
-            if low < high and not skip[low:high].all():
-                for r in index.search(tokens, n, low, high, skip):
-                    if not skip[r]:
-                        out.append((doc_id, index.ids[r]))
-                        skip |= label == label[r]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            done = reach >= largest
+            skip = label == own if done else np.zeros(len(label), bool)
+            if doc_id in own_rank:
+                skip[own_rank[doc_id]] = True
+            if low >= high or skip[low:high].all():
+                continue
+            met: dict[int, int] = {}
+            for r, overlap in index.search(tokens, n, low, high, skip):
+                met.setdefault(int(label[r]), r)
+                reach = max(reach, 9 * overlap // 4 - index.sizes[r])
+                if done:
+                    skip |= label == label[r]
+            out += [(doc_id, index.ids[r], reach) for r in met.values()]
+    return pd.DataFrame(out, columns=["a", "b", "reach"]).astype("int64")
 
 
-# ---------------------------------------------------------------- 5: components
+# ---------------------------------------------------------------- 6: components
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): every vertex with the smallest id of its component.
 
-    Each round every vertex points to its smallest neighbour and edges are
-    rewritten to these; loops go.  The rounds' pointers, followed in order, lead to
-    the label.  All tables are written, so lineage stays short.
+    A round points every vertex to its smallest neighbour or itself, follows these pointers to
+    their ends by doubling, and rewrites the edges to the ends.  An end has no smaller neighbour; of
+    two ends that meet over a vertex in between, the larger has a smaller neighbour in the next
+    round, so two rounds at least halve the vertices.  All tables are written, so lineage stays short.
     """
     edges = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    pointers = []
-    while edges.limit(1).count():
+    rounds = []
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("p")), "pointers")
-        pointers.append(to)
+        to = _followed(written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("p")), "pointers"))
+        rounds.append(to)
         left, right = to.select(F.col("v").alias("a"), F.col("p").alias("pa")), to.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        edges = edges.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a <> b").distinct()
-        edges = written(edges, "edges")
-    if not pointers:
+        ends = edges.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a <> b")
+        old, edges = edges, written(ends.distinct(), "edges")
+        released(old)
+    if not rounds:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    labels = pointers[0].withColumnRenamed("p", "label")
-    for to in pointers[1:]:
-        step = to.select(F.col("v").alias("label"), "p")
-        labels = labels.join(step, "label", "left").select("v", F.coalesce("p", "label").alias("label"))
-    return written(labels, "labels")
+    released(edges)
+    labels = rounds.pop().withColumnRenamed("p", "label")
+    while rounds:  # from the few vertices of the last round back to all
+        to = rounds.pop()
+        further = labels.withColumnRenamed("v", "p")
+        labels = written(to.join(further, "p", "left").select("v", F.coalesce("label", "p").alias("label")), "labels")
+    return labels
+
+
+def _followed(to: DataFrame) -> DataFrame:
+    """(v, p) with every pointer at its end: pointers of pointers until none is left to follow."""
+    while True:
+        ends = to.filter("v = p").select("p")
+        if to.select("p").distinct().join(ends, "p", "left_anti").isEmpty():
+            return to
+        old, to = to, written(to.join(to.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")), "pointers")
+        released(old)
 
 
 def _family_links(members: DataFrame) -> DataFrame:
-    """(a, b) links that connect what is connected; members: doc_id, n, tokens, family."""
+    """(a, b, reach): links that connect what is connected; members: doc_id, n, largest, tokens, prefix, family."""
     sizes = members.groupBy("family").agg(F.count("*").alias("size"))
     blocks = written(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK_DOCS).cast("int")).select("family", "blocks"), "families")
     members = members.join(blocks, "family")
 
     def dealt(rows: DataFrame, seed: int) -> DataFrame:
-        return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
+        return rows.drop("prefix").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
 
-    links = written(dealt(members, 1).groupBy("family", "block").applyInPandas(_block, "a long, b long"), "links")
-    large = members.filter("blocks > 1")
-    if not blocks.filter("blocks > 1").limit(1).count():
+    links = written(dealt(members, 1).groupBy("family", "block").applyInPandas(_block, _LINKS), "links")
+    if blocks.filter("blocks > 1").isEmpty():
         return links
-    again = dealt(large, 2).groupBy("family", "block").applyInPandas(_block, "a long, b long")
-    links = written(links.unionByName(again), "links")
+    large = members.filter("blocks > 1")
+    again = written(dealt(large, 2).groupBy("family", "block").applyInPandas(_block, _LINKS), "links")
+    links = links.unionByName(again)
     known = components(links)
-    large = large.join(known.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    large = written(large, "large")
+    reach = links.groupBy(F.col("a").alias("doc_id")).agg(F.max("reach").alias("reach"))
+    large = large.join(known.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(reach, "doc_id")
+    # dealt by the rarest shingle, so that a block holds few different ones; a frequent one has blocks of its own
+    rarest = F.get("prefix", F.lit(0))
+    per_token = large.groupBy(rarest.alias("rarest")).agg(F.count("*").alias("docs"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / BLOCK_DOCS))
+    block = F.when(F.col("docs") > BLOCK_DOCS, F.xxhash64("family", "rarest", salt)).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("rarest"), F.col("blocks"))))
+    large = written(large.withColumn("rarest", rarest).join(per_token, "rarest").withColumn("block", block).drop("rarest", "docs", "blocks"), "large")
     counts = large.groupBy("family", "label").agg(F.count("*").alias("c"))
-    main = written(counts.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main")
-    asks = large.join(main, "family").filter("label <> main").drop("main")
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    both = dealt(large, 1).withColumn("asks", F.lit(False)).unionByName(asks)
-    more = both.groupBy("family", "block").applyInPandas(_outside, "a long, b long")
-    return written(links.unionByName(more), "links")
+    main = counts.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    asks = large.join(main, "family").filter("label <> main or reach < largest").select("doc_id", "n", "prefix")
+    rare = F.explode("prefix").alias("token")
+    held = large.select("block", "n", rare).groupBy("block", "token").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meet = asks.select("doc_id", "n", rare).join(held, "token").filter("5 * n >= 4 * low and 5 * high >= 4 * n").select("doc_id", "block").distinct()
+    meet = written(meet, "meet")
+    tasks = meet.groupBy("block").agg(F.ceil(F.count("*") / ASKING_DOCS).cast("int").alias("tasks"))
+    columns = ["block", "task", "doc_id", "n", "largest", "tokens", "label", "reach", "asks"]
+    questions = meet.join(tasks, "block").withColumn("task", F.pmod(F.xxhash64("doc_id", "block"), F.col("tasks")).cast("int"))
+    questions = questions.join(large.drop("block"), "doc_id").withColumn("asks", F.lit(True)).select(columns)
+    here = large.join(tasks, "block").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumn("asks", F.lit(False)).select(columns)
+    more = written(here.unionByName(questions).groupBy("block", "task").applyInPandas(_asked, _LINKS), "links")
+    released(known, large, meet)
+    return links.unionByName(more)
+
+
+def _bits(rows: DataFrame) -> int:
+    """Leading bits that deal shingles to buckets: by the bytes of all texts, and no fewer than keep all tasks busy."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BITS, max(1, math.ceil(math.log2(max(tasks, 1.4 * size / BUCKET_BYTES)))))
 
 
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
-    bits = min(20, max(1, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = rows.mapInArrow(_sets(bits), _TRAVEL)
+    bits = _bits(rows)
+    parts = 1 << bits
+    many = parts > 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def by(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(parts, key) if many else df  # more input than the session's partitions are meant for
+
+    sets = by(rows.mapInArrow(_sets(bits), _TRAVEL), "bucket")
     counted = written(sets.groupBy("bucket").applyInPandas(_count_bucket(bits), _TRAVEL), "counted")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,16 +505,31 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     every = written(counted.filter("kind = 'docs'").select("payload").mapInArrow(unpack, "doc_id long, n long, hi long, lo long"), "docs")
     classes = written(every.filter("doc_id is not null and n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
-    shared = written(counted.groupBy("batch").applyInPandas(_assembly(bits), "doc_id long, n long, tokens binary, prefix array<long>"), "shared")
-    # equal sets of other batches are one document from here on
-    shared = written(shared.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shared")
-    rare = shared.select("doc_id", F.explode("prefix").alias("token"))
+    schema = "doc_id long, n long, kind_hi long, kind_lo long, tokens binary, prefix array<long>"
+    shared = written(by(counted, "batch").groupBy("batch").applyInPandas(_assembly(bits), schema), "shared")
+    released(counted)
+    # equal sets of other batches are one document from here on, and the smallest of a kind speaks for it
+    light = shared.select("doc_id", "n", "kind_hi", "kind_lo").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    light = written(light, "kinds")
+    kinds = light.groupBy("kind_hi", "kind_lo").agg(F.min(F.struct("n", "doc_id")).alias("least"), F.max("n").alias("largest"), F.count("*").alias("docs"))
+    alone = F.when(F.col("docs") > 1, F.col("largest")).otherwise(0).alias("largest")
+    speakers = written(kinds.select("kind_hi", "kind_lo", F.col("least.doc_id").alias("doc_id"), alone), "speakers")
+    shared_of = written(shared.drop("kind_hi", "kind_lo").join(speakers.select("doc_id", "largest"), "doc_id"), "spoken")
+    released(shared)
+    rare = shared_of.select("doc_id", F.explode("prefix").alias("token"))
     meets = written(rare.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("token", "first"), "meets")
     families = components(rare.join(meets, "token").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    members = written(shared.drop("prefix").join(families.select(F.col("v").alias("doc_id"), F.col("label").alias("family")), "doc_id"), "members")
-    found = components(_family_links(members))
+    members = written(shared_of.join(families.select(F.col("v").alias("doc_id"), F.col("label").alias("family")), "doc_id"), "members")
+    links = _family_links(members)
+    # those that others speak for: linked with the speaker as far as the kind reaches
+    own = shared_of.filter("largest > 0").select("doc_id", (F.floor(F.length("tokens") / 8 * 9 / 4).cast("long") - F.col("n")).alias("reach"))
+    reach = links.select(F.col("a").alias("doc_id"), "reach").unionByName(own).groupBy("doc_id").agg(F.max("reach").alias("reach"))
+    spoken = speakers.filter("largest > 0").join(reach, "doc_id").select("kind_hi", "kind_lo", F.col("doc_id").alias("a"), "reach")
+    quiet = light.join(spoken, ["kind_hi", "kind_lo"]).filter("n <= reach and doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    found = components(links.select("a", "b").unionByName(quiet))
     known = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("component_id"))
     out = every.join(written(known, "classes"), ["hi", "lo"], "left")
+    released(shared_of, members, light, speakers, meets, families, classes)
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -450,14 +540,31 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows with a null id stay, as nothing links them; of rows that repeat an id
     the one with the first text in order stays.
     """
-    classes = written(join_components(docs, id_col=id_col, text_col=text_col), "components")
+    classes = settled(lambda: join_components(docs, id_col=id_col, text_col=text_col), "components")
     kept = written(classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept_id"), "kept")
     key = F.col(f"`{id_col}`").cast("long")
     # dealt by id at every size, with the ids as the hashed side: texts are neither sorted nor is anything broadcast
     out = docs.join(kept.filter("rows = 1").hint("shuffle_hash"), key == F.col("__kept_id"), "left_semi")
-    if kept.filter("rows > 1").limit(1).count():
+    if not kept.filter("rows > 1").isEmpty():
         again = docs.join(kept.filter("rows > 1").hint("shuffle_hash"), key == F.col("__kept_id"), "left_semi")
         first = Window.partitionBy(id_col).orderBy(text_col)
         again = again.withColumn("__kept_row", F.row_number().over(first)).filter("__kept_row = 1").drop("__kept_row")
         out = out.unionByName(again)
     return out.unionByName(docs.filter(key.isNull()))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared.c >= 80 * (x.c + y.c - shared.c)),
+edge AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.other = e.a)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) m USING (doc_id)
+"""

@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm import ngram_join
@@ -25,6 +27,9 @@ def family_docs(seed=3):
             cut = rng.choice([0, 0, 0, len(text) // 6])
             out.append(" ".join(text[cut:]) if rng.random() < 0.8 else "\n".join(text).upper())
     out += out[::9]
+    for size in (20, 40, 60):  # one passage with more and more words of their own behind it
+        out += [" ".join(passage[:size] + [f"own{k}x{j}" for j in range(k)]) for k in range(0, 16) for _ in range(2)]
+        out += [" ".join([f"mine{k}x{j}" for j in range(k)] + passage[:size]) for k in range(1, 16, 3)]
     return list(enumerate(out, start=100))
 
 
@@ -48,8 +53,13 @@ def test_blocks_find_what_all_pairs_find():
     docs = family_docs(9)
     want = plain_components(docs)
     sets = {i: ngram_join.shingles(t) for i, t in docs}
-    found = dict(ngram_join.block_components(list(sets), [len(s) for s in sets.values()], list(sets.values())))
-    assert found == {i: c for i, (_, c) in want.items()}
+    rows = ngram_join.block_links(list(sets), [len(s) for s in sets.values()], [0] * len(sets), list(sets.values()))
+    assert {a: b for a, b, _ in rows} == {i: c for i, (_, c) in want.items()}
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    whole = ngram_join.block_links(list(sets), [len(s) for s in sets.values()], [10**6] * len(sets), list(sets.values()))
+    for a, _, reach in whole:  # nobody is done, so every reach is the farthest
+        partners = [9 * overlap(a, b) // 4 - len(sets[b]) for b in sets if b != a and len(sets[b]) and overlap(a, b) >= ngram_join.needed(len(sets[a]), len(sets[b]))]
+        assert reach == max([9 * len(sets[a]) // 4 - len(sets[a]), *partners])
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -75,7 +85,71 @@ def test_boundary_of_eighty_percent(spark):
     assert got(ngram_join.join_components(df)) == {1: (90, 1), 2: (90, 1), 3: (90, 3)}
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 201), (5, 5)], "a long, b long")
-    labels = {r["v"]: r["label"] for r in ngram_join.components(edges).collect()}
-    assert labels == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
+def labels_and_rounds(spark, monkeypatch, edges):
+    made = []
+    keep = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, label: made.append(label) or keep(df, label))
+    labels = {r["v"]: r["label"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    return labels, made.count("edges"), made.count("pointers")
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    """Rounds grow with the logarithm, whatever the order of ids along the chain."""
+    n = 2000
+    rng = random.Random(1)
+    zigzag = [k // 2 if k % 2 == 0 else n - 1 - k // 2 for k in range(n)]
+    shuffled = rng.sample(range(n), n)
+    for ids in (list(range(n)), zigzag, shuffled):
+        edges = list(zip(ids, ids[1:], strict=False)) + [(5000, 5001), (7, 7)]
+        labels, rounds, pointers = labels_and_rounds(spark, monkeypatch, edges)
+        assert labels == {**{i: 0 for i in range(n)}, 5000: 5000, 5001: 5000}
+        assert rounds <= 12 and pointers <= 24
+
+
+def test_components_of_stars_and_nothing(spark, monkeypatch):
+    labels, rounds, _ = labels_and_rounds(spark, monkeypatch, [(999, k) for k in range(100)] + [(500, 998), (998, 999)])
+    assert set(labels.values()) == {0} and len(labels) == 103 and rounds <= 5
+    assert labels_and_rounds(spark, monkeypatch, [])[0] == {}
+
+
+def test_many_documents_around_one_passage(spark, monkeypatch):
+    """Documents that share four fifths of their text and nothing else: one kind, whose rows travel once."""
+    passage = " ".join(f"shared{k}" for k in range(84))  # 80 shingles
+    docs = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(20 + i % 2))) for i in range(4000)]  # 100 or 101: overlaps of 80, 89 or more are needed
+    docs += [(10_000, passage), (10_001, passage + " tail")]
+    made = {}
+    keep = ngram_join.written
+
+    def counting(df, label):
+        out = keep(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counting)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = got(ngram_join.join_components(df))
+    # the passage alone has 80 shingles: with one of 100 it needs 80
+    assert {c for i, (_, c) in rows.items() if i % 2 == 0 or i >= 10_000} == {0}
+    assert all(c == i for i, (_, c) in rows.items() if i % 2 == 1 and i < 10_000)
+    assert made["spoken"] <= 10 and made.get("members", 0) <= 10 and made.get("meet", 0) <= 10
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    docs = pd.DataFrame(family_docs(5), columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", docs)
+    rows = con.execute(ngram_join.ORACLE_SQL).fetchall()
+    assert {i: (n, c) for i, n, c in rows} == plain_components(list(docs.itertuples(index=False, name=None)))
+
+
+def test_work_tables_can_be_released(spark):
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    table = common.written(spark.range(3).toDF("x"), "some")
+    assert table.count() == 3 and Path(table.written_at).exists()
+    common.released(table, table, spark.range(2))
+    assert not Path(table.written_at).exists()
