@@ -23,6 +23,7 @@ empty table gives no rows; other columns don't matter, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,20 +37,31 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 SLOTS = 1 << 13
+PIECE = 1 << 20  # bytes of a text that are counted at a time
 BLOCK = 256  # slots a row of partial counts holds
 SHARPNESS = 6.0
 AMBIGUOUS = 0.15  # distance between the two nearest codewords
 MAX_LANGUAGES = 512  # labels of more languages than that aren't languages; bounds what a task and the driver hold (64 KB each)
 LEAST_FIT = 0.5  # nearer to random trigrams than to the learned rows: in no known language
 _LETTER = regex.compile(r"\p{L}")
-_WITH_DIGITS = regex.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 _ASCII_LETTER = regex.compile(r"[A-Za-z]")
 
 
-def trigram_slots(text: str) -> np.ndarray:
-    b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
-    return (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19)
+def trigram_counts(text: str) -> np.ndarray:
+    """How often each slot's trigrams stand in the text; piece by piece, so that long texts take no more memory."""
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
+    counts = np.zeros(SLOTS, np.int64)
+    for at in range(0, len(raw) - 2, PIECE):
+        b = raw[at : at + PIECE + 2].astype(np.uint32)
+        h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
+        counts += np.bincount((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19), minlength=SLOTS)
+    return counts
+
+
+def without_digits(text: str) -> str:
+    """The words that hold no digit."""
+    return " ".join([w for w in text.split() if w.isalpha() or not _DIGIT.search(w)])
 
 
 def has_letter(text: str | None) -> bool:
@@ -104,10 +116,9 @@ class LanguageModel:
         """How well the text's trigrams are known, whichever known languages they are in."""
         if not self.languages or not has_letter(text):
             return 0.0
-        words = _WITH_DIGITS.sub("", text)
-        if has_letter(words):
-            text = words
-        return float(self.familiar[trigram_slots(text)].mean())
+        words = without_digits(text)
+        counts = trigram_counts(words if has_letter(words) else text)
+        return float(self.familiar @ counts / counts.sum())
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the decision is ambiguous."""
@@ -115,9 +126,8 @@ class LanguageModel:
             return "und", 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        slots = trigram_slots(text)
-        counts = np.bincount(slots, minlength=SLOTS).astype(np.float32)
-        margin = (self.weights @ counts).astype(float) / len(slots)
+        counts = trigram_counts(text)
+        margin = (self.weights @ counts.astype(np.float32)).astype(float) / counts.sum()
         distance = (self.trust * np.logaddexp(0, -2 * self.code * margin)).sum(1)
         nearness = np.exp(-SHARPNESS * (distance - distance.min()))
         order = np.argsort(distance, kind="stable")
@@ -139,7 +149,7 @@ def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
                 if has_letter(text):
                     if lang not in sums:
                         sums[lang] = np.zeros(SLOTS, np.int64)
-                    sums[lang] += np.bincount(trigram_slots(text), minlength=SLOTS)
+                    sums[lang] += trigram_counts(text)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * blocks), pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in total.reshape(blocks, BLOCK)])],

@@ -290,7 +290,7 @@ def test_pipeline_against_plain_python(spark, pipeline):
     counts: dict = {}
     for i, t in kept.items():
         if langs[i] is not None and re.search(r"[^\W\d_]", t):
-            counts[langs[i]] = counts.get(langs[i], 0) + np.bincount(langid.trigram_slots(t), minlength=langid.SLOTS)
+            counts[langs[i]] = counts.get(langs[i], 0) + langid.trigram_counts(t)
     model = langid.LanguageModel.from_counts(counts)
     kept = {i: t for i, t in kept.items() if model.fit(t) >= langid.LEAST_FIT}
     classes = plain_components(list(kept.items()))
