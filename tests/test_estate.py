@@ -38,7 +38,7 @@ def rows(df, *cols, order=None):
 
 def test_every_table_runs(made, spark):
     empty = estate.tables(spark.createDataFrame([], "doc string, text string"))
-    assert len(made) == 34
+    assert len(made) == 36
     for name, df in made.items():
         assert "Python" not in df._jdf.queryExecution().toString()
         assert df.columns == empty[name].columns
@@ -79,3 +79,71 @@ def test_order_lines_of_the_latest_report_only(spark):
     only = {k: v for k, v in TEXTS.items() if k == "DOC-AR-2020"}
     made = estate.order_line(spark.createDataFrame(list(only.items()), "doc string, text string"))
     assert rows(made, "seq", "client", "type", "awarded", "variations", "current_value", "status", order="seq") == [(1, "Water Board", "item-rate", 10, 5, 15, "active"), (2, "City Metro", "epc", 20, 0, 20, "closed")]
+
+
+def table(spark, name, **texts):
+    return estate.TABLES[name](spark.createDataFrame([(k.replace("_", "-"), v) for k, v in texts.items()], "doc string, text string"))
+
+
+def test_long_annexures_lose_no_row(spark):
+    notes = "\n".join(f"CN-2020-{k}\n01/07/2020\n{k}\nrefund no {k}" for k in range(600))
+    made = table(spark, "credit_note", DOC_AR_2020=f"FY 2020\nCREDIT NOTES ISSUED\n{notes}\nANNEXURE — TRADE RECEIVABLES")
+    assert made.count() == 600 and made.agg({"amount": "sum"}).first()[0] == sum(range(600))
+    orders = "\n".join(f"{k}\nWater\nBoard {k}\nepc\n{k},000\n0\n{k},000\nactive" for k in range(1, 901))
+    made = table(spark, "order_line", DOC_AR_2020=f"FY 2020\nANNEXURE — ORDER BOOK\n{orders}\nANNEXURE — VARIATION ORDERS")
+    assert made.count() == 900 and rows(made.filter("seq = 900"), "client", "type", "awarded", "status") == [("Water Board 900", "epc", 900_000, "active")]
+
+
+def test_statements_keep_rows_that_look_alike_and_their_order(spark):
+    text = "FY 2020\nOpening balance b/f\n100\n2020-04-01\nFee\n10\n90\n2020-04-01\nFee\n10\n0\n80\n2020-04-01\nFee\n10\n70\n2020-04-01\nSale\n50\n120\n2020-04-02\nEnd\n0\n20\n140\nClosing"
+    made = table(spark, "bank_txn", DOC_BANK_1=text)
+    assert rows(made, "particulars", "deposit", "withdrawal", "balance", order=["date", "pos"]) == [
+        ("Fee", None, 10, 90), ("Fee", 0, 10, 80), ("Fee", None, 10, 70), ("Sale", 50, None, 120), ("End", 20, 0, 140)]
+
+
+def test_client_certificates_by_label_and_by_prose(spark):
+    labels = "To whom it may concern\nName of Work\nCanal Lining – Kerala Pkg-7 (Irrigation)\nEmployer\nWater Board (PSU)\nNature of Work\nIrrigation\nExecuted Value\nINR 12.5 Cr\nDate of Completion\n3 May 2020\nProject Lead\nMr. A Rao\nThe work is graded as Very Good."
+    prose = "City Metro\nThis is to say that the work of “Viaduct Pkg-9” was completed in all respects on 01/02/2019 at a gross executed value of Rs. 3 Crore, supervised at all times by Bela Sen."
+    made = table(spark, "client_cert", DOC_CC_1=labels, DOC_CC_2=prose, DOC_CC_3="", DOC_CCC_1=labels)
+    d = dt.date
+    assert rows(made, "work", "work_key", "client", "category", "value", "completed", "lead", "grading", order="doc") == [
+        ("Canal Lining – Kerala Pkg-7", "canal lining kerala pkg 7", "Water Board", "Irrigation", 125_000_000, d(2020, 5, 3), "A Rao", "Very Good"),
+        ("Viaduct Pkg-9", "viaduct pkg 9", "City Metro", None, 30_000_000, d(2019, 2, 1), "Bela Sen", None),
+        (None, None, None, None, None, None, None, None)]
+    own = estate.certificate(spark.createDataFrame([("DOC-CC-2", prose)], "doc string, text string"), "client_cert", "City Metro")
+    assert rows(own, "client") == [(None,)]
+
+
+def test_portfolio_entries(spark):
+    text = "Works\n1. Canal Lining – Kerala Pkg-7\nClient\nIrrigation and Waterways Dept, Govt of Kerala (JV\nPartner)\nCategory\nIrrigation\nExecuted Value\nINR 40.00 Cr\nCompleted\nDecember 8, 2012 - Certificate 1\n2. not a heading\n3. Bridge over a river Pkg-8\n\nClient\nRoads Board\nValue\n5 Lakh"
+    made = table(spark, "portfolio", DOC_PORT_1=text, DOC_PORT_2="")
+    assert rows(made, "seq", "work", "client", "role", "category", "value", "completed", order="seq") == [
+        (1, "Canal Lining – Kerala Pkg-7", "Irrigation and Waterways Dept, Govt of Kerala", "JV Partner", "Irrigation", 400_000_000, dt.date(2012, 12, 8)),
+        (3, "Bridge over a river Pkg-8", "Roads Board", None, None, 500_000, None)]
+
+
+def test_credentials_by_layout(spark):
+    made = table(spark, "credential", DOC_PCERT_1="PMI\n\nPMP\nThis credential is conferred upon\nBela Sen", DOC_PCERT_2="Credential Type\nsix sigma BLACK belt\nThis is to certify that\nA Rao", DOC_PCERT_3="for ASQ members")
+    assert rows(made, "credential", "name", order="doc") == [("PMP", "Bela Sen"), ("Six Sigma Black Belt", "A Rao"), ("ASQ", None)]
+
+
+def test_dossier_annexures(spark):
+    text = ("Dossier Canal & Dam Works — Tender RFP-12\nThe Tender Inviting Authority,\nWater Board\nAnnexure\nContents\nA\nLetters\nB\nRegisters\nDOC-1\nAnnexure B — Registers\nTax office\nT-1\nactive\n"
+            "Labour office\nL-2\nExpired\nCertificate Copy 1\nCertificate Copy 2\nAnnexure H — Bid security\nTender\nBank\nAmount\nValid To\nRFP-12\nState Union Bank\nINR 5 Lakh\n31 Mar 2021")
+    made = table(spark, "dossier", DOC_DOSSIER_1=text)
+    assert rows(made, "work", "client", "annexures", "registrations", "cert_copies", "bid_security_bank", "bid_security", "bid_security_valid_to") == [
+        ("Canal & Dam", "Water Board", 2, 2, 2, "State Union Bank", 500_000, dt.date(2021, 3, 31))]
+
+
+@pytest.mark.parametrize(("template", "text", "want"), [
+    ("valid from {date} until {=date}", "is valid from 2020-01-01 until 1 Jan 2021.", "1 Jan 2021"), ("{=int} owned assets", "with 1,234 owned assets", "1,234"),
+    ("Bond No {=code}", "BOND NO: BG/7-1.", "BG/7-1"), ("{=RFP-}", "see RFP-12, RFP-13", "RFP-12"), ("EMD Amount {money} ({=double}%)", "EMD Amount INR 2 Cr (2.5%)", "2.5"),
+    ("a [b|] {=word}", "a b cd", "cd"), ("a [b|] {=word}", "a cd", "cd"), ("Value {=money}", "Revalue INR 2 Cr", None), ("by {=person}", "by the old A. Rao", None),
+])
+def test_templates(spark, template, text, want):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import forms
+
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(forms.says(template)(forms.page(F.col("t")))).collect()
+    assert [r[0] for r in row] == [want, None]

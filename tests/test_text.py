@@ -25,6 +25,44 @@ def test_money(spark):
         333800000, 333800000, 333800000, 333800000, 814400000, -2464151, None, None]
 
 
+def test_money_units_and_signs(spark):
+    assert one(spark, norm.money, "INR 5 Lacs", "5 lac", "-5 Cr", "INR -2,464,151", "Rs.-7", "(INR 2 Cr)", "-1,234.5", "₹ 12.5 crores", "") == [
+        500000, 500000, -50000000, -2464151, -7, -20000000, -1234, 125000000, None]
+    assert one(spark, norm.threshold, "INR 5 Lacs", "above five lac", "over 12 lacs", "10,00,00,000 Cr", "500000000 or more", "in 2020") == [500000, 500000, 1200000, 10**15, 500000000, None]
+
+
+def test_masks_keep_places(spark):
+    text = "per ISO 9001:2015 and OHSAS 18001, ref BOARD/2026/003 of 28/08/2022, days after 1 January 2010"
+    for mask, gone in ((norm.mask_standards, ["ISO 9001:2015", "OHSAS 18001"]), (norm.mask_refs, ["BOARD/2026/003"]), (norm.mask_epoch, ["days after 1 January 2010"])):
+        want = text
+        for g in gone:
+            want = want.replace(g, " " * len(g))
+        assert one(spark, mask, text, "nothing here", "", None) == [want, "nothing here", "", None]
+    assert one(spark, lambda t: norm.without_name(t, ["Own Works Ltd", "Own Works"]), "for Own  Works Ltd and Own Worksite") == ["for" + " " * 16 + "and Own Worksite"]
+
+
+def test_fiscal_years_in_texts(spark):
+    assert one(spark, norm.fiscal_years, "the year ended 31 March 2020 and as at 31st March, 2021", "in 2020", "FY2019-20", None) == ["FY2019-20 and FY2020-21", "in 2020", "FY2019-20", None]
+
+
+def test_grades_and_credentials(spark):
+    assert one(spark, norm.grading, "The work is graded as Very\nGood.", "is graded Good", "We have assessed the completed work as Fair", "The representative assessed it on site as Excellent.",
+               "found satisfactory on inspection", "graded as Splendid", None) == ["Very Good", "Good", "Fair", "Excellent", None, None, None]
+    assert one(spark, norm.credential_name, "pmp", "SIX SIGMA  black belt", "CSSBB", "chartered engineer", None, "") == ["PMP", "Six Sigma Black Belt", "Six Sigma Black Belt", "Chartered Engineer", None, None]
+
+
+def test_sections_have_no_cap_before_their_end(spark):
+    long = "<A>" + "row\n" * 10_000 + "<B>tail"
+    assert one(spark, lambda t: F.length(norm.section(t, "<A>", "<B>")), long, long[:-7]) == [40_000, 12_000]
+
+
+def test_negated_words_and_capitals(spark):
+    assert one(spark, lambda t: norm.without_negated(t, ["gujarat", "odisha"]), "phed odisha not gujarat", "not the Odisha or Gujarat one, odisha", "a gujarat not") == ["phed odisha not", "not the or one, odisha", "a gujarat not"]
+    fold = lambda t: norm.folded(t, {"pwd": "public works department"}, capital={"UP": "uttar pradesh"}, beside=["irrigation", "jal nigam"])
+    assert one(spark, fold, "UP PWD", "pulling up", "the up irrigation file", "jal nigam up") == ["uttar pradesh public works department", "pulling up", "the uttar pradesh irrigation file", "jal nigam uttar pradesh"]
+    assert one(spark, norm.word_stem, "parties", "invoices", "invoiced", "total") == ["parti", "invoic", "invoic", "total"]
+
+
 def test_numbers_and_bars(spark):
     assert one(spark, norm.words_to_number, "seventy-three", "two hundred five", "nothing", None) == [73, 205, None, None]
     assert one(spark, norm.threshold, "works crossing the seventy-three crore mark", "credential target of INR 20 Cr", "above 5,00,00,000 in all") == [730000000, 200000000, 50000000]
@@ -41,7 +79,7 @@ def test_names(spark):
     assert one(spark, norm.norm_client, " Water  Board (PSU) ", "Acme.") == ["Water Board", "Acme"]
     assert one(spark, norm.norm_work, "Road – Phase II, (Pkg-3)") == ["road phase ii pkg 3"]
     assert one(spark, norm.norm_person, "Dr. A  Rao") == ["A Rao"]
-    assert one(spark, norm.stem, "parties", "building", "roads", "glass") == ["party", "build", "road", "glass"]
+    assert one(spark, norm.stem, "parties", "building", "roads", "glass") == ["party", "build", "road", "glas"]
     assert one(spark, norm.answer_type, "How many works?", "What share of works?", "Number of days between", "Total value?") == ["count", "percent", "days", "money"]
     assert one(spark, norm.state_of, "Canal lining – Kerala Pkg-7") == ["Kerala"]
     assert one(spark, lambda t: norm.after_label(t, "Employer"), "x\nEmployer:\n  Acme Ltd \ny") == ["Acme Ltd"]
@@ -50,7 +88,7 @@ def test_names(spark):
 
 def test_folding_and_masks(spark):
     assert one(spark, lambda t: norm.folded(t, {"dept": "department", "govt": "government"}), "Water Dept. & Govt  of X") == ["water department and government of x"]
-    assert one(spark, lambda t: norm.masked(t, r"\bISO \d+\b"), "per ISO 9001 and 9001") == ["per   and 9001"]
+    assert one(spark, lambda t: norm.masked(t, r"\bISO \d+\b"), "per ISO 9001 and 9001") == ["per          and 9001"]
     assert one(spark, norm.without_trailing_note, "Canal (old)", "Canal (Pkg-3)") == ["Canal", "Canal (Pkg-3)"]
     assert one(spark, norm.lenient_year, "2020-01-01T00", "x", None) == [2020, None, None]
     assert one(spark, norm.lenient_date, "2020-01-05T00", "2020-13-01") == [dt.date(2020, 1, 5), None]
