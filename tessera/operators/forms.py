@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import norm
@@ -46,6 +46,11 @@ SHAPES = {
 _TOKEN = re.compile(r"\{(=?)([^}]+)\}|\[([^\]]*)\]|(\s+)|(~)|([^\s{\[~]+)")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used: as the only element of an array."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _literal(text: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", text)
 
@@ -80,20 +85,24 @@ def pattern(template: str, kinds: dict[str, str] | None = None) -> str:
     return f"(?iu){start}{''.join(out)}{end}"
 
 
-@dataclass(frozen=True)
 class Page:
-    """What the readers of one document share."""
+    """What the readers of one document share: columns that ``paged`` has made."""
 
-    text: Column
-    flat: Column
-    lines: Column  # trimmed
+    text = property(lambda self: F.col("text"))
+    flat = property(lambda self: F.col("flat"))
+    lines = property(lambda self: F.col("lines"))  # trimmed
+    bare = property(lambda self: F.col("bare"))  # in lower case and without a colon behind
 
 
 Reader = Callable[[Page], Column]
+PAGE = Page()
 
 
-def page(text: Column) -> Page:
-    return Page(text, norm.flat(text), F.transform(F.split(text, "\n"), lambda x: F.trim(x)))
+def paged(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that the readers share, made once per document: they stand in projections of their own."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    bare = F.transform("lines", lambda x: F.lower(F.rtrim(F.regexp_replace(x, ":$", ""))))
+    return docs.withColumns({"flat": norm.flat(F.col("text")), "lines": lines}).withColumn("bare", bare)
 
 
 def _stated(value: Column) -> Column:
@@ -129,13 +138,10 @@ def below(*labels: str, within: int = 2) -> Reader:
     """The first line with something on it, of the ``within`` lines under the first of the labels that stands on a line of its own."""
 
     def read(p: Page) -> Column:
-        bare = F.transform(p.lines, lambda x: F.lower(F.rtrim(F.regexp_replace(x, ":$", ""))))
-        found = []
-        for label in labels:
-            at = F.array_position(bare, label.rstrip(":").lower()).cast("int")
-            near = F.slice(p.lines, F.greatest(at, F.lit(0)) + 1, F.lit(within))
-            found.append(F.when(at > 0, F.get(F.filter(near, lambda x: x != ""), F.lit(0))))
-        return F.coalesce(*found)
+        def under(at: Column) -> Column:
+            return F.when(at > 0, F.get(F.filter(F.slice(p.lines, F.greatest(at, F.lit(0)) + 1, F.lit(within)), lambda x: x != ""), F.lit(0)))
+
+        return F.coalesce(*[bound(F.array_position(p.bare, label.rstrip(":").lower()).cast("int"), under) for label in labels])
 
     return read
 
@@ -238,14 +244,12 @@ def cells(**kinds: str | tuple[str, ...]) -> tuple[Cell, ...]:
 
 def between(lines: Column, start: str, end: str | None) -> Column:
     """The lines behind the first one that holds ``start``, up to the next that holds ``end``; a mark behind = is the whole line."""
-    size = F.size(lines)
     holds = lambda mark: lambda x: x == mark[1:] if mark[0] == "=" else F.contains(x, F.lit(mark))
-    at = F.array_position(F.transform(lines, holds(start)), True).cast("int")
-    rest = F.slice(lines, at + 1, F.greatest(size - at, F.lit(0)))
+    place = lambda rows, mark: F.array_position(F.transform(rows, holds(mark)), True).cast("int")
+    rest = bound(place(lines, start), lambda at: F.when(at > 0, F.slice(lines, at + 1, F.size(lines))))
     if end is None:
-        return F.when(at > 0, rest)
-    stop = F.array_position(F.transform(rest, holds(end)), True).cast("int")
-    return F.when(at > 0, F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest))
+        return rest
+    return bound(rest, lambda r: bound(place(r, end), lambda stop: F.when(stop > 0, F.slice(r, F.lit(1), stop - 1)).otherwise(r)))
 
 
 def run_starts(lines: Column, columns: tuple[Cell, ...], not_then: str | None = None) -> Column:
@@ -266,8 +270,9 @@ def runs(lines: Column, columns: tuple[Cell, ...], not_then: str | None = None)
 def parts(lines: Column, opens: Callable[[Column, Column], Column]) -> Column:
     """array<array<string>>: from each line that opens a part up to the next one; opens: of a line and its place."""
     size = F.size(lines)
-    at = F.filter(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.coalesce(opens(F.get(lines, i), i), F.lit(False)))
-    return F.transform(at, lambda i, k: F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), size) - i))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.filter(places, lambda i: F.coalesce(opens(F.get(lines, i), i), F.lit(False)))
+    return bound(found, lambda at: F.transform(at, lambda i, k: F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), size) - i)))
 
 
 def serial_parts(lines: Column) -> Column:
@@ -279,16 +284,17 @@ def serial_parts(lines: Column) -> Column:
         opens = line["x"] == acc["n"].cast("string")
         return F.struct(F.when(opens, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(opens, F.array_append(acc["at"], line["i"])).otherwise(acc["at"]).alias("at"))
 
-    at = F.aggregate(numbered, start, step, lambda acc: acc["at"])
-    return F.transform(at, lambda i, k: F.slice(lines, i + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - i - 1))
+    found = F.aggregate(numbered, start, step, lambda acc: acc["at"])
+    return bound(found, lambda at: F.transform(at, lambda i, k: F.slice(lines, i + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - i - 1)))
 
 
 def labelled(part: Column, label: str, within: int = 2) -> Column:
     """The value under a label within a part; a value whose parenthesis is open goes on over the next lines."""
-    at = F.array_position(F.transform(part, F.lower), label.lower()).cast("int")
-    behind = F.slice(part, at + 1, F.greatest(F.size(part) - at, F.lit(0)))
-    place = F.array_position(F.transform(F.slice(behind, 1, within), lambda x: x != ""), True).cast("int")
-    opened = lambda x: F.length(x) - F.length(F.translate(x, "(", "")) > F.length(x) - F.length(F.translate(x, ")", ""))
-    more = F.slice(behind, place + 1, F.greatest(F.size(behind) - place, F.lit(0)))
-    whole = F.aggregate(more, F.get(behind, place - 1), lambda acc, x: F.when(opened(acc) & (x != ""), F.concat(acc, F.lit(" "), x)).otherwise(acc))
-    return F.when((at > 0) & (place > 0), whole)
+    opened = lambda x: F.length(F.translate(x, "(", "")) < F.length(F.translate(x, ")", ""))
+    place = lambda rows, test: F.array_position(F.transform(rows, test), True).cast("int")
+
+    def value(behind: Column) -> Column:
+        return bound(place(F.slice(behind, 1, within), lambda x: x != ""), lambda at: F.when(at > 0, F.aggregate(
+            F.slice(behind, at + 1, F.size(behind)), F.get(behind, at - 1), lambda acc, x: F.when(opened(acc) & (x != ""), F.concat(acc, F.lit(" "), x)).otherwise(acc))))
+
+    return bound(place(part, lambda x: F.lower(x) == label.lower()), lambda at: F.when(at > 0, bound(F.slice(part, at + 1, F.size(part)), value)))

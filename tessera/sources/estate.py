@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import norm
 from tessera.operators import extract
 from tessera.operators.forms import (
-    Cell, Page, Reader, below, between, cells, every, first, first_line, labelled, line_with, on_line, page, parts, run_starts, runs, says, serial_parts, typed,
+    PAGE, Cell, Page, Reader, below, between, bound, cells, every, first, first_line, labelled, line_with, on_line, paged, parts, run_starts, runs, says, serial_parts, typed,
 )
 
 # What the documents print (id prefixes, labels, headings, statuses, units) and the day of the estate.
@@ -170,26 +170,32 @@ LISTINGS: dict[str, Listing] = {
 
 
 def of_type(texts: DataFrame, doc_type: str) -> DataFrame:
-    """(doc, text) of the documents of a type; the longest prefix decides."""
-    return texts.filter(extract.doc_type(F.col("doc"), TYPES) == doc_type).select("doc", F.coalesce("text", F.lit("")).alias("text"))
+    """(doc, text, flat, lines, bare) of the documents of a type; the longest prefix decides."""
+    return paged(texts.filter(extract.doc_type(F.col("doc"), TYPES) == doc_type).select("doc", F.coalesce("text", F.lit("")).alias("text")))
 
 
-def _columns(doc_type: str, p: Page, names: tuple[str, ...] | None = None) -> list[Column]:
+def _columns(doc_type: str, names: tuple[str, ...] | None = None) -> list[Column]:
     spec = RECORDS[doc_type]
-    return [typed(spec[n][1](p), spec[n][0]).alias(n) for n in names or spec]
+    return [typed(spec[n][1](PAGE), spec[n][0]).alias(n) for n in (spec if names is None else names)]
 
 
 def record(texts: DataFrame, doc_type: str, names: tuple[str, ...] | None = None) -> DataFrame:
     """One row per document of the type."""
-    return of_type(texts, doc_type).select("doc", *_columns(doc_type, page(F.col("text")), names))
+    return of_type(texts, doc_type).select("doc", *_columns(doc_type, names))
+
+
+def _runs(name: str) -> Column:
+    """All rows of a listing in its document, as an array."""
+    spec = LISTINGS[name]
+    read = lambda lines: runs(lines, spec.columns, spec.not_then)
+    return bound(between(PAGE.lines, *spec.within), read) if spec.within else read(PAGE.lines)
 
 
 def listing(texts: DataFrame, name: str) -> DataFrame:
     """One row per run, with its place in the document and what its document says once."""
     spec = LISTINGS[name]
-    p = page(F.col("text"))
-    lines = between(p.lines, *spec.within) if spec.within else p.lines
-    rows = of_type(texts, spec.doc_type).select("doc", F.explode(runs(lines, spec.columns, spec.not_then)).alias("r"), *_columns(spec.doc_type, p, spec.carries or ("",)) if spec.carries else [])
+    found = _runs(name)
+    rows = of_type(texts, spec.doc_type).select("doc", F.explode(found).alias("r"), *(_columns(spec.doc_type, spec.carries) if spec.carries else ()))
     out = rows.select("doc", "r.*", *spec.carries)
     if spec.skip:
         out = out.filter(~F.lower(spec.columns[0].name).isin(list(spec.skip)))
@@ -198,9 +204,8 @@ def listing(texts: DataFrame, name: str) -> DataFrame:
 
 def bond(texts: DataFrame) -> DataFrame:
     """Guarantees; the largest stated amount counts, a stated zero stays zero."""
-    p = page(F.col("text"))
-    amount = F.array_max(F.transform(every("not exceeding {=money}")(p), norm.money)).alias("amount")
-    rows = of_type(texts, "bond").select("doc", *_columns("bond", p), amount).withColumn("valid_from", F.coalesce("from_text", "issue_date")).drop("from_text")
+    amount = F.array_max(F.transform(every("not exceeding {=money}")(PAGE), norm.money)).alias("amount")
+    rows = of_type(texts, "bond").select("doc", *_columns("bond"), amount).withColumn("valid_from", F.coalesce("from_text", "issue_date")).drop("from_text")
     return rows.withColumns({
         "validity_days": F.datediff("valid_until", "valid_from"), "year": F.year("issue_date"), "expiry_year": F.year("valid_until"),
         "contract_value": F.bround(F.try_divide(F.col("amount") * 100.0, F.nullif("guarantee_pct", F.lit(0.0))), 0).cast("bigint"),
@@ -235,17 +240,14 @@ def iso_cert(texts: DataFrame) -> DataFrame:
 
 def dossier(texts: DataFrame) -> DataFrame:
     """Bid dossiers with what their annexures hold; the first row of the security's table counts."""
-    p = page(F.col("text"))
     stated = lambda n: F.nullif(n, F.lit(0))
-    copies = F.size(F.filter(p.lines, lambda x: F.contains(F.lower(x), F.lit("certificate copy"))))
-    contents = F.filter(between(p.lines, "=Contents", "DOC-"), lambda x: F.regexp_like(x, F.lit("^[A-Z]$")))
-    inside = lambda name: runs(between(p.lines, *LISTINGS[name].within), LISTINGS[name].columns)
-    heads = F.aggregate(F.transform(runs(p.lines, LISTINGS["business_unit"].columns), lambda r: r["headcount"]), F.lit(0), lambda a, b: a + b)
-    security = F.get(inside("security"), F.lit(0))
+    copies = F.size(F.filter(PAGE.lines, lambda x: F.contains(F.lower(x), F.lit("certificate copy"))))
+    contents = F.filter(between(PAGE.lines, "=Contents", "DOC-"), lambda x: F.regexp_like(x, F.lit("^[A-Z]$")))
+    heads = F.aggregate(F.transform(_runs("business_unit"), lambda r: r["headcount"]), F.lit(0), lambda a, b: a + b)
     return of_type(texts, "dossier").select(
-        "doc", *_columns("dossier", p), stated(copies).alias("cert_copies"), stated(F.size(contents)).alias("annexures"), F.coalesce(F.size(inside("registration")), F.lit(0)).alias("registrations"),
-        stated(heads).alias("headcount"), security["bank"].alias("bid_security_bank"), security["amount"].alias("bid_security"), security["valid_to"].alias("bid_security_valid_to"),
-    ).withColumn("tender_ref", F.col("rfp_ref"))
+        "doc", *_columns("dossier"), stated(copies).alias("cert_copies"), stated(F.size(contents)).alias("annexures"), F.coalesce(F.size(_runs("registration")), F.lit(0)).alias("registrations"),
+        stated(heads).alias("headcount"), F.get(_runs("security"), F.lit(0)).alias("s"),
+    ).withColumns({"bid_security_bank": F.col("s.bank"), "bid_security": F.col("s.amount"), "bid_security_valid_to": F.col("s.valid_to"), "tender_ref": F.col("rfp_ref")}).drop("s")
 
 
 def business_unit(texts: DataFrame) -> DataFrame:
@@ -256,17 +258,18 @@ def business_unit(texts: DataFrame) -> DataFrame:
 def fin_line(texts: DataFrame) -> DataFrame:
     """Statement lines in rupees (printed in lakhs) with the section they stand under; the first line of a name counts."""
     joined = F.regexp_replace("text", r"\n\(([A-Z])\)\n", " ($1)\n")  # a letter in parentheses belongs to the line over it
-    p, columns = page(joined), cells(account="text", current="figure")
     capitals = lambda x: (F.upper(x) == x) & F.regexp_like(x, F.lit(r"^[A-Z]{2}|^[A-Z]\. "))
-    heads = F.filter(F.transform(p.lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda h: capitals(h["x"]) & ~F.coalesce(F.regexp_like(F.get(p.lines, h["i"] + 1), F.lit(r"^\(?-?\d")), F.lit(False)))
+    figure_at = lambda i: F.coalesce(F.regexp_like(F.get(PAGE.lines, i), F.lit(r"^\(?-?\d")), F.lit(False))
+    heads = F.filter(F.transform(PAGE.lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda h: capitals(h["x"]) & ~figure_at(h["i"] + 1))
 
     def row(r: Column) -> Column:
-        nearest = F.element_at(F.filter(heads, lambda h: h["i"] <= r["pos"]), -1)["x"]
-        behind = F.get(p.lines, r["pos"] + 2)
+        nearest = F.element_at(F.filter("heads", lambda h: h["i"] <= r["pos"]), -1)["x"]
+        behind = F.get(PAGE.lines, r["pos"] + 2)
         previous = F.when(F.regexp_like(behind, F.lit(r"^-?[\d,]+$")), norm.number(behind))
         return F.struct(r["pos"].alias("pos"), F.regexp_replace(r["account"], ":$", "").alias("account"), nearest.alias("section"), (r["current"] * LAKH).alias("current"), (previous * LAKH).alias("previous"))
 
-    rows = of_type(texts, "financials").select("doc", F.explode(F.transform(runs(p.lines, columns), row)).alias("r"), *_columns("financials", p))
+    docs = paged(of_type(texts, "financials").select("doc", joined.alias("text"))).withColumn("heads", heads)
+    rows = docs.select("doc", F.explode(F.transform(runs(PAGE.lines, cells(account="text", current="figure")), row)).alias("r"), *_columns("financials"))
     rows = rows.select("doc", "r.*", "year").filter((F.length("account") >= 4) & ~F.lower("account").startswith("particulars"))
     first_seen = F.row_number().over(Window.partitionBy("doc", "account").orderBy("pos"))
     return rows.withColumn("r", first_seen).filter("r = 1").drop("r", "pos").withColumn("balance", F.col("current"))
@@ -277,9 +280,8 @@ def ra_bill(texts: DataFrame) -> DataFrame:
 
 
 def final_bill(texts: DataFrame) -> DataFrame:
-    p = page(F.col("text"))
-    listed = F.aggregate(runs(p.lines, _BOQ), F.lit(None).cast("bigint"), lambda acc, r: F.coalesce(acc + r["amount"], r["amount"], acc))
-    rows = of_type(texts, "final_bill").select("doc", *_columns("final_bill", p), listed.alias("listed"))
+    listed = F.aggregate(_runs("final_boq"), F.lit(None).cast("bigint"), lambda acc, r: F.coalesce(acc + r["amount"], r["amount"], acc))
+    rows = of_type(texts, "final_bill").select("doc", *_columns("final_bill"), listed.alias("listed"))
     ends = F.split("period", r"\s*[—–]\s*| - ")
     return rows.withColumns({
         "executed": F.coalesce("total", "listed"), "period_from": norm.parse_date(F.get(ends, F.lit(0))), "period_to": norm.parse_date(F.get(ends, F.lit(1))),
@@ -318,15 +320,14 @@ def bank_year(texts: DataFrame) -> DataFrame:
 
 def ledger_line(texts: DataFrame) -> DataFrame:
     """Entries under their account; the side stands beside the balance or on a line of its own."""
-    p = page(F.col("text"))
     heading = lambda x, i: F.startswith(x, F.lit("ACCOUNT ")) & F.regexp_like(x, F.lit(r"\d"))
-    accounts = of_type(texts, "ledger").select("doc", *_columns("ledger", p), F.posexplode(parts(p.lines, heading)).alias("block", "part"))
+    accounts = of_type(texts, "ledger").select("doc", *_columns("ledger"), F.posexplode(parts(PAGE.lines, heading)).alias("block", "part"))
     title = F.get("part", F.lit(0))
     kind = F.lower(F.regexp_extract(title, r"\((\w+)\)\s*$", 1))
     known = kind.isin(*ACCOUNT_TYPES)
     name = F.regexp_replace(title, r"^ACCOUNT\s+\d+\s*[—–-]\s*", "")
     beside = F.flatten(F.transform("part", lambda x: F.when(F.regexp_like(x, F.lit(r"(?i)^\(?[\d,]+\)?\s+(dr|cr)$")), F.split(x, r"\s+")).otherwise(F.array(x))))
-    entries = parts(beside, lambda x, i: (F.length(x) <= 20) & norm.parse_date(x).isNotNull())
+    entries = bound(beside, lambda part: parts(part, lambda x, i: (F.length(x) <= 20) & norm.parse_date(x).isNotNull()))
     rows = accounts.select(
         "doc", "year", "block", F.regexp_extract(title, r"(\d+)", 1).try_cast("int").alias("code"), norm.flat(F.when(known, F.regexp_replace(name, r"\s*\(\w+\)\s*$", "")).otherwise(name)).alias("account"),
         F.when(known, F.initcap(kind)).alias("account_type"), F.posexplode(entries).alias("pos", "e"),
@@ -354,17 +355,16 @@ def company_cert(texts: DataFrame) -> DataFrame:
 
 def certificate(texts: DataFrame, doc_type: str, own: str | None = None) -> DataFrame:
     """One work, client, value and date a certificate: labels first, prose where they are missing; ``own``: a letterhead that is no client."""
-    p = page(F.col("text"))
-    under = {c: below(*labels)(p) for c, labels in LABELS.items()}
-    work = F.coalesce(under["work"], says("the work of~[“|\"|']~{=text}~[”|\"|']", "for the work~[“|\"|']~{=text}~[”|\"|']")(p))
-    head = first_line("\n")(p)
+    under = {c: below(*labels)(PAGE) for c, labels in LABELS.items()}
+    work = F.coalesce(under["work"], says("the work of~[“|\"|']~{=text}~[”|\"|']", "for the work~[“|\"|']~{=text}~[”|\"|']")(PAGE))
+    head = first_line("\n")(PAGE)
     letterhead = F.when(~F.contains(F.lower(head), F.lit(own.lower())), head) if own else head
     return of_type(texts, doc_type).select(
         "doc", norm.without_trailing_note(norm.flat(work)).alias("work"), norm.norm_work(norm.without_trailing_note(norm.flat(work))).alias("work_key"),
         norm.norm_client(F.coalesce(under["client"], letterhead)).alias("client"), typed(under["category"], "text").alias("category"),
-        F.coalesce(norm.money(under["value"]), norm.money(says("[gross executed|executed|] value of {=money}")(p))).alias("value"),
-        F.coalesce(norm.parse_date(under["completed"]), norm.parse_date(says("completed in all respects on {=date}")(p))).alias("completed"),
-        norm.norm_person(F.coalesce(under["lead"], says("supervised {text} by {=person}", "supervised by {=person}")(p))).alias("lead"), under["certref"].alias("certref"), norm.grading(F.col("text")).alias("grading"),
+        F.coalesce(norm.money(under["value"]), norm.money(says("[gross executed|executed|] value of {=money}")(PAGE))).alias("value"),
+        F.coalesce(norm.parse_date(under["completed"]), norm.parse_date(says("completed in all respects on {=date}")(PAGE))).alias("completed"),
+        norm.norm_person(F.coalesce(under["lead"], says("supervised {text} by {=person}", "supervised by {=person}")(PAGE))).alias("lead"), under["certref"].alias("certref"), norm.grading(F.col("text")).alias("grading"),
     )
 
 
@@ -374,10 +374,9 @@ def client_cert(texts: DataFrame) -> DataFrame:
 
 def portfolio(texts: DataFrame) -> DataFrame:
     """Numbered entries: a heading with a client's label within two lines opens one; a role in parentheses behind the client is the role."""
-    p = page(F.col("text"))
-    near = lambda i: (F.get(p.lines, i + 1) == "Client") | F.coalesce(F.get(p.lines, i + 2) == "Client", F.lit(False))
+    near = lambda i: (F.get(PAGE.lines, i + 1) == "Client") | F.coalesce(F.get(PAGE.lines, i + 2) == "Client", F.lit(False))
     heading = lambda x, i: F.regexp_like(x, F.lit(r"^\d{1,3}\.\s+\S.{5,}$")) & near(i)
-    rows = of_type(texts, "portfolio").select("doc", F.explode(parts(p.lines, heading)).alias("part"))
+    rows = of_type(texts, "portfolio").select("doc", F.explode(parts(PAGE.lines, heading)).alias("part"))
     title = F.get("part", F.lit(0))
     part = F.col("part")
     said = labelled(part, "Client")
@@ -398,14 +397,13 @@ def cv(texts: DataFrame) -> DataFrame:
 
 def credential(texts: DataFrame) -> DataFrame:
     """Credentials under their common name: the label, else what is conferred over a name, else a known type anywhere, at last the authority."""
-    p = page(F.col("text"))
     known = {"type": "PMP|Six Sigma Black Belt|Six Sigma Green Belt|CSSBB|CQE", "body": "PMI|ASQ"}
-    conferred = F.array_position(F.transform(p.lines, lambda x: F.lower(x).startswith("this credential is conferred upon")), True).cast("int")
-    over = F.when(conferred > 1, F.get(p.lines, conferred - 2))
+    conferred = F.array_position(F.transform(PAGE.lines, lambda x: F.lower(x).startswith("this credential is conferred upon")), True).cast("int")
+    over = F.when(conferred > 1, F.get(PAGE.lines, conferred - 2))
     over = F.when(F.regexp_like(over, F.lit(f"(?i)^(?:{known['type']})$")), over)
-    label = RECORDS["credential"]["credential_type"][1](p)
-    name = norm.credential_name(F.coalesce(label, over, says("{=type}", kinds=known)(p), says("{=body}", kinds=known)(p)))
-    rows = of_type(texts, "credential").select("doc", *_columns("credential", p), name.alias("credential"))
+    label = RECORDS["credential"]["credential_type"][1](PAGE)
+    name = norm.credential_name(F.coalesce(label, over, says("{=type}", kinds=known)(PAGE), says("{=body}", kinds=known)(PAGE)))
+    rows = of_type(texts, "credential").select("doc", *_columns("credential"), name.alias("credential"))
     return rows.withColumn("validity_days", F.datediff("expires", "issued"))
 
 
@@ -445,8 +443,7 @@ def order_book(texts: DataFrame) -> DataFrame:
 
 def order_line(texts: DataFrame) -> DataFrame:
     """Contracts in force of the latest report: the next expected number opens a row; three figures follow a client and a type, which may wrap."""
-    p = page(F.col("text"))
-    rows = of_type(texts, "annual_report").select("doc", *_columns("annual_report", p, ("year",)), F.posexplode(serial_parts(between(p.lines, "ANNEXURE — ORDER BOOK", "ANNEXURE — VARIATION"))).alias("pos", "cells"))
+    rows = of_type(texts, "annual_report").select("doc", *_columns("annual_report", ("year",)), F.posexplode(bound(between(PAGE.lines, "ANNEXURE — ORDER BOOK", "ANNEXURE — VARIATION"), serial_parts)).alias("pos", "cells"))
     figure = lambda x: F.regexp_like(x, F.lit(r"^-?[\d,]+$"))
     figures = F.filter("cells", figure)
     words = F.regexp_replace(F.array_join(F.filter("cells", lambda x: ~figure(x) & (x != "")), " "), r"-\s+", "-")

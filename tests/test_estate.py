@@ -141,9 +141,7 @@ def test_dossier_annexures(spark):
     ("a [b|] {=word}", "a b cd", "cd"), ("a [b|] {=word}", "a cd", "cd"), ("Value {=money}", "Revalue INR 2 Cr", None), ("by {=person}", "by the old A. Rao", None),
 ])
 def test_templates(spark, template, text, want):
-    from pyspark.sql import functions as F
-
     from tessera.operators import forms
 
-    row = spark.createDataFrame([(text,), (None,)], "t string").select(forms.says(template)(forms.page(F.col("t")))).collect()
+    row = forms.paged(spark.createDataFrame([(text,), (None,)], "text string")).select(forms.says(template)(forms.PAGE)).collect()
     assert [r[0] for r in row] == [want, None]
