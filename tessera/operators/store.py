@@ -67,3 +67,38 @@ def canonical(df: DataFrame, name: str, names: DataFrame, canon: str) -> DataFra
 
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def guarded_spelling(df: DataFrame, key: str, name: str, known: DataFrame) -> DataFrame:
+    """``name`` as ``known`` spells it for the same key, only where both agree in letters and digits."""
+    spelt = known.filter(F.col(name).isNotNull()).groupBy(key).agg(F.max(name).alias("__c"))
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    same = F.coalesce(bare(F.col("__c")) == bare(F.col(name)), F.lit(False))
+    return df.join(spelt, key, "left").withColumn(name, F.when(same, F.col("__c")).otherwise(F.col(name))).drop("__c")
+
+
+def children(df: DataFrame, key: str, columns: list[str], name: str, order: list[str]) -> DataFrame:
+    """Per key its rows as one ordered list; as long as a key has rows, so for keys of bounded size."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
+    return df.groupBy(key).agg(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias(name))
+
+
+def people(credentials: DataFrame, cvs: DataFrame) -> DataFrame:
+    """All names of both sources: designation and CV from one, the list of credentials from the other, employee id from whichever states it."""
+    columns = ["credential", "credential_id", "issued", "doc"]
+    held = children(credentials.filter("name is not null"), "name", columns, "credentials", ["doc", "credential_id"])
+    ids = credentials.filter("name is not null").groupBy("name").agg(F.max_by("employee_id", "doc").alias("held_id"))
+    stated = cvs.filter("name is not null").groupBy("name").agg(F.max_by("doc", "doc").alias("cv_id"), F.max_by("employee_id", "doc").alias("employee_id"), F.max_by("designation", "doc").alias("designation"))
+    both = held.join(ids, "name").join(stated, "name", "full")
+    none = F.array().cast(held.schema["credentials"].dataType)
+    return both.select("name", F.coalesce("employee_id", "held_id").alias("employee_id"), "designation", "cv_id", F.coalesce("credentials", none).alias("credentials"))
+
+
+def not_included(part: DataFrame, whole: DataFrame) -> DataFrame:
+    """Distinct rows of ``part`` that ``whole`` lacks; empty where it is included."""
+    return part.distinct().subtract(whole.select(part.columns))
+
+
+def works_of(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Per key its distinct values, sorted."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(name))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,5 +50,34 @@ def census(df: DataFrame, column: str, pinned: dict[str, int]) -> DataFrame:
     return both.filter(~F.col("found").eqNullSafe(F.col("pinned")))
 
 
-def all_hold(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def agreement(a: DataFrame, b: DataFrame, key: str, pairs: dict[str, str]) -> DataFrame:
+    """(field, both, agree): over keys that both sources have, how often they say the same, letters' case aside; one job."""
+    left = a.select(key, *[F.col(x).alias(f"{x}__a") for x in pairs])
+    right = b.select(key, *[F.col(y).alias(f"{x}__b") for x, y in pairs.items()])
+    both = left.join(right, key)
+    bare = lambda c: F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    sums = [F.struct(F.lit(x).alias("field"), F.count(F.lit(1)).alias("both"), F.count_if(bare(f"{x}__a") == bare(f"{x}__b")).alias("agree")) for x in pairs]
+    return both.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+#: What must hold within the estate's tables: table, constraint, condition (null isn't checked).
+IDENTITIES: list[tuple[str, str, str]] = [
+    ("ra_bill", "net = work + gst - retention", "abs(net_claimed - (value_of_work + gst - retention)) <= 2"),
+    ("final_bill", "revised = awarded + variations", "abs(revised - (awarded + variations)) <= 2"),
+    ("boq_line", "amount = rate * quantity", "abs(amount - rate * quantity) <= 1"),
+    ("bank_year", "closing = opening + in - out", "closing = opening + deposits - withdrawals"),
+    ("order_line", "current = awarded + variations", "current_value = awarded + variations"),
+    ("ageing", "total = its three parts", "total = lt6 + m6_12 + gt12"),
+    ("compliance", "complied + not = all", "complied + not_complied = requirements"),
+    ("bond", "ends after it begins", "validity_days >= 0"),
+]
+
+
+def estate_identities(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, constraint, checked, violated) of the identities of all tables that are there."""
+    out = None
+    for name, constraint, condition in IDENTITIES:
+        if name in tables:
+            one = violations(tables[name], {constraint: F.expr(condition)}).select(F.lit(name).alias("table"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -30,6 +30,38 @@ def find(files: DataFrame, name: str) -> DataFrame:
     return files.filter((F.col("name") == name) | (F.col("doc_id") == name)).orderBy("name", "path").limit(1)
 
 
+def index(spark: SparkSession, root: str, shipped: str | None = None) -> DataFrame:
+    """(doc_id, name, path) of a corpus: the index that came with it, else made from its files."""
+    if shipped:
+        try:
+            return spark.read.csv(shipped, header=True)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return walk(spark, root).select("doc_id", "name", "path")
+
+
+def text_of(texts: DataFrame, doc_id: str, key: str = "doc_id") -> str | None:
+    """The text of one document, None where there is none."""
+    row = texts.filter(F.col(key) == doc_id).select("text").first()
+    return row["text"] if row else None
+
+
+def save_store(tables: dict[str, DataFrame], root: str) -> None:
+    """Every table as Parquet under its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def load_store(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """Whole answer rows (plan, reason, source) as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
 def cached(texts: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Append to a Parquet table only what it doesn't hold yet, and read it."""
     spark = texts.sparkSession
