@@ -32,8 +32,9 @@ def loose_category(name: str, value: str) -> Column:
     return F.contains(have, want) | F.contains(want, have)
 
 
-def referenced_share(work: DataFrame) -> DataFrame:
-    return work.groupBy("client").agg(percent(F.count_if("has_ref"), F.count("*")).alias("answer"))
+def referenced_share(work: DataFrame, category: str | None = None) -> DataFrame:
+    rows = work if category is None else work.filter(loose_category("category", category))
+    return rows.groupBy("client").agg(percent(F.count_if("has_ref"), F.count("*")).alias("answer"))
 
 
 def rank_value(work: DataFrame) -> DataFrame:
@@ -128,9 +129,15 @@ def distinct_count(work: DataFrame) -> DataFrame:
     return work.groupBy("client").agg(F.countDistinct(F.lower(F.trim("category"))).alias("answer"))
 
 
-def date_span(work: DataFrame, credential: DataFrame) -> DataFrame:
-    """Days between a person's credential and the last work they led."""
+def work_total(work: DataFrame) -> DataFrame:
+    """Work, its client, that client's whole portfolio."""
+    return work.select("work_id", "client").join(client_total(work), "client").select("work_id", "answer")
+
+
+def date_span(work: DataFrame, credential: DataFrame, title: str | None = None) -> DataFrame:
+    """Days between a person's credential and the named work, else the last work they led."""
     issued = credential.groupBy("name").agg(F.min("issued").alias("issued"))
+    work = work if title is None else work.filter(F.col("work") == title)
     last = work.filter("lead is not null").groupBy("lead").agg(F.max("completed").alias("done"))
     return last.join(issued, F.col("lead") == F.col("name")).select("lead", F.abs(F.datediff("done", "issued")).cast("bigint").alias("answer"))
 
