@@ -114,13 +114,19 @@ def map_rows(
     """
     arrow = pa.schema(list(zip(names, types, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 4096):
-                piece = batch.slice(part, 4096)
-                rows = list(fn(*(c.to_pylist() for c in piece.columns)))
-                if rows:
-                    arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-    return df.select(*columns).mapInArrow(run, schema)
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces:
+            rows = list(fn(*(c.to_pylist() for c in piece.columns)))
+            if rows:
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return df.select(*columns).mapInArrow(lambda batches: run(sliced(batches, 4096)), schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows; at the task's end Arrow gives back what it holds, as workers live on."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, sliced
 
 SLOTS = 1 << 13
 PIECE = 1 << 20  # bytes of a text that are counted at a time
@@ -192,7 +192,7 @@ def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         at = None
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             at = batch.schema.get_field_index(text_col) if at is None else at
             keep = []
             for text in batch.column(at).to_pylist():

@@ -60,7 +60,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, settled, written
+from .common import released, settled, sliced, written
 
 WORDS = 5
 BATCH_DOCS = 2048
@@ -70,7 +70,7 @@ ASKING_DOCS = 2048  # documents that ask in a block, per task
 BUCKET_BYTES = 1 << 25  # packed shingles a bucket holds about
 MOST_BITS = 20
 MU = 0.0085  # weight of the merge cost in DivideSkip's number of long lists
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _NONE = 0xFFFF
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S48, _S16 = np.uint64(32), np.uint64(48), np.uint64(16)
@@ -126,11 +126,11 @@ _TRAVEL = "bucket int, batch long, kind string, payload binary"
 def _sets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 24
-        for arrow in batches:
-            for part in range(0, arrow.num_rows, BATCH_DOCS):
-                ids, texts = (c.to_pylist() for c in arrow.slice(part, BATCH_DOCS).columns)
-                yield _one_batch(batch, ids, texts, bits)
-                batch += 1
+        for arrow in sliced(batches, BATCH_DOCS):
+            ids, texts = (c.to_pylist() for c in arrow.columns)
+            yield _one_batch(batch, ids, texts, bits)
+            batch += 1
+        _SEEN.clear()  # later stages run in the same worker
 
     return run
 

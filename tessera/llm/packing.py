@@ -29,7 +29,7 @@ from .common import map_rows, written
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 8192
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()-]*)")
 #: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.

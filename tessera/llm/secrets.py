@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, sliced
 
 SCOPE = 120  # code points on either side of a part
 BASE_KINDS = ("assign", "access", "hex")
@@ -166,7 +166,7 @@ def masked(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_chars"
     """``docs`` with every span masked; ``size_col``, where there is one, follows the new text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             at, size_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index(size_col)
             old = batch.column(at).to_pylist()
             new = [redact(t, find_spans(t, scope)[1]) for t in old]
