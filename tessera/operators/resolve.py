@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 RECALL = 0.30  # least share of a name's weight that a mention must carry
 MARGIN = 0.05  # least lead over the second name
+SMALL = ("the", "our", "a", "an", "of", "for", "and", "we", "us", "client", "account", "file")  # say nothing about which name is meant
 SALTED = 50  # names of one token that a join key holds about
 
 
@@ -24,7 +25,9 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
 
     The join is on each name's rarest tokens, however frequent they are: those without
     which the rest weighs less than RECALL, so that every name that reaches it is a
-    candidate.  A token of many names is dealt out over salted keys.
+    candidate.  A token of many names is dealt out over salted keys.  A mention that
+    reaches no name so, but whose words all stand in one name and no other, is that name;
+    where they stand in several it is ambiguous.
     """
     said = mentions.select(F.trim(mention).alias("m")).filter(F.col("m").isNotNull()).distinct()
     known = names.select(F.trim(name).alias("n")).filter(F.col("n").isNotNull()).distinct()
@@ -51,10 +54,27 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
     close = F.coalesce((F.col("a.score") - F.col("b.score") < MARGIN) & (F.col("a.got") - F.col("b.got") < MARGIN), F.lit(False))
     fuzzy = best.select("m", F.when(~close, F.col("a.n")).alias("n"), F.col("a.score").alias("confidence"), close.alias("ambiguous"))
     found = exact.unionByName(fuzzy)
+    found = found.unionByName(_contained(rest.join(fuzzy.select("m"), "m", "left_anti"), words, df))
     out = said.join(found, "m", "left").select(F.col("m").alias(mention), F.col("n").alias(name), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
     return out
 
 
+def _contained(said: DataFrame, words: DataFrame, df: DataFrame) -> DataFrame:
+    """(m, n, confidence, ambiguous) of mentions all of whose words, but for small ones, stand in names."""
+    small = F.array(*[F.lit(w) for w in SMALL])
+    heard = said.select("m", F.array_except(F.array_distinct(tokens(F.col("m"))), small).alias("ts")).filter(F.size("ts") > 0)
+    known = heard.select("m", "ts", F.explode("ts").alias("t")).join(df, "t")
+    rarest = known.groupBy("m").agg(F.count("*").alias("hits"), F.first("ts").alias("ts"), F.min_by("t", F.struct("df", "t")).alias("t"), F.min("df").alias("df")).filter(F.col("hits") == F.size("ts"))
+    salts = F.ceil(F.col("df") / SALTED).cast("int")
+    asked = rarest.select("m", "ts", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    full = words.groupBy("n").agg(F.collect_set("t").alias("nts"))  # as many as a name has words
+    held = words.join(df, "t").select("n", "t", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt")).join(full, "n")
+    whole = asked.join(held, ["t", "salt"]).filter(F.size(F.array_except("ts", "nts")) == 0)
+    per = whole.groupBy("m").agg(F.min("n").alias("n"), F.max("n").alias("last"), F.max(F.size("ts") / F.size("nts")).alias("share"))
+    one = F.col("n") == F.col("last")
+    return per.select("m", F.when(one, F.col("n")).alias("n"), F.when(one, F.col("share")).otherwise(0.0).alias("confidence"), (~one).alias("ambiguous"))
+
+
 def within_one_edit(a: Column, b: Column) -> Column:
     """One insertion, deletion, substitution or swap of neighbours."""
     size = F.least(F.length(a), F.length(b))

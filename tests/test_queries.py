@@ -8,6 +8,7 @@ import pytest
 from tessera import catalog
 
 DIR = "/root/testdata/sf0.001"
+catalog.queries()
 
 
 @pytest.fixture(scope="module")
