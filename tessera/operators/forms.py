@@ -168,15 +168,14 @@ def first(*readers: Reader) -> Reader:
 
 
 def typed(value: Column, kind: str) -> Column:
-    """Text of a value as its type; unreadable text is null."""
-    stated = _stated(value)
-    plain = F.regexp_replace(stated, ",", "")
-    return {
-        "text": lambda: norm.flat(stated), "int": lambda: plain.try_cast("int"), "double": lambda: plain.try_cast("double"),
-        "leading int": lambda: F.regexp_extract(stated, r"^\D*(\d+)", 1).try_cast("int"), "money": lambda: norm.money(stated),
-        "number": lambda: norm.number(stated), "magnitude": lambda: F.abs(norm.number(stated)),
-        "unbracketed": lambda: norm.number(F.translate(stated, "()", "")), "date": lambda: norm.parse_date(stated),
-    }[kind]()
+    """Text of a value as its type; unreadable text is null.  The value is found once, however often its type looks at it."""
+    plain = lambda v: F.regexp_replace(v, ",", "")
+    read: dict[str, Callable[[Column], Column]] = {
+        "text": norm.flat, "int": lambda v: plain(v).try_cast("int"), "double": lambda v: plain(v).try_cast("double"),
+        "leading int": lambda v: F.regexp_extract(v, r"^\D*(\d+)", 1).try_cast("int"), "money": norm.money, "number": norm.number,
+        "magnitude": lambda v: F.abs(norm.number(v)), "unbracketed": lambda v: norm.number(F.translate(v, "()", "")), "date": norm.parse_date,
+    }
+    return bound(_stated(value), read[kind])
 
 
 # ---------------------------------------------------------------- runs of lines
