@@ -144,6 +144,11 @@ def test_sql_says_the_same(spark):
     assert {i: (n, c) for i, n, c in rows} == plain_components(list(docs.itertuples(index=False, name=None)))
 
 
+def test_what_batches_send_for_themselves_is_spread():
+    homes = [ngram_join._home((task << 24) + k, 6) for task in range(200) for k in range(4)]
+    assert max(homes.count(b) for b in range(64)) < 4 * len(homes) / 64 and set(homes) <= set(range(64))
+
+
 def test_work_tables_can_be_released(spark):
     from pathlib import Path
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import langid, quality, queries, toxicity
+from tessera.llm import langid, quality, quality_rules, queries, secrets, toxicity
 
 DIR = "/root/testdata/sf0.01"
 
@@ -218,6 +218,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2)} == {"und"} and all(r["score"] == 0 for r in rows if r["lang_pred"] == "und")
     assert langid.accepted(odd_docs, model).columns == odd_docs.columns
+    assert langid.identify(no_docs, model).count() == 0 and langid.accepted(no_docs, model).count() == 0
+    clashing = odd_docs.withColumnsRenamed({"score": "lang_pred", "piece": "ambiguous"})
+    assert sorted(map(str, langid.identify(clashing, model).collect())) == sorted(map(str, rows))
     nothing = langid.learn(no_docs)
     assert {r["lang_pred"] for r in langid.identify(odd_docs, nothing).collect()} == {"und"}
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, None), (5, 0, 1), (5, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
@@ -277,16 +280,45 @@ def test_pipeline_stages(spark, pipeline, odd_docs, no_docs):
         assert pipeline.STAGES[-1][1](spark, docs, DIR).count() >= docs.count()
 
 
+def plain_kept(docs):
+    """Ids that pass the base rules and their group's fences, with exact quartiles."""
+    from .test_texts import WORD, plain_rules
+
+    ratios, groups = {}, {}
+    for r in docs:
+        n, chars, symbols, dup, repeat = plain_rules(r["text"])
+        lines = [x for x in (r["text"] or "").split("\n") if WORD.search(x)]
+        if n >= 10 and 100 * repeat <= 20 * n:
+            ratios[r["doc_id"]] = (symbols / max(n, 1), dup / max(len(lines), 1), repeat / max(n, 1), chars / max(n, 1))
+            for key in ((r["lang"], r["source"]), (r["lang"],), ()):
+                groups.setdefault(key, []).append(ratios[r["doc_id"]])
+    out = set()
+    for r in docs:
+        if r["doc_id"] not in ratios:
+            continue
+        group = next(g for key in ((r["lang"], r["source"]), (r["lang"],), ()) if len(g := groups[key]) >= quality_rules.LEAST or not key)
+        for value, column, (least, both) in zip(ratios[r["doc_id"]], zip(*group, strict=True), quality_rules.RATIOS.values(), strict=True):
+            ranked = sorted(column)
+            low, high = (ranked[-(-len(ranked) * q // 4) - 1] for q in (1, 3))
+            fence = quality_rules.FENCE * max(high - low, least)
+            if value > high + fence or both and value < low - fence:
+                break
+        else:
+            out.add(r["doc_id"])
+    return out
+
+
 def test_pipeline_against_plain_python(spark, pipeline):
     """Each stage on all that its predecessor kept, once more in plain Python."""
     from .conftest import plain_components
     from .test_texts import TOKENIZER, plain_spans
 
     small = "/root/testdata/sf0.001"
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    verdict = {r["doc_id"]: r["kept"] for r in queries.op7_quality_rules(spark, small).collect()}
-    kept = {i: t for i, t in docs.items() if verdict[i]}
-    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    docs = {r["doc_id"]: r["text"] for r in rows}
+    passed = plain_kept(rows)
+    kept = {i: t for i, t in docs.items() if i in passed}
+    langs = {r["doc_id"]: r["lang"] for r in rows}
     counts: dict = {}
     for i, t in kept.items():
         if langs[i] is not None and re.search(r"[^\W\d_]", t):
@@ -295,11 +327,27 @@ def test_pipeline_against_plain_python(spark, pipeline):
     kept = {i: t for i, t in kept.items() if model.fit(t) >= langid.LEAST_FIT}
     classes = plain_components(list(kept.items()))
     kept = {i: t for i, t in kept.items() if classes[i][1] == i}
-    rows = pipeline.run(spark, small).collect()
-    assert {r["doc_id"] for r in rows} == set(kept)
-    tokens = {r["doc_id"]: 0 for r in rows}
-    for r in rows:
-        tokens[r["doc_id"]] += r["length"]
+    pieces = pipeline.run(spark, small).collect()
+    assert {r["doc_id"] for r in pieces} == set(kept) and len(kept) < len(docs)
+    places, by_doc = {}, {}
+    for r in pieces:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for spans in places.values():  # gapless from 0, none beyond the capacity
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    lengths = [r["length"] for r in pieces]
+    from .test_texts import first_fit_decreasing
+
+    assert len(places) <= first_fit_decreasing(lengths, 4096) + 1
     for i, t in kept.items():
-        if not plain_spans(t):
-            assert tokens[i] == len(TOKENIZER.encode(t, add_special_tokens=False).ids) + 1
+        if plain_spans(t) or secrets.find_spans(t)[1]:
+            t = secrets.redact(t, secrets.find_spans(t)[1])
+        ids = [*TOKENIZER.encode(t, add_special_tokens=False).ids, 1]
+        for piece, r in enumerate(sorted(by_doc[i], key=lambda r: r["piece"])):
+            part = ids[4096 * piece : 4096 * (piece + 1)]
+            assert (r["piece"], r["start"], r["length"], r["ids_crc32"]) == (piece, 4096 * piece, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+        assert len(by_doc[i]) == -(-len(ids) // 4096)
