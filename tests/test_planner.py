@@ -170,6 +170,19 @@ def test_answers_are_isolated_and_logged(spark, known, vocabulary, tables, tmp_p
     assert spark.read.json(str(tmp_path / "log")).count() == 3
 
 
+def test_percentages_that_are_printed(vocabulary):
+    """A question in percent goes to the table that prints one."""
+    made = {q: compile_question(q, vocabulary, "percent").plan for q in ("What is the retention percentage of the contract?", "What EMD percentage do the works ask for?", "What percentage is the guarantee of bonds from Union Bank?")}
+    assert [(p.entity, p.fn, p.field, p.filters) for p in made.values()] == [
+        ("ra_bill", "max", "retention_pct", ()), ("compliance", "max", "emd_pct", ()), ("bond", "max", "guarantee_pct", (("bank", "eq", "Union Bank"),))]
+
+
+def test_covered_names():
+    names = ["Public Works Department Goa", "Public Works Department Kerala", "City Metro"]
+    assert mine.covered("the goa department of public works", names).name == names[0]
+    assert mine.covered("public works department", names) == mine.Mention(None, True) and mine.covered("metro", names) == mine.Mention(None)
+
+
 def test_names(known):
     assert known.client_index.find("the kerala water board people").name == "Water Board, Kerala"
     assert known.client_index.find("metro rail").name == "City Metro Rail" and known.client_index.find("water board") == mine.Mention(None, True)
