@@ -12,12 +12,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog import _INVOICE, _LED, _WORK, register
+from tessera.catalog import _CREDENTIAL, _INVOICE, _LED, _WORK, register
 from tessera.functions import norm
 from tessera.operators import algebra, extract, resolve, shapes, store, verify
 from tessera.plans import bind, rewrite
+from tessera.plans.answer import answer_all
 from tessera.plans.compile import Vocabulary, compile_question
 from tessera.plans.ir import QueryPlan
+from tessera.plans.mine import Known
 from tessera.sources import estate, readers
 
 _C = """c AS (
@@ -424,3 +426,54 @@ asked("ask_diff", "What is the difference between invoiced and received on all i
 asked("ask_invoice_year", "How much was received on invoices in 1997, in total?", "SELECT sum(received) FROM invoice WHERE year = 1997", _INVOICE)
 asked("ask_asset", "What is the total cost of equipment that is worn?", "SELECT sum(cost) FROM asset WHERE condition = 'worn'", _ASSET)
 asked("ask_nonzero", "How many assets have a non-zero cost?", "SELECT count(*) FROM asset WHERE cost > 0", _ASSET)
+
+_CLIENT, _OTHER, _LEADER = "Customer#000000007", "Customer#000000010", "Supplier#000000001"
+_OWN = f"client = '{_CLIENT}'"
+
+
+def _works(select: str, where: str = "true", table: str = "led") -> str:
+    return f"(SELECT {select} FROM {table} WHERE {_OWN} AND {where})"
+
+
+#: (question, SQL of its answer): one for every shape, then some that go to the planner or nowhere.
+_ROUTED = [
+    ("What is the total value of works for {c}?", _works("sum(value)")),
+    ("What is the average value of works for {c}?", _works("round_even(avg(value), 0)")),
+    ("How far is the mean work value of {c} from the median?", _works("round_even(avg(value) - median(value), 0)")),
+    ("By how much did the works value of {c} change between 1993 and 1996?", _works("abs(coalesce(sum(value) FILTER (year = 1996), 0) - coalesce(sum(value) FILTER (year = 1993), 0))")),
+    ("Total value {c} gave us as F", _works("coalesce(sum(value) FILTER (role = 'F'), 0)")),
+    ("Total value of {c} works graded BUILDING", _works("coalesce(sum(value) FILTER (client_type = 'BUILDING'), 0)")),
+    ("For {c}, what separates 1-URGENT from 2-HIGH in value?", _works("abs(coalesce(sum(value) FILTER (category = '1-URGENT'), 0) - coalesce(sum(value) FILTER (category = '2-HIGH'), 0))")),
+    ("Value of {c} works excluding 5-LOW", _works("sum(value) FILTER (category <> '5-LOW')")),
+    ("How far is {c} short of INR 900 Cr?", _works("greatest(0, 9000000000 - sum(value))")),
+    ("How much of what {c} awarded is not yet billed, awarded against billed?", f"abs({_works('sum(value)')} - {_works('sum(invoiced)', table='invoice')})"),
+    ("How much have we billed {c} in total?", _works("sum(invoiced)", table="invoice")),
+    ("How much did we collect, total received from {c}?", _works("sum(received)", table="invoice")),
+    ("What does {c} still owe?", _works("sum(invoiced) - sum(received)", table="invoice")),
+    ("Total value of {c} works above INR 1 Cr", _works("sum(value) FILTER (value >= 10000000)")),
+    ("Gap between the two largest works of {c}", _works("max(value) - list_sort(list(value), 'DESC')[2]")),
+    ("Value of works completed in 1996 for {c}", _works("sum(value) FILTER (year = 1996)")),
+    ("What percentage of the {c} works has a reference letter?", _works("round_even(count(*) FILTER (has_ref) * 10000.0::DOUBLE / count(*), 0) / 100")),
+    ("What percentage of the invoiced amount was collected from {c}?", _works("round_even(sum(received) * 10000.0::DOUBLE / sum(invoiced), 0) / 100", table="invoice")),
+    ("How many works of {c} lack a reference letter?", _works("count(*) FILTER (NOT has_ref)")),
+    ("How many different categories did {c} give us?", _works("count(DISTINCT category)")),
+    ("Total value of works that {p} completed after the credential", f"(SELECT sum(value) FILTER (completed > issued) FROM led JOIN credential ON lead = name WHERE lead = '{_LEADER}')"),
+    ("How many days between the credential of {p} and the last work?", f"(SELECT abs(date_diff('day', min(issued), max(completed))) FROM led JOIN credential ON lead = name WHERE lead = '{_LEADER}')"),
+    ("Total value of the portfolio behind {p}", f"(SELECT sum(value) FROM work WHERE client = (SELECT arg_min(client, work_id) FROM led WHERE lead = '{_LEADER}'))"),
+    ("What is the largest work value for {c}?", _works("max(value)")),
+    ("What is the total value for Customer#000000999999 works excluding 5-LOW?", "NULL"),
+    ("How is the weather?", "NULL"),
+]
+
+
+@register("answer_questions", "SELECT * FROM (VALUES " + ", ".join(f"('q{i:02}', CAST({sql} AS DOUBLE))" for i, (_, sql) in enumerate(_ROUTED)) + ") AS t(qid, answer)", _WORK, _LED, _INVOICE, _CREDENTIAL)
+def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole loop from the text of a question to its number; names that it looks for are given."""
+    known = Known(
+        clients=(_CLIENT, _OTHER), people=(_LEADER, "Supplier#000000002"), categories=tuple(_VALUES["work"]["category"]), roles=("F", "O", "P"), gradings=tuple(_VALUES["work"]["client_type"]),
+    )
+    vocabulary = Vocabulary({"work": {"category": {v.lower(): v for v in _VALUES["work"]["category"]}}})
+    work = bind.work(spark, sf_dir, lines=True).withColumn("grading", F.col("client_type"))
+    tables = {"work": work, "invoice": bind.invoice(spark, sf_dir), "credential": bind.credential(spark, sf_dir)}
+    questions = [(f"q{i:02}", text.replace("{c}", _CLIENT).replace("{p}", _LEADER), None) for i, (text, _) in enumerate(_ROUTED)]
+    return answer_all(spark, questions, known, vocabulary, tables).select("qid", "answer")
