@@ -135,6 +135,11 @@ def _sets(bits: int):
     return run
 
 
+def _home(batch: int, bits: int) -> int:
+    """Bucket of what a batch sends for itself: mixed, as the numbers of batches count up from every task's own start."""
+    return xxhash.xxh3_64_intdigest(batch.to_bytes(8, "little")) & ((1 << bits) - 1)
+
+
 def _one_batch(batch: int, ids: list, texts: list, bits: int) -> pa.RecordBatch:
     docs = np.zeros(len(ids), _DOC)
     docs["at"] = _NONE
@@ -154,7 +159,8 @@ def _one_batch(batch: int, ids: list, texts: list, bits: int) -> pa.RecordBatch:
                 sets[k] = sets.pop(old)
     for at, k in enumerate(sets):
         docs["at"][k] = at
-    buckets, kinds, payloads = [batch % (1 << bits)], ["docs"], [docs.tobytes()]
+    home = _home(batch, bits)
+    buckets, kinds, payloads = [home], ["docs"], [docs.tobytes()]
     if sets:
         h = np.concatenate(list(sets.values()))
         at = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(x) for x in sets.values()])
@@ -166,7 +172,7 @@ def _one_batch(batch: int, ids: list, texts: list, bits: int) -> pa.RecordBatch:
             members = np.repeat(hot, runs)
             own = np.zeros(int(members.sum()), _SHARED)
             own["token"], own["at"] = h[members], at[members]
-            buckets.append(batch % (1 << bits))
+            buckets.append(home)
             kinds.append("hot")
             payloads.append(own.tobytes())
             marks = h[starts[hot]]
