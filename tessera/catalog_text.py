@@ -188,6 +188,15 @@ printed("estate_ar_balance", "ar_balance", "DOC-AR-", "FY 2020\nEQUITY AND LIABI
         "(SELECT 'DOC-AR-' || k AS doc, nation || ' capital' AS line, n AS amount, 'Equity and Liabilities' AS section FROM c UNION ALL SELECT 'DOC-AR-' || k, 'Cash', k, 'Assets' FROM c)")
 
 
+printed("estate_director", "director", "DOC-AR-", "FY 2020\n{name}\nManaging Director\n4/5\nend", {"name": "name", "designation": "'Managing Director'", "year": "2020"})
+printed("estate_ar_line", "ar_line", "DOC-AR-", "FY 2020\n{nation} revenue\nRs. {n} Lakh\nRs. -{k}\nend", {"doc": _doc("DOC-AR-"), "year": "2020", "account": "nation || ' revenue'", "current": "n * 100000", "previous": "-k"})
+printed("estate_ar_pl", "ar_pl", "DOC-AR-", "FY 2020\nSTATEMENT OF PROFIT AND LOSS\nParticulars\n2020\n{nation} revenue\n{n}\nNOTES TO THE ACCOUNTS", {"doc": _doc("DOC-AR-"), "year": "2020", "line": "nation || ' revenue'", "amount": "n"})
+printed("estate_seven_year", "seven_year", "DOC-AR-", "FY 2020\nSEVEN-YEAR FINANCIAL SUMMARY\n2018-19\n{n}\n{k}\n-5\n2.5%\nANNEXURE", {"year": "2018", "gross_billings": "n", "net_revenue": "k", "profit": "-5::BIGINT", "margin": "2.5::DOUBLE"})
+printed("estate_business_unit", "business_unit", "DOC-DOSSIER-", "{name} Unit\nmega\n40\nend", {"unit": "name || ' Unit'", "scale": "'mega'", "headcount": "40"})
+printed("estate_audit", "audit", "DOC-CERT-", "Certificate No: Q-{k}\nISO 9001:2015\nSurveillance Audit 2\n{day}\n{name}\n3 major, 1 minor", {
+    "type": "'Surveillance Audit 2'", "date": "day", "auditor": "name", "major": "3", "minor": "1", "status": "'completed'", "cert_no": "'Q-' || k", "year": "CAST(year(day) AS INTEGER)"})
+
+
 @register("estate_segment", "SELECT nation AS segment, 2020 AS year, max(n) FILTER (k = top) AS current FROM (SELECT *, arg_max(k, 'DOC-AR-' || k) OVER (PARTITION BY nation) AS top FROM c) GROUP BY 1 "
           "UNION ALL SELECT nation, 2019, max(k) FILTER (k = top) FROM (SELECT *, arg_max(k, 'DOC-AR-' || k) OVER (PARTITION BY nation) AS top FROM c) GROUP BY 1", _C)
 def estate_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
