@@ -79,7 +79,6 @@ FOREIGN = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted "
     "comment comments commentlist disqus replies reply respond discussion related recommended recommendations".split()
 )
-TALK = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
 OF_ARTICLE = frozenset("article entry post story".split())  # their header is the article's own
 MARKS = frozenset("article main h1".split())
 SEVERAL = 3  # paragraphs that make an element worth measuring in spite of its name
@@ -97,7 +96,7 @@ class _Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.spread = 0.0
         self.weight = 1.0  # of the density: less within elements named like parts beside the article
-        self.named = self.talk = self.within = False  # named like a part beside the article, like readers' talk; in an article or main element
+        self.named = self.talk = self.within = False  # named like a part beside the article, like adverts or readers' talk; in an article or main element
 
 
 def _named(value: str, prose: bool) -> bool:
@@ -108,7 +107,7 @@ def _named(value: str, prose: bool) -> bool:
 
 
 def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one; like readers' talk."""
+    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one; like adverts or readers' talk."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True, False, False
     named = talk = False
@@ -124,7 +123,7 @@ def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
         elif tag not in KEPT:
             named = named or _named(value, in_article and tag in PROSE)
         if key in ("class", "id") and tag not in ("html", "body", "main"):
-            talk = talk or any(w.lower() in TALK for w in _NAME.findall(_CAMEL.sub(" ", value)))
+            talk = talk or any(w.lower() in FOREIGN for w in _NAME.findall(_CAMEL.sub(" ", value)))
     return False, named, talk
 
 
@@ -226,7 +225,8 @@ def _prune(root: _Node) -> None:
     They stay, for density to decide, with an article or main element, with
     several paragraphs that aren't links, with most of the page's plain text (unless an
     article or main element with text stands elsewhere), or with the main heading
-    within an article.  Readers' talk goes wherever an article stands outside it.
+    within an article.  Adverts, teasers and readers' talk go wherever an article stands
+    outside them, or, without one, where they hold at most a third of the plain text.
     """
     order, stack = [], [root]
     while stack:
@@ -251,7 +251,7 @@ def _prune(root: _Node) -> None:
         if n.parent is None or not n.named and not n.talk:
             continue
         outside = articles[root] - articles[n]
-        if n.talk and (outside >= articles[n] if articles[n] else n.within or outside > 0):
+        if n.talk and (outside >= articles[n] if articles[n] else n.within or outside > 0 or 3 * plain[n] <= plain[root]):
             gone.add(n)
             continue
         if not n.named:

@@ -397,6 +397,7 @@ def test_density_without_an_article_element():
         f'<body><nav>{links}</nav><div><div><section><h2>One</h2>{body}</section><section><h2>Two</h2>{body}</section></div></div></body>',
         f'<body><div class="links">{links}</div><article>{body}{talk}</article>{talk}</body>',
         f'<body><div><div class="links">{links}</div><div>{body}</div><div class="links">{links}</div></div></body>',
+        f'<body><div id="content">{body}{body}{talk}</div></body>',
         f"<body><main>{body}<div class='links'>{links}</div></main><script>var x = '<p>no</p>'</script></body>",
     ]
     for page in pages:
@@ -410,6 +411,7 @@ def test_text_beside_the_densest_part_stays():
     assert html.extract(f'<div class="post"><div class="post-header"><h1>Title</h1></div><div>{body}</div></div>').endswith(plain)
     assert html.extract(f"<article>{body}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>") == f"{plain} so x=1 holds"
     assert html.extract(f'<article>{body}<p class="ad">Buy this now</p></article>') == plain
+    assert html.extract(f'<div>{body}{body}<div class="related-posts"><p>One teaser</p><p>Two teasers</p><p>More teasers</p></div></div>') == f"{plain} {plain}"
     wrapped = f'<main><div class="comments-open"><article>{body}</article></div><div class="comments"><article><p>My word on it</p></article></div></main>'
     assert html.extract(wrapped) == plain
     assert html.extract("<form>" * 3000 + f"<article>{body}</article>") == plain
