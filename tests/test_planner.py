@@ -177,6 +177,23 @@ def test_percentages_that_are_printed(vocabulary):
         ("ra_bill", "max", "retention_pct", ()), ("compliance", "max", "emd_pct", ()), ("bond", "max", "guarantee_pct", (("bank", "eq", "Union Bank"),))]
 
 
+def test_parts_of_values_and_tables_by_their_columns():
+    banks = {"bank": {"state bank of the north": "State Bank of the North", "state bank of the south": "State Bank of the South", "union bank": "Union Bank"}}
+    said = lambda text: [(v.value, v.negated) for v in mine.values_in(text, banks)[0]]
+    assert said("bonds of state bank of the north") == [("State Bank of the North", False)] and said("bonds of the north") == [("State Bank of the North", False)]
+    assert said("bonds not of the south") == [("State Bank of the South", True)] and said("a state bank") == [] and said("union") == []
+    v = Vocabulary({"bond": banks}, {"bond": ("amount", "validity_days"), "cv": ("tenure_days",)})
+    assert planner.ranked_entity("what does the union bank ask for", v) == "bond" and planner.ranked_entity("how is the weather", v) is None
+    assert planner.ranked_entity("average tenure", v) == "cv" and planner.ranked_entity("days", v) is None
+
+
+def test_names_by_names():
+    names = ["Water Board, Kerala", "Water Board, Goa", "City Metro Rail"]
+    assert mine.named("CITY metro  rail", names).name == "City Metro Rail" and mine.named("Metro", names).name == "City Metro Rail"
+    assert mine.named("Cty Metro Rial", names).name == "City Metro Rail" and mine.named("Watr Bord Kerala", names).name == "Water Board, Kerala"
+    assert mine.named("Water Board", names) == mine.Mention(None, True) and mine.named("Zoo", names) == mine.Mention(None) and mine.named("x", []) == mine.Mention(None)
+
+
 def test_covered_names():
     names = ["Public Works Department Goa", "Public Works Department Kerala", "City Metro"]
     assert mine.covered("the goa department of public works", names).name == names[0]
