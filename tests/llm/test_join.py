@@ -158,3 +158,34 @@ def test_work_tables_can_be_released(spark):
     assert table.count() == 3 and Path(table.written_at).exists()
     common.released(table, table, spark.range(2))
     assert not Path(table.written_at).exists()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.work_root(session("spark://host:7077"))
+    assert common.work_root(session("local[2]"))
+    shared = SimpleNamespace(get=lambda *_: "/shared/folder/")
+    assert common.work_root(SimpleNamespace(conf=shared, sparkContext=None)) == "/shared/folder"
+
+
+def test_a_step_takes_its_tables_along(spark):
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    first = common.written(spark.range(5).toDF("x"), "first")
+    inner = []
+
+    def step():
+        inner.append(common.written(first.filter("x > 1"), "inner"))
+        return inner[0].filter("x > 2")
+
+    second = common.settled(step, "second", first)
+    assert second.count() == 2 and Path(second.written_at).exists()
+    assert not Path(inner[0].written_at).exists() and not Path(first.written_at).exists()
