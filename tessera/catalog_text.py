@@ -287,6 +287,14 @@ def absence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.absence(bind.work(spark, sf_dir, lines=True).withColumn("client", F.lit("*"))).select("answer")
 
 
+@register("client_universe", """SELECT coalesce(w.client, i.client) AS client, works, value, invoiced, received
+FROM (SELECT client, count(*) AS works, CAST(sum(value) AS BIGINT) AS value FROM work WHERE year < 1996 AND value > 20000000 GROUP BY 1) w
+FULL JOIN (SELECT client, CAST(sum(invoiced) AS BIGINT) AS invoiced, CAST(sum(received) AS BIGINT) AS received FROM invoice WHERE year > 1996 AND status = 'O' AND invoiced > 5000000 GROUP BY 1) i ON w.client = i.client""", _WORK, _INVOICE)
+def client_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients of large early works and of large open invoices: some are in one universe only."""
+    return bind.client_universe(bind.work(spark, sf_dir).filter("year < 1996 and value > 20000000"), bind.invoice(spark, sf_dir).filter("year > 1996 and status = 'O' and invoiced > 5000000"))
+
+
 @register("work_total", "SELECT work_id, CAST(sum(value) OVER (PARTITION BY client) AS BIGINT) AS answer FROM work", _WORK)
 def work_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.work_total(bind.work(spark, sf_dir))

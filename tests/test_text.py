@@ -222,6 +222,9 @@ def test_files(spark, tmp_path):
     assert [r["doc_id"] for r in files.collect()] == ["A", "B"]
     assert readers.find(files, "B").first()["name"] == "B.txt"
     assert readers.sheet(spark, str(tmp_path / "in" / "s.csv")).columns == ["n", "v"]
+    (tmp_path / "in" / "Contract_7.csv").write_text("n\n1\n")
+    named = readers.keyed_by_file(spark.read.csv(str(tmp_path / "in" / "Contract_7.csv"), header=True), r"Contract_(\d+)", "contract")
+    assert [tuple(r) for r in named.collect()] == [("1", "7")]
     texts = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string")
     assert readers.cached(texts.limit(1), f"{tmp_path}/cache").count() == 1
     assert readers.cached(texts, f"{tmp_path}/cache").count() == 2
