@@ -132,8 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # texts of repeated ids make more rows than labels, so the bound on rows holds here too
     keys = ["place", "doc_id", "size"]
     sizes = made.groupBy(keys).agg(F.count("*").alias("rows")).orderBy(keys).limit(max_rows)
-    left, rows_left, fits = max_coordinates, max_rows, []
-    for r in sizes.collect():  # max_rows rows of four numbers
+    left, rows_left, fits, every = max_coordinates, max_rows, [], sizes.collect()
+    for r in every:  # max_rows rows of four numbers
         if r["size"] * r["rows"] <= left and r["rows"] <= rows_left:
             left -= r["size"] * r["rows"]
             rows_left -= r["rows"]
@@ -141,8 +141,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not fits:
         released(made)
         return ftrl([], epochs)
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(fits, "place long, doc_id long, size long"))  # max_rows rows at most
-    fitting = made.join(chosen, keys, "left_semi").select(*keys, "y", "at").toArrow()
+    fitting = made.select(*keys, "y", "at")
+    if len(fits) < len(every) or len(every) == max_rows:  # not all of them
+        fitting = fitting.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "place long, doc_id long, size long")), keys, "left_semi")  # max_rows rows at most
+    fitting = fitting.toArrow()
     fitting = fitting.sort_by([(c, "ascending") for c in (*keys, "y")])
     # the coordinates stay in Arrow's buffers; ftrl copies only the frequent ones
     rows = [(np.frombuffer(at.as_buffer(), np.uint32), int(y > 0)) for at, y in zip(fitting.column("at"), fitting.column("y").to_pylist(), strict=True)]
