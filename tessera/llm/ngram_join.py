@@ -270,7 +270,7 @@ class Index:
     """Inverted lists over the documents of one block, sorted by set size."""
 
     def __init__(self, ids: list[int], sizes: list[int], largest: list[int], tokens: list[np.ndarray]) -> None:
-        order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k]))
+        self.order = order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k]))
         self.ids, self.sizes, self.largest = [ids[k] for k in order], [sizes[k] for k in order], [largest[k] for k in order]
         self.tokens = [tokens[k] for k in order]
         every = np.concatenate(self.tokens) if ids else np.zeros(0, np.uint64)
@@ -321,7 +321,7 @@ def least_reach(n: int, tokens: int) -> int:
 
 
 def block_links(ids: list[int], sizes: list[int], largest: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(id, smallest connected id, reach) of all documents of a block; largest: size in its kind, 0 where it is alone."""
+    """(id, smallest connected id, reach) of all documents of a block, in their order; largest: size in its kind, 0 where it is alone."""
     index = Index(ids, sizes, largest, tokens)
     count = len(ids)
     label = np.arange(count)
@@ -355,31 +355,34 @@ def block_links(ids: list[int], sizes: list[int], largest: list[int], tokens: li
     smallest: dict[int, int] = {}
     for k, c in zip(index.ids, label.tolist(), strict=True):
         smallest[c] = min(k, smallest.get(c, k))
-    return [(k, smallest[c], far) for k, c, far in zip(index.ids, label.tolist(), reach, strict=True)]
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * count
+    for place, k, c, far in zip(index.order, index.ids, label.tolist(), reach, strict=True):
+        out[place] = (k, smallest[c], far)
+    return out
 
 
 def _tokens(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in rows["tokens"]]
 
 
-_LINKS = "a long, b long, reach long"
+_LINKS = "a long, b long, reach long, kind long"  # reach is that of a's kind, as a repeated id may speak for several
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     found = block_links(rows["doc_id"].tolist(), rows["n"].tolist(), rows["largest"].tolist(), _tokens(rows))
-    return pd.DataFrame(found, columns=["a", "b", "reach"]).astype("int64")
+    return pd.DataFrame(found, columns=["a", "b", "reach"]).assign(kind=rows["kind"].to_numpy()).astype("int64")
 
 
 def _asked(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of those that ask with one block of their family: one for each component met, with the farthest reach."""
     here, queries = rows[~rows["asks"]], rows[rows["asks"]]
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     if len(here) and len(queries):
         index = Index(here["doc_id"].tolist(), here["n"].tolist(), here["largest"].tolist(), _tokens(here))
         class_of = dict(zip(here["doc_id"], here["label"], strict=True))
         label = np.array([class_of[i] for i in index.ids])
         own_rank = {i: k for k, i in enumerate(index.ids)}
-        for doc_id, n, largest, tokens, own, reach in zip(*(queries[c] for c in ("doc_id", "n", "largest")), _tokens(queries), queries["label"], queries["reach"], strict=True):
+        for doc_id, n, largest, tokens, own, reach, kind in zip(*(queries[c] for c in ("doc_id", "n", "largest")), _tokens(queries), *(queries[c] for c in ("label", "reach", "kind")), strict=True):
             low, high = bisect_left(index.sizes, -(-4 * n // 5)), bisect_left(index.sizes, 5 * n // 4 + 1)
             done = reach >= largest
             skip = label == own if done else np.zeros(len(label), bool)
@@ -393,8 +396,8 @@ def _asked(rows: pd.DataFrame) -> pd.DataFrame:
                 reach = max(reach, 9 * overlap // 4 - index.sizes[r])
                 if done:
                     skip |= label == label[r]
-            out += [(doc_id, index.ids[r], reach) for r in met.values()]
-    return pd.DataFrame(out, columns=["a", "b", "reach"]).astype("int64")
+            out += [(doc_id, index.ids[r], reach, kind) for r in met.values()]
+    return pd.DataFrame(out, columns=["a", "b", "reach", "kind"]).astype("int64")
 
 
 # ---------------------------------------------------------------- 6: components
@@ -440,7 +443,7 @@ def _followed(to: DataFrame) -> DataFrame:
 
 
 def _family_links(members: DataFrame) -> DataFrame:
-    """(a, b, reach): links that connect what is connected; members: doc_id, n, largest, tokens, prefix, family."""
+    """(a, b, reach, kind): links that connect what is connected; members: doc_id, kind, n, largest, tokens, prefix, family."""
     sizes = members.groupBy("family").agg(F.count("*").alias("size"))
     blocks = written(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK_DOCS).cast("int")).select("family", "blocks"), "families")
     members = members.join(blocks, "family")
@@ -455,8 +458,8 @@ def _family_links(members: DataFrame) -> DataFrame:
     again = written(dealt(large, 2).groupBy("family", "block").applyInPandas(_block, _LINKS), "links")
     links = links.unionByName(again)
     known = components(links)
-    reach = links.groupBy(F.col("a").alias("doc_id")).agg(F.max("reach").alias("reach"))
-    large = large.join(known.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(reach, "doc_id")
+    reach = links.groupBy(F.col("a").alias("doc_id"), "kind").agg(F.max("reach").alias("reach"))
+    large = large.join(known.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(reach, ["doc_id", "kind"])
     # dealt by the rarest shingle, so that a block holds few different ones; a frequent one has blocks of its own
     rarest = F.get("prefix", F.lit(0))
     per_token = large.groupBy(rarest.alias("rarest")).agg(F.count("*").alias("docs"))
@@ -471,7 +474,7 @@ def _family_links(members: DataFrame) -> DataFrame:
     meet = asks.select("doc_id", "n", rare).join(held, "token").filter("5 * n >= 4 * low and 5 * high >= 4 * n").select("doc_id", "block").distinct()
     meet = written(meet, "meet")
     tasks = meet.groupBy("block").agg(F.ceil(F.count("*") / ASKING_DOCS).cast("int").alias("tasks"))
-    columns = ["block", "task", "doc_id", "n", "largest", "tokens", "label", "reach", "asks"]
+    columns = ["block", "task", "doc_id", "kind", "n", "largest", "tokens", "label", "reach", "asks"]
     questions = meet.join(tasks, "block").withColumn("task", F.pmod(F.xxhash64("doc_id", "block"), F.col("tasks")).cast("int"))
     questions = questions.join(large.drop("block"), "doc_id").withColumn("asks", F.lit(True)).select(columns)
     here = large.join(tasks, "block").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumn("asks", F.lit(False)).select(columns)
@@ -520,7 +523,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kinds = light.groupBy("kind_hi", "kind_lo").agg(F.min(F.struct("n", "doc_id")).alias("least"), F.max("n").alias("largest"), F.count("*").alias("docs"))
     alone = F.when(F.col("docs") > 1, F.col("largest")).otherwise(0).alias("largest")
     speakers = written(kinds.select("kind_hi", "kind_lo", F.col("least.doc_id").alias("doc_id"), alone), "speakers")
-    shared_of = written(shared.drop("kind_hi", "kind_lo").join(speakers.select("doc_id", "largest"), "doc_id"), "spoken")
+    shared_of = written(shared.join(speakers, ["doc_id", "kind_hi", "kind_lo"]).withColumnRenamed("kind_hi", "kind").drop("kind_lo"), "spoken")
     released(shared)
     rare = shared_of.select("doc_id", F.explode("prefix").alias("token"))
     meets = written(rare.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("token", "first"), "meets")
@@ -528,9 +531,9 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = written(shared_of.join(families.select(F.col("v").alias("doc_id"), F.col("label").alias("family")), "doc_id"), "members")
     links = _family_links(members)
     # those that others speak for: linked with the speaker as far as the kind reaches
-    own = shared_of.filter("largest > 0").select("doc_id", (F.floor(F.length("tokens") / 8 * 9 / 4).cast("long") - F.col("n")).alias("reach"))
-    reach = links.select(F.col("a").alias("doc_id"), "reach").unionByName(own).groupBy("doc_id").agg(F.max("reach").alias("reach"))
-    spoken = speakers.filter("largest > 0").join(reach, "doc_id").select("kind_hi", "kind_lo", F.col("doc_id").alias("a"), "reach")
+    own = shared_of.filter("largest > 0").select("doc_id", "kind", (F.floor(F.length("tokens") / 8 * 9 / 4).cast("long") - F.col("n")).alias("reach"))
+    reach = links.select(F.col("a").alias("doc_id"), "kind", "reach").unionByName(own).groupBy("doc_id", "kind").agg(F.max("reach").alias("reach"))
+    spoken = speakers.filter("largest > 0").join(reach.withColumnRenamed("kind", "kind_hi"), ["doc_id", "kind_hi"]).select("kind_hi", "kind_lo", F.col("doc_id").alias("a"), "reach")
     quiet = light.join(spoken, ["kind_hi", "kind_lo"]).filter("n <= reach and doc_id <> a").select("a", F.col("doc_id").alias("b"))
     found = components(links.select("a", "b").unionByName(quiet))
     known = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("component_id"))

@@ -77,6 +77,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert ngram_join.representatives(no_docs).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark, monkeypatch):
+    """An id has the links of all its rows, and speaks for each of their kinds alone."""
+    passage, other = (" ".join(f"{w}{k}" for k in range(84)) for w in ("shared", "common"))  # 80 shingles each
+    docs = [(1, passage), (1, other)] + [(10 + k, f"{passage} " + " ".join(f"own{k}x{j}" for j in range(20 + k))) for k in range(4)]
+    docs += [(20 + k, f"{other} " + " ".join(f"mine{k}x{j}" for j in range(k))) for k in range(1, 24)]
+    plain = plain_components([(100 * k + i, t) for k, (i, t) in enumerate(docs)])
+    joined = {i: {c % 100 for k, (j, _) in enumerate(docs) if j == i for c in [plain[100 * k + j][1]]} for i, _ in docs}
+    for block in (256, 2):
+        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+        rows = got(ngram_join.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)))
+        assert {i: c == 1 for i, (_, c) in rows.items()} == {i: joined[i] == {1} for i in joined}
+    assert joined[10] == {1} != joined[11] and joined[40] == {1} != joined[41]
+
+
 def test_boundary_of_eighty_percent(spark):
     base = [f"w{k}" for k in range(94)]  # 90 shingles
     at = [*base[:-10], *[f"x{k}" for k in range(10)]]  # shares 80 of 100
