@@ -243,3 +243,10 @@ def test_stream_equals_batch(spark, tmp_path):
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     want = events.groupBy("event_type", day.alias("d")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("a")).collect()
     assert got == {(r["event_type"], r["d"]): (r["n"], r["a"]) for r in want}
+
+
+def test_sessions_end_at_gaps(spark):
+    rows = [(1, 7, "2020-01-01 10:00:00"), (2, 7, "2020-01-01 10:20:00"), (3, 7, "2020-01-01 11:00:00"), (4, 8, "2020-01-01 10:00:00")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string")
+    got = {(r["user_id"], str(r["session_start"])): r["n"] for r in balances.sessions(events).collect()}
+    assert got == {(7, "2020-01-01 10:00:00"): 2, (7, "2020-01-01 11:00:00"): 1, (8, "2020-01-01 10:00:00"): 1}
