@@ -300,23 +300,23 @@ def score_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "lines AS (SELECT doc_id AS doc, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.lines(bind.table(spark, sf_dir, "documents"))
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.sections(bind.table(spark, sf_dir, "documents"), lambda line: F.length(line) < 40)
 
 
 @register("asof_section", "SELECT doc, pos, last_value(CASE WHEN length(line) < 40 THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM lines", _LINES)
 def asof_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.asof_section(_lines(spark, sf_dir), F.length("line") < 40).select("doc", "pos", "section")
+    return _sections(spark, sf_dir).select("doc", "pos", "section")
 
 
 @register("block_islands", "SELECT doc, block, count(*) AS n FROM (SELECT doc, CAST(sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM lines) GROUP BY 1, 2", _LINES)
 def block_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.blocks(_lines(spark, sf_dir), F.length("line") < 40).groupBy("doc", "block").agg(F.count("*").alias("n"))
+    return _sections(spark, sf_dir).groupBy("doc", "block").agg(F.count("*").alias("n"))
 
 
 @register("next_line", "SELECT doc, pos, lead(line, 1) OVER (PARTITION BY doc ORDER BY pos) AS next_1 FROM lines", _LINES)
 def next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.next_lines(_lines(spark, sf_dir), 1).select("doc", "pos", "next_1")
+    return extract.lines(bind.table(spark, sf_dir, "documents"), ahead=1).select("doc", "pos", "next_1")
 
 
 @register("regex_extract", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")

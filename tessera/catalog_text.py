@@ -209,7 +209,7 @@ def estate_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("label_values", "SELECT k AS doc, 'client' AS field, name AS value FROM c UNION ALL SELECT k, 'value', CAST(n AS VARCHAR) FROM c WHERE k % 2 = 0", _C)
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(_print("Employer:\n\n{name}\nClient\nanother\n"), F.when(F.col("k") % 2 == 0, _print("Value\n{n}")).otherwise(F.lit("Value\n\n\nlate")))
-    rows = extract.lines(_customers(spark, sf_dir).select("k", text.alias("text")), "k", "text")
+    rows = extract.lines(_customers(spark, sf_dir).select("k", text.alias("text")), "k", "text", ahead=2)
     return extract.label_values(rows, {"client": "client", "employer": "client", "value": "value"})
 
 

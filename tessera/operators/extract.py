@@ -6,13 +6,37 @@ folds run inside one row's array, so nothing is ordered across documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, pos, line): positions from 0."""
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ahead: int = 0) -> DataFrame:
+    """(doc, pos, line, next_1 ... next_ahead): positions from 0; the lines ahead come from the same row, so nothing is shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("__l"))
+    if not ahead:
+        return rows.select("doc", F.posexplode("__l").alias("pos", "line"))
+    near = lambda x, i: F.struct(x.alias("line"), *[F.get("__l", i + k).alias(f"next_{k}") for k in range(1, ahead + 1)])
+    return rows.select("doc", F.posexplode(F.transform("__l", near)).alias("pos", "x")).select("doc", "pos", "x.*")
+
+
+def sections(docs: DataFrame, header: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, pos, line, section, block): the last header at or above each line, and how many there are.
+
+    The places of the headers part each text into slices within its own row: no shuffle, no sort, and
+    time in proportion to the text.
+    """
+    heads = lambda x: F.coalesce(header(x), F.lit(False))
+    rows = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("__l")).filter("__l is not null")
+    places = F.filter(F.transform("__l", lambda x, i: F.when(heads(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__h", places).withColumn("__at", F.array_union(F.array(F.lit(0)), "__h"))
+    slices = F.transform("__at", lambda i, k: F.struct(i.alias("start"), F.slice("__l", i + 1, F.coalesce(F.get("__at", k + 1), F.size("__l")) - i).alias("part")))
+    first = F.coalesce(F.get("__h", F.lit(0)) == 0, F.lit(False)).cast("long")
+    parts = rows.select("doc", first.alias("first"), F.posexplode(slices).alias("k", "s")).select("doc", (F.col("k") + F.col("first")).alias("block"), "s.start", "s.part")
+    section = F.when(F.col("block") > 0, F.trim(F.get("part", F.lit(0))))
+    out = parts.select("doc", "block", section.alias("section"), "start", F.posexplode("part").alias("p", "line"))
+    return out.select("doc", (F.col("start") + F.col("p")).alias("pos"), "line", "section", "block")
 
 
 def _order() -> Window:
@@ -28,7 +52,8 @@ def label_values(rows: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     names = F.create_map(*[F.lit(v) for kv in synonyms.items() for v in kv])
     key = F.regexp_replace(F.lower(F.trim("line")), r"\s*:\s*$", "")
     near = F.array(F.trim("next_1"), F.trim("next_2"))
-    found = next_lines(rows, 1, 2).select("doc", "pos", F.try_element_at(names, key).alias("field"), F.get(F.filter(near, lambda x: F.length(x) > 0), F.lit(0)).alias("value"))
+    near_by = rows if {"next_1", "next_2"} <= set(rows.columns) else next_lines(rows, 1, 2)
+    found = near_by.select("doc", "pos", F.try_element_at(names, key).alias("field"), F.get(F.filter(near, lambda x: F.length(x) > 0), F.lit(0)).alias("value"))
     return found.filter("field is not null and value is not null").groupBy("doc", "field").agg(F.min_by("value", "pos").alias("value"))
 
 

@@ -112,6 +112,18 @@ def test_labels_blocks_and_sections(spark):
     assert [(r["field_0"], r["field_1"], r["field_2"]) for r in runs] == [("1", "Bolt", "5.0"), ("2", "Nut", "7")]
 
 
+def test_sections_within_the_row_equal_windows(spark):
+    texts = docs(spark, "a\nHEAD\nb\n\nHEAD2\nHEAD3\nd", "HEAD\nx", "no\nheads", "", None, "HEAD")
+    rows, starts = extract.lines(texts), lambda line: line.startswith("HEAD")
+    by_window = extract.blocks(extract.asof_section(rows, starts(F.col("line"))), starts(F.col("line")))
+    columns = ["doc", "pos", "line", "section", "block"]
+    found = extract.sections(texts, starts)
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, by_window.select(columns).collect()))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    ahead = extract.lines(texts, ahead=2)
+    assert sorted(map(str, ahead.collect())) == sorted(map(str, extract.next_lines(rows, 1, 2).collect()))
+
+
 def test_serial_rows(spark):
     got = extract.serial_rows(docs(spark, "1\nfoo\nComplied\n9\n2\n3\nN/A\n3\nPending", None), ["complied", "n/a", "pending"]).orderBy("n").collect()
     assert [(r["n"], r["status"]) for r in got] == [(1, "Complied"), (2, "N/A"), (3, "Pending")]
