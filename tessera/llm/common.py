@@ -37,18 +37,18 @@ def work_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared work folder and read it back.
 
     Cuts the lineage: what was written survives the loss of any executor.  The table
-    stays until it is released or the program ends.
+    stays until it is released or the program ends.  Tables with whole texts are smaller with ``zstd``.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
     _LEFT[path] = spark
     if (step := _STEP.get()) is not None:
         step.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -62,7 +62,7 @@ def settled(make: Callable[[], DataFrame], label: str, *done: DataFrame) -> Data
         out = make()
     finally:
         _STEP.reset(mark)
-    out = written(out, label)
+    out = written(out, label, compression="zstd")
     for path in mine:
         _delete(path)
     released(*done)

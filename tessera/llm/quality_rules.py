@@ -132,7 +132,7 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     """
     at = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.toDF(*at.values())
-    measured = written(with_groups(with_measures(own, text_col=at[text_col]), lang_col=at[lang_col], source_col=at[source_col]), "measured")
+    measured = written(with_groups(with_measures(own, text_col=at[text_col]), lang_col=at[lang_col], source_col=at[source_col]), "measured", compression="zstd")
     kept = judged(measured, thresholds(measured)).filter(f"{_M}kept")
     return kept.select(*[F.col(new).alias(old) for old, new in at.items()])
 
