@@ -158,7 +158,7 @@ printed("estate_ra_line", "ra_line", "DOC-FINBILL-", "Contract #{k} · {name} ·
     "doc": _doc("DOC-FINBILL-"), "ra": "1", "bill_no": "'AR-2020-' || k", "date": "day", "value": "n", "cumulative": "n * 2", "contract": "CAST(k AS INTEGER)"}, **_MORE)
 printed("estate_boq_line", "boq_line", "DOC-RABILL-", "Contract #{k} · {name}\n1\n{nation} earth work\ncum\n10\n5.5\n{n}\nend", {"doc": _doc("DOC-RABILL-"), "item": "1", "description": "nation || ' earth work'", "unit": "'cum'", "rate": "10::BIGINT", "quantity": "5.5::DOUBLE", "amount": "n"})
 printed("estate_bank_year", "bank_year", "DOC-BANK-", "FY 2020\nOpening balance b/f\n{n}\n{day}\nFee\n{k}\n{less}\n{later}\nFee\n{n}\n0\n{minus}\n{later}\nSale\n{twice}\n{end}\nend", {
-    "doc": _doc("DOC-BANK-"), "year": "2020", "opening": "n", "deposits": "n * 2", "withdrawals": "n + k", "closing": "n * 2 - k", "net_movement": "n - k"}, "(SELECT * FROM c WHERE k <= n)",
+    "doc": _doc("DOC-BANK-"), "year": "2020", "opening": "n", "deposits": "n * 2", "withdrawals": "n + k", "closing": "n * 2 - k", "net_movement": "n - k"}, "c",
     less=lambda: F.col("n") - F.col("k"), minus=lambda: F.lit(0) - F.col("k"), end=lambda: F.col("n") * 2 - F.col("k"), **_MORE, **_LATER)
 printed("estate_ledger_account", "ledger_account", "DOC-GLB-", "FY 2020\nACCOUNT {k} — {nation} (ASSET)\n{day}\nlong\nname\n{k}\n{n}\nDr\n{later}\nBill\n{n}\n{twice} Cr", {
     "doc": _doc("DOC-GLB-"), "year": "2020", "code": "CAST(k AS INTEGER)", "account": "nation", "account_type": "'Asset'", "closing": "n * 2", "side": "'Cr'", "closing_signed": "-n * 2", "total": "n + k"}, **_MORE, **_LATER)
@@ -239,9 +239,9 @@ def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATED = "stated AS (SELECT work_id, client, category, value, year, CASE WHEN work_id % 3 <> 0 THEN state END AS state FROM work)"
 
 
-@register("filter_conjunction_nulls", "SELECT client, CAST(sum(value) AS BIGINT) AS answer, count(*) AS n_rows FROM stated WHERE state <> 'nation_7' AND state IS NOT NULL AND year >= 1995 AND category <> '1-URGENT' GROUP BY 1", _WORK, _STATED)
+@register("filter_conjunction_nulls", "SELECT client, CAST(sum(value) AS BIGINT) AS answer, count(*) AS n_rows FROM stated WHERE state <> 'NATION_7' AND state IS NOT NULL AND year >= 1995 AND category <> '1-URGENT' GROUP BY 1", _WORK, _STATED)
 def filter_conjunction_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = QueryPlan("work", (("state", "ne", "nation_7"), ("state", "exists", True), ("year", "gte", 1995), ("category", "ne", "1-URGENT")), "sum", "value", group_keys=("client",))
+    plan = QueryPlan("work", (("state", "ne", "NATION_7"), ("state", "exists", True), ("year", "gte", 1995), ("category", "ne", "1-URGENT")), "sum", "value", group_keys=("client",))
     return algebra.run(plan, _stated(spark, sf_dir))
 
 
@@ -404,7 +404,7 @@ def contiguous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ questions
 
 _VALUES = {
-    "work": {"category": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "role": ["F", "O", "P"], "client_type": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "state": [f"nation_{i}" for i in range(25)]},
+    "work": {"category": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "role": ["F", "O", "P"], "client_type": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "state": [f"NATION_{i}" for i in range(25)]},
     "invoice": {}, "asset": {"condition": ["good", "fair", "worn"]},
 }
 
@@ -424,20 +424,20 @@ def asked(name: str, question: str, sql: str, *ctes: str) -> None:
 
 
 _ASSET = "asset AS (SELECT p_type AS type, CAST(round(p_retailprice * 100) AS BIGINT) AS cost, CASE WHEN p_size < 15 THEN 'good' WHEN p_size < 35 THEN 'fair' ELSE 'worn' END AS condition FROM part)"
-asked("ask_total", "What is the total value of 1-URGENT works in nation_7?", "SELECT sum(value) FROM work WHERE category = '1-URGENT' AND state = 'nation_7'")
+asked("ask_total", "What is the total value of 1-URGENT works in NATION_7?", "SELECT sum(value) FROM work WHERE category = '1-URGENT' AND state = 'NATION_7'")
 asked("ask_negated", "How many works in 1996 were not 5-LOW?", "SELECT count(*) FROM work WHERE year = 1996 AND category <> '5-LOW'")
-asked("ask_misspelt", "What is the averge value of works in nation_3?", "SELECT round_even(avg(value), 0) FROM work WHERE state = 'nation_3'")
+asked("ask_misspelt", "What is the averge value of works in NATION_3?", "SELECT round_even(avg(value), 0) FROM work WHERE state = 'NATION_3'")
 asked("ask_bar", "How many projects are worth more than INR 2 Cr?", "SELECT count(*) FROM work WHERE value >= 20000000")
 asked("ask_worded_bar", "How many projects are worth at least twenty lakh?", "SELECT count(*) FROM work WHERE value >= 2000000")
-asked("ask_median", "What is the median value of works in nation_12?", "SELECT round_even(median(value), 0) FROM work WHERE state = 'nation_12'")
+asked("ask_median", "What is the median value of works in NATION_12?", "SELECT round_even(median(value), 0) FROM work WHERE state = 'NATION_12'")
 asked("ask_largest", "Which is the largest work value of BUILDING clients?", "SELECT max(value) FROM work WHERE client_type = 'BUILDING'")
 asked("ask_delta", "By how much did the total value of works change between 1995 and 1997?", "SELECT abs(sum(value) FILTER (year = 1997) - sum(value) FILTER (year = 1995)) FROM work")
 asked("ask_ratio", "What share of the value of works is 2-HIGH?", f"SELECT round_even(sum(value) FILTER (category = '2-HIGH') * 10000.0::DOUBLE / sum(value), 0) / 100 FROM work")
 asked("ask_groupby", "Which category has the highest total value of works?", "SELECT max(s) FROM (SELECT sum(value) AS s FROM work GROUP BY category)")
 asked("ask_fewest", "Which state has the fewest works?", "SELECT min(s) FROM (SELECT count(*) AS s FROM work GROUP BY state)")
-asked("ask_distinct", "How many different categories of works are there in nation_7?", "SELECT count(DISTINCT category) FROM work WHERE state = 'nation_7'")
-asked("ask_spread", "What is the spread of dates of works in nation_12, first to the last?", "SELECT date_diff('day', min(completed), max(completed)) FROM work WHERE state = 'nation_12'")
-asked("ask_epoch", "How many days after 1 January 1992 was the last work in nation_12 completed?", "SELECT date_diff('day', DATE '1992-01-01', max(completed)) FROM work WHERE state = 'nation_12'")
+asked("ask_distinct", "How many different categories of works are there in NATION_7?", "SELECT count(DISTINCT category) FROM work WHERE state = 'NATION_7'")
+asked("ask_spread", "What is the spread of dates of works in NATION_12, first to the last?", "SELECT date_diff('day', min(completed), max(completed)) FROM work WHERE state = 'NATION_12'")
+asked("ask_epoch", "How many days after 1 January 1992 was the last work in NATION_12 completed?", "SELECT date_diff('day', DATE '1992-01-01', max(completed)) FROM work WHERE state = 'NATION_12'")
 asked("ask_years", "What is the total value of works between 1995 and 1996, in all?", "SELECT abs(sum(value) FILTER (year = 1996) - sum(value) FILTER (year = 1995)) FROM work")
 asked("ask_diff", "What is the difference between invoiced and received on all invoices?", "SELECT sum(invoiced) - sum(received) FROM invoice", _INVOICE)
 asked("ask_invoice_year", "How much was received on invoices in 1997, in total?", "SELECT sum(received) FROM invoice WHERE year = 1997", _INVOICE)
