@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, media, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
+from . import html, langid, media, name_join, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
 from .common import id_crc, written
 
 
@@ -74,6 +74,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_join.join_vendors(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -86,8 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_media": op9_media,
         "op10_secrets": op10_secrets,
+        "op11_name_join": op11_name_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op11_name_join": name_join.ORACLE_SQL}
