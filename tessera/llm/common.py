@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: DuckDB's words for the crc32 of a text of ASCII characters, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 _LOCAL_ROOT: list[str] = []
 #: Paths of written tables that no one has released yet, with the session that wrote them.
 _LEFT: dict[str, SparkSession] = {}

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_rows
+from .common import CRC_SQL, id_crc, map_rows
 
 #: Distances up to this one qualify; pieces and cases above are made for it.
 FARTHEST = 2
@@ -217,14 +217,10 @@ def join_vendors(clients: DataFrame, vendors: DataFrame) -> DataFrame:
     )
 
 
-#: crc32 of a text of ASCII characters, bit by bit.
-_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
-  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
-
 #: Row by row over the whole table of distances: a row's cells follow from the last two rows and a running minimum.
 ORACLE_SQL = f"""
 WITH RECURSIVE v0 AS (
-  SELECT vendor_id, name, length(name) AS n, {_CRC.format("CAST(vendor_id AS VARCHAR)")} AS h FROM vendors WHERE name <> ''
+  SELECT vendor_id, name, length(name) AS n, {CRC_SQL.format("CAST(vendor_id AS VARCHAR)")} AS h FROM vendors WHERE name <> ''
 ), v AS (
   SELECT vendor_id, CASE WHEN h % 2 = 0 AND n >= 2 THEN substr(name, 1, h % greatest(n - 1, 1)) || substr(name, h % greatest(n - 1, 1) + 2, 1)
     || substr(name, h % greatest(n - 1, 1) + 1, 1) || substr(name, h % greatest(n - 1, 1) + 3) ELSE name END AS a FROM v0
@@ -240,6 +236,6 @@ WITH RECURSIVE v0 AS (
     FROM grid WHERE i < length(a) AND list_min(last) <= 2)
 ), found AS (SELECT a, b, last[length(b) + 1] AS distance FROM grid WHERE i = length(a) AND last[length(b) + 1] <= 2)
 SELECT vendor_id, CAST(distance AS INTEGER) AS distance, count(*) AS n_clients, min(client_id) AS first_client_id,
-  CAST(sum({_CRC.format("CAST(client_id AS VARCHAR)")}) AS BIGINT) AS clients_crc
+  CAST(sum({CRC_SQL.format("CAST(client_id AS VARCHAR)")}) AS BIGINT) AS clients_crc
 FROM v JOIN found USING (a) JOIN clients ON name = b GROUP BY ALL
 """

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, media, name_join, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
-from .common import id_crc, written
+from . import html, langid, manifest, media, name_join, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
+from .common import CRC_SQL, id_crc, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op11_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_join.join_vendors(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -91,8 +95,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_media": op9_media,
         "op10_secrets": op10_secrets,
         "op11_name_join": op11_name_join,
+        "op12_manifest": op12_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op11_name_join": name_join.ORACLE_SQL}
+    return {
+        "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op7_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_name_join": name_join.ORACLE_SQL,
+        "op12_manifest": manifest.oracle_sql(CRC_SQL),
+    }
