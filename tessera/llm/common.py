@@ -48,16 +48,22 @@ def written(df: DataFrame, label: str, *, compression: str = "snappy") -> DataFr
     stays until it is released or the program ends.  Tables with whole texts are smaller with ``zstd``.
     """
     spark = df.sparkSession
-    path = f"{work_root(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
-    _LEFT[path] = spark
-    if (step := _STEP.get()) is not None:
-        step.append(path)
+    path = shared_folder(spark, label)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared work folder for files that tasks write; it goes like a written table."""
+    path = f"{work_root(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    if (step := _STEP.get()) is not None:
+        step.append(path)
+    return path
+
+
 def settled(make: Callable[[], DataFrame], label: str, *done: DataFrame) -> DataFrame:
     """What ``make`` returns, written; tables that it wrote on its way and those in ``done`` are deleted."""
     mine: list[str] = []
@@ -73,10 +79,10 @@ def settled(make: Callable[[], DataFrame], label: str, *done: DataFrame) -> Data
     return out
 
 
-def released(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
+def released(*tables: DataFrame | str) -> None:
+    """Delete written tables, or folders by their names, that nothing reads any more."""
     for table in tables:
-        _delete(getattr(table, "written_at", None))
+        _delete(table if isinstance(table, str) else getattr(table, "written_at", None))
 
 
 def _delete(path: str | None) -> None:

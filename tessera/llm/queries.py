@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, manifest, media, name_join, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
+from . import archives, html, langid, manifest, media, name_join, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity
 from .common import CRC_SQL, id_crc, written
 
 
@@ -82,6 +82,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.converted(table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": op10_secrets,
         "op11_name_join": op11_name_join,
         "op12_manifest": op12_manifest,
+        "op13_warc": op13_warc,
     }
 
 
@@ -105,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op11_name_join": name_join.ORACLE_SQL,
         "op12_manifest": manifest.oracle_sql(CRC_SQL),
+        "op13_warc": archives.ORACLE_SQL,
     }
