@@ -438,7 +438,30 @@ asked("ask_fewest", "Which state has the fewest works?", "SELECT min(s) FROM (SE
 asked("ask_distinct", "How many different categories of works are there in NATION_7?", "SELECT count(DISTINCT category) FROM work WHERE state = 'NATION_7'")
 asked("ask_spread", "What is the spread of dates of works in NATION_12, first to the last?", "SELECT date_diff('day', min(completed), max(completed)) FROM work WHERE state = 'NATION_12'")
 asked("ask_epoch", "How many days after 1 January 1992 was the last work in NATION_12 completed?", "SELECT date_diff('day', DATE '1992-01-01', max(completed)) FROM work WHERE state = 'NATION_12'")
-asked("ask_years", "What is the total value of works between 1995 and 1996, in all?", "SELECT abs(sum(value) FILTER (year = 1996) - sum(value) FILTER (year = 1995)) FROM work")
+asked("ask_years", "What is the total value of works between 1995 and 1996, in all?", "SELECT sum(value) FROM work WHERE year BETWEEN 1995 AND 1996")
+for _name, _question, _sql in [
+    ("outside", "How many works outside NATION_7?", "count(*) FROM work WHERE state <> 'NATION_7'"),
+    ("besides", "How many works are there besides 1-URGENT and 5-LOW ones?", "count(*) FROM work WHERE category NOT IN ('1-URGENT', '5-LOW')"),
+    ("rather_than", "What is the median value of works in NATION_3 rather than 2-HIGH?", "round_even(median(value), 0) FROM work WHERE state = 'NATION_3' AND category <> '2-HIGH'"),
+    ("two_values", "What is the total value of works in NATION_3 or NATION_7?", "sum(value) FROM work WHERE state IN ('NATION_3', 'NATION_7')"),
+    ("between_amounts", "How many works cost between INR 1 Cr and INR 2 Cr?", "count(*) FROM work WHERE value BETWEEN 10000000 AND 20000000"),
+    ("shared_unit", "How many works are worth from 1 to 2 crore in NATION_7?", "count(*) FROM work WHERE value BETWEEN 10000000 AND 20000000 AND state = 'NATION_7'"),
+    ("or_less", "How many works are worth INR 50 lakh or less?", "count(*) FROM work WHERE value <= 5000000"),
+    ("not_more", "What is the largest value of works that cost not more than INR 90 lakh?", "max(value) FROM work WHERE value <= 9000000"),
+    ("half", "How many works are worth at least one and a half crore?", "count(*) FROM work WHERE value >= 15000000"),
+    ("before_year", "How many works were completed before 1996?", "count(*) FROM work WHERE year < 1996"),
+    ("after_day", "How many works were completed after 12 March 1996?", "count(*) FROM work WHERE completed > DATE '1996-03-12'"),
+    ("on_or_after", "What is the total value of works completed on or after 12 March 1996 in NATION_7?", "sum(value) FROM work WHERE completed >= DATE '1996-03-12' AND state = 'NATION_7'"),
+    ("until", "How many works were completed until 30 June 1993?", "count(*) FROM work WHERE completed <= DATE '1993-06-30'"),
+    ("listed_years", "What is the average value of works in 1993, 1995 and 1997?", "round_even(avg(value), 0) FROM work WHERE year IN (1993, 1995, 1997)"),
+    ("from_to", "How many 1-URGENT works from 1994 to 1996?", "count(*) FROM work WHERE year BETWEEN 1994 AND 1996 AND category = '1-URGENT'"),
+    ("onwards", "What is the smallest value of works from 1997 onwards?", "min(value) FROM work WHERE year >= 1997"),
+    ("month", "How many works were completed in March 1996?", "count(*) FROM work WHERE completed BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'"),
+    ("between_days", "What is the total value of works between 15 January 1995 and 3 March 1995?", "sum(value) FROM work WHERE completed BETWEEN DATE '1995-01-15' AND DATE '1995-03-03'"),
+    ("not_year", "How many works were not in 1996?", "count(*) FROM work WHERE year <> 1996"),
+    ("believed", "I believe it was INR 5 Cr. How many works are in NATION_7?", "count(*) FROM work WHERE state = 'NATION_7'"),
+]:
+    asked(f"ask_{_name}", _question, f"SELECT {_sql}")
 asked("ask_diff", "What is the difference between invoiced and received on all invoices?", "SELECT sum(invoiced) - sum(received) FROM invoice", _INVOICE)
 asked("ask_invoice_year", "How much was received on invoices in 1997, in total?", "SELECT sum(received) FROM invoice WHERE year = 1997", _INVOICE)
 asked("ask_asset", "What is the total cost of equipment that is worn?", "SELECT sum(cost) FROM asset WHERE condition = 'worn'", _ASSET)

@@ -25,6 +25,8 @@ def predicate(f: Filter) -> Column:
         return F.contains(F.lower(col.cast("string")), F.lit(str(value).lower()))
     if op == "between":
         return col.between(*value)
+    if op == "in":
+        return col.isin(*value)
     return {
         "eq": lambda: col == value, "ne": lambda: col != value, "gt": lambda: col > value,
         "gte": lambda: col >= value, "lt": lambda: col < value, "lte": lambda: col <= value,

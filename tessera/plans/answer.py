@@ -15,7 +15,7 @@ from tessera.operators import algebra
 from . import rewrite
 from .compile import Vocabulary, compile_question, with_phrase
 from .ir import QueryPlan
-from .mine import Known, mine
+from .mine import Known
 from .route import answer_kind, route, run_shape
 from .semantic import COUNTS, ENTITIES, STATED
 
@@ -57,13 +57,6 @@ def _says_enough(plan: QueryPlan | None) -> bool:
     return plan is not None and plan.entity != "work" and (plan.op is not None or bool(plan.filters) or plan.fn not in ("sum", "count"))
 
 
-def _for_client(plan: QueryPlan, client: str | None, source: DataFrame) -> QueryPlan:
-    """The named client filters where the table has clients; one that follows from a person or a work doesn't."""
-    if client is None or "client" not in source.columns or any(f[0] == "client" for f in plan.filters):
-        return plan
-    return plan.with_filter(("client", "eq", client))
-
-
 def answer_one(qid: str, question: str, kind: str | None, known: Known, vocabulary: Vocabulary, tables: dict[str, DataFrame]) -> Answer:
     kind = kind or answer_kind(question)
     try:
@@ -71,7 +64,7 @@ def answer_one(qid: str, question: str, kind: str | None, known: Known, vocabula
         if shape is not None and {"work", "invoice", "credential"} <= tables.keys():
             found = _value(run_shape(shape, tables["work"], tables["invoice"], tables["credential"]))
             return Answer(qid, question, kind, rewrite.within_unit(found, kind), str(shape), "shape", "" if found is not None else "nothing selected")
-        made = compile_question(question, vocabulary, kind) if why in ("", "planner", "no client named") else None
+        made = compile_question(question, vocabulary, kind, known) if why in ("", "planner", "no client named") else None
         if made is None or why == "no client named" and not _says_enough(made.plan):
             return Answer(qid, question, kind, None, reason=why)
         if made.plan is None:
@@ -80,7 +73,7 @@ def answer_one(qid: str, question: str, kind: str | None, known: Known, vocabula
             return Answer(qid, question, kind, None, reason=f"no table {made.plan.entity}")
         source = tables[made.plan.entity]
         made.plan.check(source.columns)
-        plan = prepared(_for_client(made.plan, mine(question, known).named_client.name, source), made.phrases, source)
+        plan = prepared(made.plan, made.phrases, source)
         found = _value(algebra.run(plan, source))
         return Answer(qid, question, kind, rewrite.within_unit(found, kind), str(plan), "plan", "" if found is not None else "nothing selected")
     except Exception as e:  # one question's failure is its own

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from datetime import date
 from typing import Any
 
-PREDICATES = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "exists", "between")
+PREDICATES = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "exists", "between", "in")
 REDUCTIONS = ("count", "distinct", "sum", "mean", "median", "min", "max")
 COMPOSITIONS = (None, "delta", "diff", "ratio", "argsel", "groupby", "spread", "epoch", "datespan")
 

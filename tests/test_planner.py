@@ -8,6 +8,7 @@ from tessera.plans import compile as planner
 from tessera.plans import mine, rewrite, route
 from tessera.plans.answer import answer_all, answer_one, known_of
 from tessera.plans.compile import Vocabulary, compile_question
+from tessera.plans.index import ValueIndex
 from tessera.plans.ir import QueryPlan
 from tessera.plans.semantic import ENTITIES
 
@@ -27,7 +28,8 @@ def tables(spark):
     from pyspark.sql import functions as F
 
     work = spark.createDataFrame(WORKS, "work_id long, work string, client string, category string, value long, completed date, state string, role string, grading string, lead string, has_ref boolean")
-    bond = spark.createDataFrame([("B1", "State Bank", 10, 365, 2.0, 2020), ("B2", "State Bank", 0, 30, 5.0, 2021), ("B3", "Union Bank", 7, 90, 3.0, 2021)], "bond_no string, bank string, amount long, validity_days int, guarantee_pct double, year int")
+    bond = spark.createDataFrame([("B1", "State Bank", 10, 365, 2.0, 2020, dt.date(2025, 1, 1)), ("B2", "State Bank", 0, 30, 5.0, 2021, dt.date(2026, 12, 31)), ("B3", "Union Bank", 7, 90, 3.0, 2021, dt.date(2027, 5, 5))],
+                                 "bond_no string, bank string, amount long, validity_days int, guarantee_pct double, year int, valid_until date")
     return {
         "work": work.withColumn("year", F.year("completed")), "credential": spark.createDataFrame(CREDENTIALS, "name string, credential string, issued date"), "bond": bond,
         "invoice": spark.createDataFrame(INVOICES, "invoice_no string, client string, date date, year int, invoiced long, received long, outstanding long, status string"),
@@ -42,7 +44,8 @@ def known(tables):
 
 @pytest.fixture(scope="module")
 def vocabulary(tables):
-    return Vocabulary.of_tables({k: v for k, v in tables.items() if k != "person"})
+    some = {k: v for k, v in tables.items() if k != "person"}
+    return Vocabulary.of_tables(some, ValueIndex.of(some), [q for q, *_ in SHAPES + PLANS + UNDERSTOOD + NOT_UNDERSTOOD] + OTHERS)
 
 
 SHAPES = [  # question, shape, answer
@@ -101,11 +104,45 @@ def test_rewording_keeps_the_shape(reword, known):
         assert again == plan, (question, reword(question))
 
 
+OTHERS = ["What is the largest work for the Kerala Water Board?", "How many bonds were there in 2021?", "What percentage is the guarantee of bonds from Union Bank?"]
+
+_W = "Water Board, Kerala"
+UNDERSTOOD = [  # question, answer
+    ("How many works outside Goa?", 3), ("How many works are there besides those in Goa?", 3), ("How many works rather than Irrigation or Dams?", 2), ("How many works excluding Irrigation, Dams and Bridges?", 1),
+    ("How many works cost between INR 6 Cr and INR 20 Cr?", 2), ("How many works are worth from 6 to 20 crore?", 2), ("How many works are worth INR 10 Cr or less?", 3), ("How many works are worth not more than INR 7 Cr?", 2),
+    ("How many works were completed before 2019?", 1), ("How many works were completed after 2 February 2019?", 3), ("How many works were completed on or after 2 February 2019?", 4), ("How many works were completed in 2018, 2019 and 2021?", 4),
+    ("How many works were completed from 2019 to 2020?", 3), ("How many works were completed in 2020 or later?", 2), ("How many works were completed in June 2019?", 1), ("How many works were completed until the 1st of May 2018?", 1),
+    ("How many bonds expire in 2027?", 1), ("How many bonds expire before 2027?", 2), ("Total value of works in Goa and Kerala together", 1_020_000_000),
+    ("Total value of works of Water Board Goa and Water Board Kerala together", 520_000_000), ("Average value of works of Water Board Kerala completed in 2019", 300_000_000),
+    ("What is the median value of works of Water Board Kerala completed after 2018?", 175_000_000), ("What is the total value of works between 2018 and 2019, in all?", 470_000_000),
+    ("How many works did A Rao lead?", 2), ("What is the largest work that Bela Sen led?", 300_000_000),
+    ("How many works have no grading?", 1), ("How many works are without a grading?", 1), ("Sum of invoices that are not paid", 600), ("How many invoices of City Metro Rail were there in 2021?", 1), ("I believe it was INR 5 Cr. How many works are in Goa?", 2),
+]
+NOT_UNDERSTOOD = [  # question, part of the reason
+    ("What is the average value of works of Acme Board?", "acme"), ("Sum of invoices excluding disputed ones", "disputed"), ("How many works except?", "'except'"), ("How many works have no lift?", "lift"), ("How many works have a reference letter?", "reference"), ("How many purple works in Goa?", "purple"),
+    ("Total value for the Water Board", "ambiguous client"), ("How many bonds of Water Board Kerala?", "knows no client"), ("How many works of INR 5 Cr?", "what about"), ("How many works in Goa were not completed in June 2019?", "not"),
+    ("How many business units before 1996?", "no time"), ("Which five clients have the largest total value of works?", "five"), ("How many Goa works in Kerala?", "two values"),
+    ("Total value of Water Board Kerala works that Zed Khan led", "zed"), ("How many works in 2018 and how many in 2019?", "two times"),
+]
+
+
+@pytest.mark.parametrize(("question", "want"), UNDERSTOOD)
+def test_every_word_counts(question, want, known, vocabulary, tables):
+    got = answer_one("q", question, None, known, vocabulary, tables)
+    assert got.answer == want, got
+
+
+@pytest.mark.parametrize(("question", "reason"), NOT_UNDERSTOOD)
+def test_what_is_not_understood_is_refused(question, reason, known, vocabulary, tables):
+    got = answer_one("q", question, None, known, vocabulary, tables)
+    assert got.answer is None and reason in got.reason, got
+
+
 def test_nothing_is_guessed(known, vocabulary, tables):
     ask = lambda q: answer_one("q", q, None, known, vocabulary, tables)
     assert ask("What is the total value of works for the Water Board?").reason == "ambiguous client"
     assert ask("What is outstanding?").answer is None and ask("How is the weather?").reason == "no entity named"
-    assert ask("Total value of works for Nobody Ltd excluding Dams").reason == "no client named"
+    assert ask("Total value of works for Nobody Ltd excluding Dams").reason == "not understood: nobody, ltd"
     assert ask("What is the largest work for the Kerala Water Board?").answer == 300_000_000
     assert ask("What is the largest work that A Rao led?").answer == 100_000_000
 
