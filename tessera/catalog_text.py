@@ -18,6 +18,7 @@ from tessera.operators import algebra, extract, resolve, shapes, store, verify
 from tessera.plans import bind, rewrite
 from tessera.plans.answer import answer_all
 from tessera.plans.compile import Vocabulary, compile_question
+from tessera.plans.index import ValueIndex, word_list
 from tessera.plans.ir import QueryPlan
 from tessera.plans.mine import Known
 from tessera.sources import estate, readers
@@ -421,6 +422,11 @@ def asked(name: str, question: str, sql: str, *ctes: str) -> None:
         return algebra.run(made.plan, source).select(F.col("answer").cast("double").alias("answer"))
 
     register(name, f"SELECT CAST(({sql}) AS DOUBLE) AS answer", *(ctes or (_WORK,)))(query)
+    _ASKED.append((name, question, sql))
+
+
+#: (name, question, SQL) of all questions that the planner answers; ``answer_batch`` answers them together.
+_ASKED: list[tuple[str, str, str]] = []
 
 
 _ASSET = "asset AS (SELECT p_type AS type, CAST(round(p_retailprice * 100) AS BIGINT) AS cost, CASE WHEN p_size < 15 THEN 'good' WHEN p_size < 35 THEN 'fair' ELSE 'worn' END AS condition FROM part)"
@@ -452,7 +458,7 @@ for _name, _question, _sql in [
     ("before_year", "How many works were completed before 1996?", "count(*) FROM work WHERE year < 1996"),
     ("after_day", "How many works were completed after 12 March 1996?", "count(*) FROM work WHERE completed > DATE '1996-03-12'"),
     ("on_or_after", "What is the total value of works completed on or after 12 March 1996 in NATION_7?", "sum(value) FROM work WHERE completed >= DATE '1996-03-12' AND state = 'NATION_7'"),
-    ("until", "How many works were completed until 30 June 1993?", "count(*) FROM work WHERE completed <= DATE '1993-06-30'"),
+    ("until", "How many works were completed until 30 June 1995?", "count(*) FROM work WHERE completed <= DATE '1995-06-30'"),
     ("listed_years", "What is the average value of works in 1993, 1995 and 1997?", "round_even(avg(value), 0) FROM work WHERE year IN (1993, 1995, 1997)"),
     ("from_to", "How many 1-URGENT works from 1994 to 1996?", "count(*) FROM work WHERE year BETWEEN 1994 AND 1996 AND category = '1-URGENT'"),
     ("onwards", "What is the smallest value of works from 1997 onwards?", "min(value) FROM work WHERE year >= 1997"),
@@ -517,3 +523,39 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"work": work, "invoice": bind.invoice(spark, sf_dir), "credential": bind.credential(spark, sf_dir)}
     questions = [(f"q{i:02}", text.replace("{c}", _CLIENT).replace("{p}", _LEADER), None) for i, (text, _) in enumerate(_ROUTED)]
     return answer_all(spark, questions, known, vocabulary, tables).select("qid", "answer")
+
+
+def vocabulary_of(tables: dict[str, DataFrame], questions: list[str]) -> Vocabulary:
+    """What the questions say of the tables' values, by an index over all of them."""
+    return Vocabulary.of_tables(tables, ValueIndex.of(tables), questions)
+
+
+@register("answer_batch", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', CAST(({sql}) AS DOUBLE))" for name, _, sql in _ASKED) + ") AS t(qid, answer)", _WORK, _INVOICE, _ASSET)
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions above as one batch: values found by an index over every column, plans of one table answered by shared scans."""
+    tables = {"work": bind.work(spark, sf_dir), "invoice": bind.invoice(spark, sf_dir), "asset": bind.asset(spark, sf_dir)}
+    vocabulary = vocabulary_of(tables, [q for _, q, _ in _ASKED])
+    return answer_all(spark, [(name, q, None) for name, q, _ in _ASKED], Known(), vocabulary, tables).select("qid", "answer")
+
+
+@register("index_whole", "SELECT 'customer' AS \"table\", 'c_name' AS \"column\", lower(replace(c_name, '#', ' ')) AS run, c_name AS value FROM customer UNION ALL SELECT 'nation', 'n_name', lower(replace(n_name, '_', ' ')), n_name FROM nation")
+def index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value index of all names of customers and nations."""
+    tables = {"customer": bind.table(spark, sf_dir, "customer").select("c_name"), "nation": bind.table(spark, sf_dir, "nation").select("n_name")}
+    return ValueIndex.of(tables).whole
+
+
+@register(
+    "index_hits",
+    "SELECT o_orderkey AS q, count(DISTINCT n) FILTER (kind = 'c') AS clients, count(DISTINCT n) FILTER (kind = 's') AS states FROM "
+    "(SELECT o_orderkey, c_name AS n, 'c' AS kind FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, n_name, 's' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1",
+)
+def index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question an order that names its client and state, looked up in the index of all names by their own runs of words."""
+    customers, nations = bind.table(spark, sf_dir, "customer"), bind.table(spark, sf_dir, "nation")
+    index = ValueIndex.of({"customer": customers.select("c_name"), "nation": nations.select("n_name")})
+    asked = bind.table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    said = F.concat(F.lit("what is the value of works of "), F.col("c_name"), F.lit(" in "), F.col("n_name"), F.lit("?"))
+    hits = index.hits(asked.select(F.col("o_orderkey").alias("q"), word_list(said).alias("words"))).filter("whole")
+    kind = lambda t: F.count_distinct(F.when(F.col("table") == t, F.col("value")))
+    return hits.groupBy("q").agg(kind("customer").alias("clients"), kind("nation").alias("states"))

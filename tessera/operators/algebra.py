@@ -113,6 +113,49 @@ def run(plan: QueryPlan, source: DataFrame) -> DataFrame:
     raise PlanError(plan.op)
 
 
+def reads(plan: QueryPlan) -> Column | None:
+    """The rows that a plan reads; None: all of them."""
+    filters = tuple(f for f in plan.filters if f[0] != "year") if plan.op == "delta" else plan.filters
+    own = matches(filters) if filters else None
+    if plan.op == "delta":
+        years = F.col("year").isin(*plan.years)
+        return years if own is None else own & years
+    other = plan.denominator if plan.op == "ratio" else plan.subtrahend if plan.op == "diff" and not plan.field_b else None
+    if other is None:
+        return own
+    return None if own is None or not other else own | matches(other)
+
+
+def answer(plan: QueryPlan) -> Column:
+    """The plan's answer as one aggregate over its entity's rows, so that one scan answers many plans; ``groupby`` needs its own grouping."""
+    fn, field, where = plan.fn, plan.field, matches(plan.filters)
+    if plan.op is None:
+        return reduction(fn, field, where)
+    if plan.op == "delta":
+        base = matches(tuple(f for f in plan.filters if f[0] != "year"))
+        a, b = (reduction(fn, field, base & (F.col("year") == y)) for y in plan.years)
+        return _signed(b - a, plan.absolute is not False)
+    if plan.op == "diff":
+        other = reduction(fn, plan.field_b, where) if plan.field_b else reduction(fn, field, matches(plan.subtrahend))
+        return _signed(reduction(fn, field, where) - other, bool(plan.absolute))
+    if plan.op == "ratio":
+        return percent(reduction(fn, field, where), reduction(fn, field, matches(plan.denominator)))
+    kept = lambda c: F.when(where, c)
+    if plan.op == "argsel":
+        pick, by, tie = (F.max_by if plan.dir == "max" else F.min_by), F.col(plan.by), plan.tiebreak
+        order = by if tie is None else F.struct(by, (-F.col(tie)).alias("t")) if plan.dir == "max" else F.struct(by, F.col(tie))
+        return pick(F.col(field), F.when(where & by.isNotNull(), order))
+    x = kept(F.col(field))
+    if plan.op == "spread":
+        return F.when(F.count(x) >= 2, F.datediff(F.max(x), F.min(x)))
+    if plan.op == "epoch":
+        return F.datediff(F.min(x) if fn == "min" else F.max(x), F.lit(plan.origin))
+    if plan.op == "datespan":
+        own = [where & (F.col(plan.key) == s) for s in plan.subjects]
+        return F.abs(F.datediff(*[F.min_by(F.when(o, F.col(field)), F.when(o, F.col(plan.tiebreak or field))) for o in own]))
+    raise PlanError(f"{plan.op} isn't one aggregate")
+
+
 def relaxed(plan: QueryPlan, source: DataFrame) -> QueryPlan:
     """Drop filters whose column is null on every row that the other filters select.
 

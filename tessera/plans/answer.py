@@ -6,9 +6,11 @@ A question that fails, in whatever way, gives no answer and its reason; the othe
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce as fold
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators import algebra
 
@@ -16,11 +18,11 @@ from . import rewrite
 from .compile import Vocabulary, compile_question, with_phrase
 from .ir import QueryPlan
 from .mine import Known
-from .route import answer_kind, route, run_shape
+from .route import ShapePlan, answer_kind, route, run_clients, run_shape
 from .semantic import COUNTS, ENTITIES, STATED
 
 LATEST_BY_DEFAULT = {"order_book", "order_line", "seven_year"}
-SCHEMA = "qid string, question string, answer_type string, answer double, plan string, source string, reason string"
+PLANS_AT_ONCE = 40  # plans that one aggregation answers
 
 
 @dataclass(frozen=True)
@@ -53,37 +55,168 @@ def prepared(plan: QueryPlan, phrases: tuple[str, ...], source: DataFrame) -> Qu
 
 
 def _says_enough(plan: QueryPlan | None) -> bool:
-    """A plan for a question that should have named a client: not over works, and no plain sum over a whole table."""
-    return plan is not None and plan.entity != "work" and (plan.op is not None or bool(plan.filters) or plan.fn not in ("sum", "count"))
+    """A plan for a question that should have named a client: no plain sum over a whole table."""
+    return plan is not None and (plan.op is not None or bool(plan.filters) or plan.fn not in ("sum", "count"))
 
 
-def answer_one(qid: str, question: str, kind: str | None, known: Known, vocabulary: Vocabulary, tables: dict[str, DataFrame]) -> Answer:
+@dataclass(frozen=True)
+class _Entry:
+    """A question on its way: a shape or a plan, or why there is none."""
+
+    qid: str
+    question: str
+    kind: str
+    plan: QueryPlan | None = None
+    shape: ShapePlan | None = None
+    phrases: tuple[str, ...] = ()
+    reason: str = ""
+
+
+def compiled(qid: str, question: str, kind: str | None, known: Known, vocabulary: Vocabulary, tables: dict[str, DataFrame]) -> _Entry:
+    """What a question asks for, without any job; whatever fails is the question's own reason."""
     kind = kind or answer_kind(question)
     try:
         shape, why = route(question, known, kind)
         if shape is not None and {"work", "invoice", "credential"} <= tables.keys():
-            found = _value(run_shape(shape, tables["work"], tables["invoice"], tables["credential"]))
-            return Answer(qid, question, kind, rewrite.within_unit(found, kind), str(shape), "shape", "" if found is not None else "nothing selected")
+            return _Entry(qid, question, kind, shape=shape)
         made = compile_question(question, vocabulary, kind, known) if why in ("", "planner", "no client named") else None
         if made is None or why == "no client named" and not _says_enough(made.plan):
-            return Answer(qid, question, kind, None, reason=why)
+            return _Entry(qid, question, kind, reason=why if made is None or made.plan is not None else made.reason)
         if made.plan is None:
-            return Answer(qid, question, kind, None, reason=made.reason)
+            return _Entry(qid, question, kind, reason=made.reason)
         if made.plan.entity not in tables:
-            return Answer(qid, question, kind, None, reason=f"no table {made.plan.entity}")
-        source = tables[made.plan.entity]
-        made.plan.check(source.columns)
-        plan = prepared(made.plan, made.phrases, source)
-        found = _value(algebra.run(plan, source))
-        return Answer(qid, question, kind, rewrite.within_unit(found, kind), str(plan), "plan", "" if found is not None else "nothing selected")
+            return _Entry(qid, question, kind, reason=f"no table {made.plan.entity}")
+        made.plan.check(tables[made.plan.entity].columns)
+        plan = rewrite.measure_is_not_filter(made.plan, ENTITIES[made.plan.entity].default)
+        return _Entry(qid, question, kind, rewrite.stated_bar(rewrite.counted_column(plan, COUNTS), STATED), phrases=made.phrases)
     except Exception as e:  # one question's failure is its own
-        return Answer(qid, question, kind, None, reason=f"{type(e).__name__}: {e}"[:500])
+        return _Entry(qid, question, kind, reason=f"{type(e).__name__}: {e}"[:500])
+
+
+def answer_one(qid: str, question: str, kind: str | None, known: Known, vocabulary: Vocabulary, tables: dict[str, DataFrame]) -> Answer:
+    """One question for itself, answered at once."""
+    x = compiled(qid, question, kind, known, vocabulary, tables)
+    try:
+        if x.shape is not None:
+            found, source = _value(run_shape(x.shape, tables["work"], tables["invoice"], tables["credential"])), "shape"
+        elif x.plan is not None:
+            table = tables[x.plan.entity]
+            x = replace(x, plan=prepared(x.plan, x.phrases, table))
+            found, source = _value(algebra.run(x.plan, table)), "plan"
+        else:
+            return Answer(qid, question, x.kind, None, reason=x.reason)
+        return Answer(qid, question, x.kind, rewrite.within_unit(found, x.kind), str(x.shape or x.plan), source, "" if found is not None else "nothing selected")
+    except Exception as e:  # one question's failure is its own
+        return Answer(qid, question, x.kind, None, reason=f"{type(e).__name__}: {e}"[:500])
+
+
+def _probed(entries: list[_Entry], source: DataFrame) -> list[_Entry]:
+    """Plans of one entity after the rewrites that need to know its rows: one aggregation tells all of them."""
+    texts = [c for c, t in source.dtypes if t == "string"]
+    bars = sorted({f for x in entries for f in x.plan.filters if rewrite.is_bar(f)}, key=str)
+    phrases = sorted({p for x in entries for p in x.phrases})
+    hit = lambda c, p: F.coalesce(F.contains(F.lower(F.col(c)), F.lit(p.lower())), F.lit(False))
+    probes = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.coalesce(algebra.predicate(f), F.lit(False))).alias(f"b{i}") for i, f in enumerate(bars)]
+    probes += [F.count_if(hit(c, p)).alias(f"p{i}_{k}") for i, p in enumerate(phrases) for k, c in enumerate(texts)]
+    latest = "year" in source.columns and entries[0].plan.entity in LATEST_BY_DEFAULT
+    if not (bars or phrases or latest or any(rewrite.sums_all(x.plan) for x in entries)):
+        return entries
+    seen = source.agg(*probes, *([F.max("year").alias("latest")] if latest else [])).first()
+    kept = {f: seen[f"b{i}"] for i, f in enumerate(bars)}
+    out = []
+    for x in entries:
+        plan, reason = x.plan, ""
+        for p in x.phrases:
+            hits = {c: seen[f"p{phrases.index(p)}_{k}"] for k, c in enumerate(texts)}
+            best = max((c for c in texts if 0 < hits[c] < seen["n"]), key=lambda c: hits[c], default=None)
+            plan = plan if best is None else plan.with_filter((best, "contains", p))
+        if latest and seen["latest"] is not None and not any(f[0] == "year" for f in plan.filters):
+            plan = plan.with_filter(("year", "eq", seen["latest"]))
+        plan = rewrite.without_idle(plan, kept, seen["n"])
+        if rewrite.sums_all(plan) and seen["n"] > rewrite.WHOLE_TABLE:
+            plan, reason = None, f"PlanError: sum over all of {plan.entity} without a filter"
+        out.append(replace(x, plan=plan, reason=reason))
+    return out
+
+
+def _stacked(row: DataFrame, names: list[str]) -> DataFrame:
+    """(qid, answer) from one row with a column an answer."""
+    pairs = F.array(*[F.struct(F.lit(q).alias("qid"), F.col(f"a{i}").alias("answer")) for i, q in enumerate(names)])
+    return row.select(F.explode(pairs).alias("x")).select("x.qid", "x.answer")
+
+
+def _answers(entries: list[_Entry], source: DataFrame) -> list[DataFrame]:
+    """(qid, answer) of the plans of one entity: one scan for ``PLANS_AT_ONCE`` of them, and one for each column that is grouped by."""
+    out = []
+    plain = [x for x in entries if x.plan.op != "groupby"]
+    for at in range(0, len(plain), PLANS_AT_ONCE):
+        some = plain[at : at + PLANS_AT_ONCE]
+        wanted = [algebra.reads(x.plan) for x in some]
+        rows = source if any(w is None for w in wanted) else source.filter(fold(lambda a, b: a | b, wanted))
+        out.append(_stacked(rows.agg(*[algebra.answer(x.plan).cast("double").alias(f"a{i}") for i, x in enumerate(some)]), [x.qid for x in some]))
+    for by in sorted({x.plan.by for x in entries if x.plan.op == "groupby"}):
+        some = [x for x in entries if x.plan.op == "groupby" and x.plan.by == by]
+        seen = lambda x: F.count_if(F.coalesce(algebra.matches(x.plan.filters), F.lit(False)))
+        inner = source.filter(F.col(by).isNotNull()).groupBy(by).agg(*[F.when(seen(x) > 0, algebra.reduction(x.plan.fn, x.plan.field, algebra.matches(x.plan.filters))).alias(f"g{i}") for i, x in enumerate(some)])
+        best = [(F.max if x.plan.dir == "max" else F.min)(f"g{i}").cast("double").alias(f"a{i}") for i, x in enumerate(some)]
+        out.append(_stacked(inner.agg(*best), [x.qid for x in some]))
+    return out
+
+
+def _shape_answers(entries: list[_Entry], tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """(qid, answer) of shapes: a shape with the same parameters is run once for all clients that are asked about."""
+    groups: dict[str, list[_Entry]] = {}
+    for x in entries:
+        alone = x.shape.person is not None or x.shape.client is None
+        groups.setdefault(f"{x.qid}" if alone else f"{x.shape.shape} {sorted(x.shape.params.items(), key=str)}", []).append(x)
+    out = []
+    for some in groups.values():
+        first = some[0].shape
+        if first.person is not None or first.client is None:
+            out += [run_shape(x.shape, tables["work"], tables["invoice"], tables["credential"]).limit(1).select(F.lit(x.qid).alias("qid"), F.col("answer").cast("double").alias("answer")) for x in some]
+            continue
+        clients = sorted({x.shape.client for x in some})
+        found = run_clients(first, clients, tables["work"], tables["invoice"])
+        asked = F.create_map(*[F.lit(v) for c in clients for v in (c, [x.qid for x in some if x.shape.client == c])])
+        out.append(found.select(F.explode(F.element_at(asked, F.col("client"))).alias("qid"), F.col("answer").cast("double").alias("answer")))
+    return out
 
 
 def answer_all(spark: SparkSession, questions: Iterable[tuple[str, str, str | None]], known: Known, vocabulary: Vocabulary, tables: dict[str, DataFrame]) -> DataFrame:
-    """Answers with plan, source and reason; a question file is as long as people write it, so it is the driver's."""
-    rows = [answer_one(qid, text, kind, known, vocabulary, tables) for qid, text, kind in questions]
-    return spark.createDataFrame([(a.qid, a.question, a.kind, a.answer, a.plan, a.source, a.reason) for a in rows], SCHEMA)
+    """Answers with plan, source and reason.
+
+    Plans of one entity share their scans: one aggregation decides about their rewrites, one answers up to ``PLANS_AT_ONCE`` of them,
+    so jobs grow with the entities that are asked about, not with the questions; answers stay in the result and never pass
+    the driver.  An entity whose shared probe fails has its plans probed one by one.
+    """
+    entries = [compiled(qid, text, kind, known, vocabulary, tables) for qid, text, kind in questions]
+    done, parts = [x for x in entries if x.plan is None and x.shape is None], []
+    for name in sorted({x.plan.entity for x in entries if x.plan is not None}):
+        mine = [x for x in entries if x.plan is not None and x.plan.entity == name]
+        try:
+            mine = _probed(mine, tables[name])
+        except Exception:
+            mine = [_alone(x, tables[name]) for x in mine]
+        done += mine
+        parts += _answers([x for x in mine if x.plan is not None], tables[name])
+    shaped = [x for x in entries if x.shape is not None]
+    parts += _shape_answers(shaped, tables)
+    asked = spark.createDataFrame([(x.qid, x.question, x.kind, str(x.plan or x.shape or ""), "shape" if x.shape else "plan" if x.plan else "", x.reason) for x in done + shaped], "qid string, question string, answer_type string, plan string, source string, reason string")
+    if not parts:
+        return asked.select("qid", "question", "answer_type", F.lit(None).cast("double").alias("answer"), "plan", "source", "reason")
+    found = fold(lambda a, b: a.unionByName(b), parts)
+    low, high = (F.create_map(*[F.lit(v) for k, b in rewrite.UNITS.items() for v in (k, float(b[i]))]) for i in (0, 1))
+    fits = F.col("answer").between(F.element_at(low, F.col("answer_type")), F.element_at(high, F.col("answer_type")))
+    out = asked.join(found, "qid", "left").withColumn("answer", F.when(fits, F.col("answer")))
+    silent = (F.col("source") != "") & F.col("answer").isNull()
+    return out.select("qid", "question", "answer_type", "answer", "plan", "source", F.when(silent, "nothing selected").otherwise(F.col("reason")).alias("reason"))
+
+
+def _alone(x: _Entry, source: DataFrame) -> _Entry:
+    try:
+        return _probed([x], source)[0]
+    except Exception as e:
+        return replace(x, plan=None, reason=f"{type(e).__name__}: {e}"[:500])
 
 
 def known_of(work: DataFrame, people: DataFrame, credential: DataFrame, *, states: Iterable[str] = (), own_names: Iterable[str] = ()) -> Known:
