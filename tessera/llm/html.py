@@ -38,7 +38,7 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'<>])*+)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^<>]*)>|<[!?][^>]*(?:>|\Z)|</[^>]*>",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")  # one attribute after another, values with their names
 _NAME = re.compile(r"[a-z]+", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -79,6 +79,8 @@ FOREIGN = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted "
     "comment comments commentlist disqus replies reply respond discussion related recommended recommendations".split()
 )
+#: Of these, words that are headings of ordinary articles too: within an article they count only where links bear them out.
+ORDINARY = frozenset("discussion related response".split())
 OF_ARTICLE = frozenset("article entry post story".split())  # their header is the article's own
 MARKS = frozenset("article main h1".split())
 SEVERAL = 3  # paragraphs that make an element worth measuring in spite of its name
@@ -87,7 +89,7 @@ KEPT = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "items", "kids", "link_chars", "link_tags", "named", "parent", "spread", "tag", "tags", "talk", "weight", "within")
+    __slots__ = ("chars", "density", "items", "kids", "link_chars", "link_tags", "named", "parent", "spread", "tag", "tags", "talk", "unsure", "weight", "within")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -97,34 +99,46 @@ class _Node:
         self.density = self.spread = 0.0
         self.weight = 1.0  # of the density: less within elements named like parts beside the article
         self.named = self.talk = self.within = False  # named like a part beside the article, like adverts or readers' talk; in an article or main element
+        self.unsure = False  # named by an ordinary word within an article
 
 
-def _named(value: str, prose: bool) -> bool:
-    """A class, id or role names a part beside the article; paragraphs and headings of an article only if it is foreign."""
-    words = {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", value))}
-    found = words & (FOREIGN if prose else BESIDE)
-    return bool(found) and not (found == {"header"} and words & OF_ARTICLE)
+def _words(value: str) -> set[str]:
+    return {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", value))}
 
 
-def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one; like adverts or readers' talk."""
+def _beside(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool, bool]:
+    """The element is no part of an article by its tag or as it is hidden; it is named like a part beside one; like adverts or
+    readers' talk; only by words that head ordinary sections of an article.
+
+    Paragraphs and headings of an article are named only by foreign words.
+    """
     if tag in DROPPED or tag == "header" and not in_article:
-        return True, False, False
-    named = talk = False
+        return True, False, False, False
+    named = talk = unsure = False
     if not attrs:
-        return False, False, False
+        return False, False, False, False
+    known = FOREIGN if in_article and tag in PROSE else BESIDE
     for m in _ATTR.finditer(attrs):
-        key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
+        key = m.group(1).lower()
+        if key not in ("class", "id", "role", "style", "hidden", "aria-hidden"):
+            continue
+        value = (m.group(2) or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return tag not in KEPT, False, False
+            return tag not in KEPT, False, False, False
         if key == "style":
             if tag not in KEPT and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True, False, False
-        elif tag not in KEPT:
-            named = named or _named(value, in_article and tag in PROSE)
-        if key in ("class", "id") and tag not in ("html", "body", "main"):
-            talk = talk or any(w.lower() in FOREIGN for w in _NAME.findall(_CAMEL.sub(" ", value)))
-    return False, named, talk
+                return True, False, False, False
+            continue
+        if key == "aria-hidden":
+            continue
+        words = _words(value)
+        if in_article and words & ORDINARY and not words & (BESIDE - ORDINARY):
+            unsure = True
+            continue
+        found = words & known
+        named = named or tag not in KEPT and bool(found) and not (found == {"header"} and words & OF_ARTICLE)
+        talk = talk or key in ("class", "id") and tag not in ("html", "body", "main") and bool(words & FOREIGN)
+    return False, named, talk, unsure and not (named or talk)
 
 
 class _Forms:
@@ -192,7 +206,7 @@ def parse(page: str) -> _Node:
             continue
         if tag in _P_ENDERS or tag in _SIBLINGS:
             node = _implied_end(node, tag)
-        beside, named, talk = _beside(tag, attrs, articles > 0)
+        beside, named, talk, unsure = _beside(tag, attrs, articles > 0)
         if beside:
             if tag in RAW:
                 at = _after_raw(page, at, tag)
@@ -207,8 +221,8 @@ def parse(page: str) -> _Node:
                 node.items.append(_Node("br", node))
             continue
         child = _Node(tag, node)
-        child.named, child.talk, child.within = named, talk, articles > 0
-        any_named = any_named or named or talk
+        child.named, child.talk, child.unsure, child.within = named, talk, unsure, articles > 0
+        any_named = any_named or named or talk or unsure
         node.items.append(child)
         node.kids.append(child)
         if tag not in VOID and not attrs.endswith("/"):
@@ -227,6 +241,7 @@ def _prune(root: _Node) -> None:
     article or main element with text stands elsewhere), or with the main heading
     within an article.  Adverts, teasers and readers' talk go wherever an article stands
     outside them, or, without one, where they hold at most a third of the plain text.
+    Within an article a section that only an ordinary word names ("related-work") goes if it is mostly links.
     """
     order, stack = [], [root]
     while stack:
@@ -248,6 +263,9 @@ def _prune(root: _Node) -> None:
     marked = bool(holds[root] & {"article", "main"})
     gone: set[_Node] = set()
     for n in order:
+        if n.unsure and 2 * plain[n] <= n.chars:
+            gone.add(n)
+            continue
         if n.parent is None or not n.named and not n.talk:
             continue
         outside = articles[root] - articles[n]

@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ from .common import map_rows, sliced
 SLOTS = 1 << 13
 PIECE = 1 << 20  # bytes of a text that are counted at a time
 BLOCK = 256  # slots a row of partial counts holds
+SHARES = 1024  # groups of tasks whose counts are added up first
 SHARPNESS = 6.0
 AMBIGUOUS = 0.15  # distance between the two nearest codewords
 MAX_LANGUAGES = 512  # labels of more languages than that aren't languages; bounds what a task and the driver hold (64 KB each)
@@ -139,6 +141,7 @@ def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
     """Counts of all rows that have both columns, summed per language.
 
     More than ``max_languages`` different labels raise ValueError before anything is counted.
+    Tasks' counts are added up in two steps, so no group holds a row of every task.
     """
     blocks = SLOTS // BLOCK
 
@@ -150,21 +153,23 @@ def learn(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
                     if lang not in sums:
                         sums[lang] = np.zeros(SLOTS, np.int64)
                     sums[lang] += trigram_counts(text)
+        share = TaskContext.get().partitionId() % SHARES
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * blocks), pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in total.reshape(blocks, BLOCK)])],
-                names=["lang", "block", "counts"],
+                [pa.array([lang] * blocks), pa.array(range(blocks), pa.int32()), pa.array([share] * blocks, pa.int32()), pa.array([x.tobytes() for x in total.reshape(blocks, BLOCK)])],
+                names=["lang", "block", "share", "counts"],
             )
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
-        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "block": rows["block"].iloc[:1], "share": rows["share"].iloc[:1], "counts": [total.tobytes()]})
 
     known = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     if rows.select(F.col(lang_col).cast("string").alias("lang")).dropna().distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"column {lang_col} has more than {max_languages} different labels")
-    schema = "lang string, block int, counts binary"
-    parts = known.mapInArrow(count, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
+    schema = "lang string, block int, share int, counts binary"
+    shares = known.mapInArrow(count, schema).groupBy("lang", "block", "share").applyInPandas(add, schema)
+    parts = shares.groupBy("lang", "block").applyInPandas(add, schema).collect()
     counts: dict[str, np.ndarray] = {}
     for r in parts:  # languages x 8,192 counts
         counts.setdefault(r["lang"], np.zeros(SLOTS))[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)

@@ -11,7 +11,9 @@ URL.  A weak candidate is reported only if a secret-like part and an identifier
 are linked; base matches act as parts too, but are always reported.
 
 Defined results: null or empty text has no spans; all positions are code
-points; repeated rows are scanned once each.
+points; repeated rows are scanned once each; an empty table gives no rows; other columns are
+ignored, whatever their names; texts, identifiers and host names may be of any length; of parts that start at one
+place all are kept, in the order of their kinds; parts that overlap base spans are left out.
 """
 
 from __future__ import annotations
@@ -40,9 +42,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HINT = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
 
-_IDENT = re.compile(r"(?:client|account|access|user|tenant|project|key)[_ -]?(?:id|name|key_id)\b[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{3,128})|\b(?:user|login|username)\x20{0,4}[:=]\x20{0,4}([A-Za-z0-9_.@-]{3,128})", re.IGNORECASE | re.ASCII)
+_IDENT = re.compile(r"(?:client|account|access|user|tenant|project|key)[_ -]?(?:id|name|key_id)\b[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})|\b(?:user|login|username)\x20*[:=]\x20*([A-Za-z0-9_.@-]{3,})", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-_ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|\b(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,12}:\d{2,5}\b", re.ASCII)
+_ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|(?<![A-Za-z0-9-])(?<![A-Za-z0-9-]\.)(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+:\d{2,5}\b", re.ASCII)
 
 
 class Span(NamedTuple):

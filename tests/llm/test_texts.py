@@ -436,3 +436,28 @@ def test_pages(spark):
             assert r["text"] == " ".join(entities.unescape(inner).split())
     odd = spark.createDataFrame([(None, None, None), (1, None, "<p>x"), (1, None, "<p>x")], pages.schema)
     assert sorted(r["text"] for r in html.extract_pages(odd).collect()) == ["", "x", "x"]
+
+
+def _in_article(inner):
+    return f"<html><body><nav>menu</nav><article><h1>Title</h1><p>{'Plain words of the article. ' * 10}</p>{inner}<p>{'More words of it here. ' * 10}</p></article></body></html>"
+
+
+@pytest.mark.parametrize("inner", [
+    "<p title='the hidden treasure'>Keep</p>", "<p aria-label='hidden'>Keep</p>", "<p>x <a href='/hidden/list'>Keep</a></p>", "<p>x <a href='/x?id=ad'>Keep</a></p>", "<p data-id='ad 12'>Keep</p>",
+    "<section id='discussion'><h2>Discussion</h2><p>Keep what the results say.</p></section>", "<p class='related-work'>Keep</p>", "<p data-x=\"style='display:none'\">Keep</p>",
+])
+def test_attributes_are_read_by_name(inner):
+    assert "Keep" in html.extract(_in_article(inner))
+
+
+@pytest.mark.parametrize("inner", ["<p hidden>Gone</p>", "<p aria-hidden='true'>Gone</p>", "<div class='related'><a href=x>Gone one</a> <a href=y>Gone two</a></div>", "<div class=comments><p>Gone</p></div>", "<div style='display: none'>Gone</div>"])
+def test_parts_beside_the_article_still_go(inner):
+    assert "Gone" not in html.extract(_in_article(inner))
+
+
+def test_parts_of_any_length():
+    host, name = ".".join("abcdefghijk") + ".example.com:8080", "n" * 500
+    text = f"{host} token Ab3dEf6hIj9kLmN0pQrS2tUv and user_id:{' ' * 30}{name}"
+    found = {(s.kind, text[s.start : s.end]) for s in secrets.find_spans(text)[1]}
+    assert ("endpoint", host) in found and ("ident", name) in found
+    assert secrets.find_spans("a." * 200_000 + " user" + " " * 200_000)[1] == []
