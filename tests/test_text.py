@@ -185,7 +185,7 @@ VOCABULARY = Vocabulary.of("work", {"category": ["road", "dam"], "state": ["Kera
     ("Average size of projects above 20 crore", ("mean", "value", (("value", "gte", 200_000_000),), None)),
     ("By how much did the total value of works change between 2001 and 2003?", ("sum", "value", (), "delta")),
     ("What share of the value of works is road?", ("sum", "value", (("category", "eq", "road"),), "ratio")),
-    ("What is the capital of France?", None), ("Tell me about works", None), ("total value of road and dam works", None),
+    ("What is the capital of France?", None), ("Tell me about works", None), ("total value of road and dam works", ("sum", "value", (("category", "in", ("road", "dam")),), None)), ("total value of road works in dam", None),
 ])
 def test_compile(question, want):
     plan = compile_question(question, VOCABULARY).plan
