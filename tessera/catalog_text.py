@@ -66,8 +66,8 @@ def _turns(*expressions: str) -> str:
 _GROUPED = {"grouped": lambda: F.format_number("n", 0)}
 scalar("norm_money", ["INR {n} Cr", "Rs. {grouped}/-", "({n})", "-{n} Lacs", "INR -{n}", "{n}.5 crore", "no figure", "₹{n} lac", "net {grouped} only"], norm.money,
        f"CAST({_turns('n * 10000000', 'n', '-n', '-n * 100000', '-n', 'n * 10000000 + 5000000', 'NULL', 'n * 100000', 'n')} AS BIGINT)", **_GROUPED)
-scalar("norm_threshold", ["crossing the seventy-three crore mark", "target of INR {n} Cr", "of {big} or more", "five lacs", "in 2020", "above two hundred lakh"], norm.threshold,
-       f"CAST({_turns('730000000', 'n * 10000000', 'n * 1000000', '500000', 'NULL', '20000000')} AS BIGINT)", big=lambda: F.format_number(F.col("n") * 1_000_000, 0))
+scalar("norm_threshold", ["crossing the seventy-three crore mark", "target of INR {n} Cr", "of {big} or more", "five lacs", "in 2020", "above two hundred lakh", "two and a half crore", "two hundred and five lakh or {big}"], norm.threshold,
+       f"CAST({_turns('730000000', 'n * 10000000', 'n * 1000000', '500000', 'NULL', '20000000', 'NULL', '20500000')} AS BIGINT)", big=lambda: F.format_number(F.col("n") * 1_000_000, 0))
 scalar("norm_words", ["seventy-three of {n}", "two hundred five", "nothing", "ninety"], norm.words_to_number, f"CAST({_turns('73', '205', 'NULL', '90')} AS INTEGER)")
 scalar("norm_number", ["({grouped})", "{grouped}", "-{n}", "x"], norm.number, f"CAST({_turns('-n', 'n', '-n', 'NULL')} AS BIGINT)", **_GROUPED)
 scalar("norm_date", ["{day}", "on {slashed}", "{spelt}", "{american} it was", "soon", "31/02/2020"], norm.parse_date, _turns("day", "day", "day", "day", "NULL", "NULL"),
@@ -76,8 +76,8 @@ scalar("norm_iso", "on {day}", lambda t: norm.iso(norm.parse_date(t)), "CAST(day
 scalar("norm_lenient_year", ["{day}T00", "x"], norm.lenient_year, _turns("CAST(year(day) AS INTEGER)", "NULL"))
 scalar("norm_lenient_date", ["{day}T00", "2020-13-01"], norm.lenient_date, _turns("day", "NULL"))
 scalar("norm_flat", "  {name} \n\t of  {nation} ", norm.flat, "name || ' of ' || nation")
-scalar("norm_client", [" {name}  (PSU) ", "{name}.", "{name} (Government)"], norm.norm_client, "name")
-scalar("norm_person", ["Dr. {name}", "Shri {name}", "{name}"], norm.norm_person, "name")
+scalar("norm_client", [" {name}  (PSU) ", "{name}.", "{name} (Government)", "{name} (Semi-Govt)", "{name} (Publications Board)", "({name})"], norm.norm_client, _turns("name", "name", "name", "name", "name || ' (Publications Board)'", "'(' || name || ')'"))
+scalar("norm_person", ["Dr. {name}", "Shri {name}", "{name}", "Mr. {name} B.", "MS  {name},", "Drew {name}"], norm.norm_person, _turns("name", "name", "name", "name || ' B'", "name", "'Drew ' || name"))
 scalar("norm_grading", ["is graded as Very\nGood.", "graded Good", "We assessed the completed work as Fair", "found satisfactory", "graded as {seg}"], norm.grading, _turns("'Very Good'", "'Good'", "'Fair'", "NULL", "NULL"))
 scalar("norm_fiscal_label", "for the year ended 31 March {year}", norm.fiscal_label, "'FY' || (year(day) - 1) || '-' || lpad(CAST(year(day) % 100 AS VARCHAR), 2, '0')", year=lambda: F.year("day"))
 scalar("norm_fiscal_years", "{name} as at 31st March, {year} and the year ended 31 March 2020", norm.fiscal_years,

@@ -76,7 +76,8 @@ def test_dates(spark):
 
 
 def test_names(spark):
-    assert one(spark, norm.norm_client, " Water  Board (PSU) ", "Acme.") == ["Water Board", "Acme"]
+    assert one(spark, norm.norm_client, " Water  Board (PSU) ", "Acme.", "X (Publications Board)", "X (Semi-Govt)", "(Private)", None) == ["Water Board", "Acme", "X (Publications Board)", "X", "", None]
+    assert one(spark, norm.norm_person, "Mr. A B.", "Mr", "Drew B", "SHRI  A", None) == ["A B", "Mr", "Drew B", "A", None]
     assert one(spark, norm.norm_work, "Road – Phase II, (Pkg-3)") == ["road phase ii pkg 3"]
     assert one(spark, norm.norm_person, "Dr. A  Rao") == ["A Rao"]
     assert one(spark, norm.stem, "parties", "building", "roads", "glass") == ["party", "build", "road", "glas"]
