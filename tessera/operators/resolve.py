@@ -1,8 +1,9 @@
 """Entity resolution that refuses rather than guesses.
 
 Batch form: mentions are matched with a table of names by exact key, then by
-containment of tokens weighted by rarity.  A mention whose best two names are too close
-resolves to null and is flagged ambiguous, which isn't the same as absent.
+containment of tokens weighted by rarity.  What counts is what was said: names that hold the
+same said words tie, however much else they hold; unless just one of them is said whole, the
+mention resolves to null and is flagged ambiguous, which isn't the same as absent.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.work import settled
+
 RECALL = 0.30  # least share of a name's weight that a mention must carry
-MARGIN = 0.05  # least lead over the second name
 SMALL = ("the", "our", "a", "an", "of", "for", "and", "we", "us", "client", "account", "file")  # say nothing about which name is meant
 SALTED = 50  # names of one token that a join key holds about
 
@@ -20,6 +22,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def token_table(names: DataFrame) -> DataFrame:
+    """(n, t, df, full, left, size) of names: their tokens, in how many names each stands, the name's whole weight, what the tokens
+    up to this one (the most frequent first) weigh, and how many tokens it has."""
+    words = names.select("n", F.explode(F.array_distinct(tokens(F.col("n")))).alias("t"))
+    df = words.groupBy("t").agg(F.count("*").alias("df"))
+    of_name = Window.partitionBy("n")  # as many rows as a name has words
+    so_far = of_name.orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = 1 / F.col("df")
+    return words.join(df, "t").select("n", "t", "df", F.sum(weight).over(of_name).alias("full"), F.sum(weight).over(so_far).alias("left"), F.count("*").over(of_name).alias("size"))
+
+
 def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention", name: str = "name") -> DataFrame:
     """(mention, name, confidence, ambiguous) of every distinct mention.
 
@@ -27,50 +40,42 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
     which the rest weighs less than RECALL, so that every name that reaches it is a
     candidate.  A token of many names is dealt out over salted keys.  A mention that
     reaches no name so, but whose words all stand in one name and no other, is that name;
-    where they stand in several it is ambiguous.
+    where they stand in several it is ambiguous.  Names with their tokens are written once,
+    and so are the mentions with theirs.
     """
-    said = mentions.select(F.trim(mention).alias("m")).filter(F.col("m").isNotNull()).distinct()
+    said = settled(mentions.select(F.trim(mention).alias("m")).filter(F.col("m").isNotNull()).distinct().withColumn("ts", F.array_distinct(tokens(F.col("m")))))
     known = names.select(F.trim(name).alias("n")).filter(F.col("n").isNotNull()).distinct()
-    exact = said.join(known.groupBy(F.lower("n").alias("k")).agg(F.min("n").alias("n"), F.count("*").alias("c")), F.lower("m") == F.col("k"))
-    exact = exact.select("m", F.when(F.col("c") == 1, F.col("n")).alias("n"), F.lit(1.0).alias("confidence"), (F.col("c") > 1).alias("ambiguous"))
+    held = settled(token_table(known))
+    spelt = held.select(F.lower("n").alias("k"), "n").distinct().groupBy("k").agg(F.min("n").alias("n"), F.count("*").alias("c"))
+    exact = said.join(spelt, F.lower("m") == F.col("k")).select("m", F.when(F.col("c") == 1, F.col("n")).alias("n"), F.lit(1.0).alias("confidence"), (F.col("c") > 1).alias("ambiguous"))
     rest = said.join(exact.select("m"), "m", "left_anti")
-    words = known.select("n", F.explode(F.array_distinct(tokens(F.col("n")))).alias("t"))
-    df = words.groupBy("t").agg(F.count("*").alias("df"))
-    weighted = words.join(df, "t")
-    sizes = weighted.groupBy("n").agg(F.sum(1 / F.col("df")).alias("full"))
-    rest_of_name = Window.partitionBy("n").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keyed = weighted.withColumn("left", F.sum(1 / F.col("df")).over(rest_of_name)).join(sizes, "n").filter(F.col("left") >= RECALL * F.col("full") - 1e-9)
     salts = F.ceil(F.col("df") / SALTED).cast("int")
-    keyed = keyed.select("n", "t", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt"))
-    heard = rest.select("m", F.array_distinct(tokens(F.col("m"))).alias("ts"))
-    asked = heard.select("m", F.explode("ts").alias("t")).join(df, "t").select("m", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    keyed = held.filter(F.col("left") >= RECALL * F.col("full") - 1e-9).select("n", "t", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt"))
+    df = held.select("t", "df").distinct()
+    asked = rest.select("m", F.explode("ts").alias("t")).join(df, "t").select("m", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     pairs = asked.join(keyed, ["t", "salt"]).select("m", "n").distinct()
-    scored = pairs.join(heard, "m").join(weighted.select("n", "t", "df"), "n").filter(F.array_contains("ts", F.col("t")))
-    scored = scored.groupBy("m", "n").agg(F.sum(1 / F.col("df")).alias("got")).join(sizes, "n").withColumn("score", F.col("got") / F.col("full"))
-    ranked = scored.filter(F.col("score") >= RECALL).withColumn("r", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("score"), F.desc("got"), "n")))
-    best = ranked.filter("r <= 2").groupBy("m").agg(
-        F.max(F.when(F.col("r") == 1, F.struct("n", "score", "got"))).alias("a"), F.max(F.when(F.col("r") == 2, F.struct("n", "score", "got"))).alias("b")
-    )
-    close = F.coalesce((F.col("a.score") - F.col("b.score") < MARGIN) & (F.col("a.got") - F.col("b.got") < MARGIN), F.lit(False))
-    fuzzy = best.select("m", F.when(~close, F.col("a.n")).alias("n"), F.col("a.score").alias("confidence"), close.alias("ambiguous"))
-    found = exact.unionByName(fuzzy)
-    found = found.unionByName(_contained(rest.join(fuzzy.select("m"), "m", "left_anti"), words, df))
-    out = said.join(found, "m", "left").select(F.col("m").alias(mention), F.col("n").alias(name), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
-    return out
+    scored = pairs.join(rest, "m").join(held, "n").filter(F.array_contains("ts", F.col("t")))
+    scored = scored.groupBy("m", "n").agg(F.round(F.sum(1 / F.col("df")), 9).alias("got"), F.first("full").alias("full"), (F.count("*") == F.first("size")).alias("whole"))
+    good = scored.filter(F.col("got") / F.col("full") >= RECALL - 1e-9)
+    per = good.groupBy("m", "got").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.count_if("whole").alias("wholes"), F.min(F.when(F.col("whole"), F.col("n"))).alias("w"), F.max(F.col("got") / F.col("full")).alias("share"))
+    best = per.groupBy("m").agg(F.max_by(F.struct("c", "n", "wholes", "w", "share"), "got").alias("x")).select("m", "x.*")
+    one = F.when(F.col("c") == 1, F.col("n")).when(F.col("wholes") == 1, F.col("w"))
+    fuzzy = best.select("m", one.alias("n"), F.when(one.isNotNull(), F.col("share")).otherwise(0.0).alias("confidence"), one.isNull().alias("ambiguous"))
+    found = settled(exact.unionByName(fuzzy))
+    found = found.unionByName(_contained(said.join(found.select("m"), "m", "left_anti"), held))
+    return said.join(found, "m", "left").select(F.col("m").alias(mention), F.col("n").alias(name), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-def _contained(said: DataFrame, words: DataFrame, df: DataFrame) -> DataFrame:
+def _contained(said: DataFrame, held: DataFrame) -> DataFrame:
     """(m, n, confidence, ambiguous) of mentions all of whose words, but for small ones, stand in names."""
     small = F.array(*[F.lit(w) for w in SMALL])
-    heard = said.select("m", F.array_except(F.array_distinct(tokens(F.col("m"))), small).alias("ts")).filter(F.size("ts") > 0)
-    known = heard.select("m", "ts", F.explode("ts").alias("t")).join(df, "t")
-    rarest = known.groupBy("m").agg(F.count("*").alias("hits"), F.first("ts").alias("ts"), F.min_by("t", F.struct("df", "t")).alias("t"), F.min("df").alias("df")).filter(F.col("hits") == F.size("ts"))
+    heard = said.select("m", F.array_except("ts", small).alias("ts")).filter(F.size("ts") > 0)
+    words = heard.select("m", F.size("ts").alias("want"), F.explode("ts").alias("t"))
     salts = F.ceil(F.col("df") / SALTED).cast("int")
-    asked = rarest.select("m", "ts", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    full = words.groupBy("n").agg(F.collect_set("t").alias("nts"))  # as many as a name has words
-    held = words.join(df, "t").select("n", "t", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt")).join(full, "n")
-    whole = asked.join(held, ["t", "salt"]).filter(F.size(F.array_except("ts", "nts")) == 0)
-    per = whole.groupBy("m").agg(F.min("n").alias("n"), F.max("n").alias("last"), F.max(F.size("ts") / F.size("nts")).alias("share"))
+    asked = words.join(held.select("t", "df").distinct(), "t").select("m", "want", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = held.select("n", "t", "size", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt"))
+    whole = asked.join(dealt, ["t", "salt"]).groupBy("m", "n").agg(F.count("*").alias("hits"), F.first("want").alias("want"), F.first("size").alias("size")).filter(F.col("hits") == F.col("want"))
+    per = whole.groupBy("m").agg(F.min("n").alias("n"), F.max("n").alias("last"), F.max(F.col("want") / F.col("size")).alias("share"))
     one = F.col("n") == F.col("last")
     return per.select("m", F.when(one, F.col("n")).alias("n"), F.when(one, F.col("share")).otherwise(0.0).alias("confidence"), (~one).alias("ambiguous"))
 

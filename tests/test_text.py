@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import norm
 from tessera.operators import extract, resolve
+from tessera.plans.mine import NameIndex
 from tessera.plans.compile import Vocabulary, compile_question
 from tessera.sources import readers
 from tessera.streaming import balances
@@ -162,21 +163,42 @@ def test_names_of_frequent_words_resolve(spark):
     df = Counter(t for n in names for t in n.split())
     want = {}
     for m in set(said):
-        scores = []
+        scores = {}
         for n in names:
-            got = sum(1 / df[t] for t in n.split() if t in m.split())
-            score = got / sum(1 / df[t] for t in n.split())
-            if score >= resolve.RECALL:
-                scores.append((score, got, n))
-        top = sorted(scores, reverse=True)[:2]
-        close = len(top) == 2 and top[0][0] - top[1][0] < resolve.MARGIN and top[0][1] - top[1][1] < resolve.MARGIN
-        want[m] = (None if close or not top else top[0][2], close)
+            got = round(sum(1 / df[t] for t in n.split() if t in m.split()), 9)
+            if got / sum(1 / df[t] for t in n.split()) >= resolve.RECALL:
+                scores[n] = got
+        top = [n for n, got in scores.items() if got == max(scores.values())]
+        whole = [n for n in top if set(n.split()) <= set(m.split())]
+        want[m] = (top[0], False) if len(top) == 1 else (whole[0], False) if len(whole) == 1 else (None, bool(top))
     frames = [spark.createDataFrame([(x,) for x in rows], f"{column} string") for rows, column in ((said, "mention"), (names, "name"))]
     got = {r["mention"]: (r["name"], r["ambiguous"]) for r in resolve.resolve(*frames).collect()}
     assert got["the a3 b4 c5 people"] == ("a3 b4 c5", False)
     assert got == want
 
 
+def test_batch_and_question_agree(spark):
+    """Last words of names within other words: the joins and the index of one question give the same name, or the same refusal."""
+    pick = random.Random(11)
+    names = sorted({f"{pick.choice('NSEW')}orth{pick.randint(0, 30)} {pick.choice(['water', 'road', 'power', 'metro'])} {pick.choice(['board', 'works', 'rail'])} unit{pick.randint(0, 400)}" for _ in range(600)})
+    index, said = NameIndex(tuple(names)), set()
+    for n in names:
+        ws = n.lower().split()
+        said.add(f"please show {' '.join(ws[pick.randint(0, 3) :])} then")
+    frames = [spark.createDataFrame([(x,) for x in rows], f"{column} string") for rows, column in ((sorted(said), "mention"), (names, "name"))]
+    got = {r["mention"]: (r["name"], r["ambiguous"]) for r in resolve.resolve(*frames).collect()}
+    want = {m: index.find(m) for m in said}
+    assert got == {m: (f.name, f.ambiguous) for m, f in want.items()}
+    assert {a for _, a in got.values()} == {True, False} and len(got) > 400
+
+
+def test_names_are_read_once(spark, tmp_path):
+    names = spark.createDataFrame([("North Water Board",), ("City Metro Rail",)], "name string")
+    names.write.parquet(str(tmp_path / "names"))
+    plan = resolve.resolve(names.select(F.col("name").alias("mention")), spark.read.parquet(str(tmp_path / "names")))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and plan.count("Scan ExistingRDD") < 20
+
+
 VOCABULARY = Vocabulary.of("work", {"category": ["road", "dam"], "state": ["Kerala", "Goa"]})
 
 
