@@ -16,6 +16,7 @@ from tessera.operators import algebra
 
 from . import rewrite
 from .compile import Vocabulary, compile_question, with_phrase
+from .index import ValueIndex
 from .ir import QueryPlan
 from .mine import Known
 from .route import ShapePlan, answer_kind, route, run_clients, run_shape
@@ -219,8 +220,38 @@ def _alone(x: _Entry, source: DataFrame) -> _Entry:
         return replace(x, plan=None, reason=f"{type(e).__name__}: {e}"[:500])
 
 
+def known_for(index: ValueIndex, questions: Iterable[str], work: DataFrame, *, states: Iterable[str] = (), own_names: Iterable[str] = ()) -> Known:
+    """Names that these questions may mean, by an index of ``work`` (and ``credential``): the driver gets candidates, not the store.
+
+    Titles come with their clients, people with the client of all their works where that is one.
+    """
+    asked = list(questions)
+    names, counts = index.names(asked, [("work", "client"), ("work", "lead"), ("work", "work")])
+    values, _ = index.said(asked)
+    of = lambda table, column: tuple(sorted(values.get(table, {}).get(column, {}).values()))
+    people, titles = names.get(("work", "lead"), ()), names.get(("work", "work"), ())
+    has = set(work.columns)
+    works: dict[str, str] = {}
+    led: dict[str, tuple[str, ...]] = {}
+    if titles and {"work", "client"} <= has:
+        found = work.filter(F.col("work").isin(*titles)).groupBy("work").agg(F.min("client").alias("client"), *([F.min("lead").alias("lead")] if "lead" in has else []))
+        for r in sorted(found.collect()):
+            works[r["work"]] = r["client"]
+            if "lead" in has and r["lead"]:
+                led[r["lead"]] = (*led.get(r["lead"], ()), r["work"])
+    alone: dict[str, str] = {}
+    if people and {"lead", "client"} <= has:
+        per = work.filter(F.col("lead").isin(*people)).groupBy("lead").agg(F.min("client").alias("client"), F.max("client").alias("last"))
+        alone = {r["lead"]: r["client"] for r in per.filter(F.col("client") == F.col("last")).collect()}
+    return Known(
+        clients=names.get(("work", "client"), ()), people=people, works=works, led=led, categories=of("work", "category"), gradings=of("work", "grading"), roles=of("work", "role"),
+        credentials=of("credential", "credential"), states=frozenset(s.lower() for s in states), own_names=tuple(own_names), only_client=alone,
+        client_counts=tuple(sorted(counts.get(("work", "client"), {}).items())),
+    )
+
+
 def known_of(work: DataFrame, people: DataFrame, credential: DataFrame, *, states: Iterable[str] = (), own_names: Iterable[str] = ()) -> Known:
-    """Names of a store: one row an entity, collected once per session."""
+    """All names of a small store, collected once per session; ``known_for`` asks an index instead."""
     rows = work.select("work", "client", *[c for c in ("lead", "category", "grading", "role") if c in work.columns]).distinct().collect()
     stated = lambda c: tuple(sorted({r[c] for r in rows if c in r and r[c]}))
     led: dict[str, tuple[str, ...]] = {}

@@ -6,7 +6,7 @@ import pytest
 
 from tessera.plans import compile as planner
 from tessera.plans import mine, rewrite, route
-from tessera.plans.answer import answer_all, answer_one, known_of
+from tessera.plans.answer import answer_all, answer_one, known_for, known_of
 from tessera.plans.compile import Vocabulary, compile_question
 from tessera.plans.index import ValueIndex
 from tessera.plans.ir import QueryPlan
@@ -281,3 +281,12 @@ def test_one_hundred_thousand_names(spark):
     assert made.plan.filters == (("client", "eq", "Works Unit 4711 North"),), made
     found, counts = index.names(["the works unit 99 people"], [("work", "client")])
     assert "Works Unit 99 North" in found["work", "client"] and len(found["work", "client"]) <= 50 and counts["work", "client"]["99"] == 1
+
+
+def test_candidates_by_index_lead_to_the_same_shapes(known, tables):
+    """What the index finds for the questions is enough: every question goes where it goes with all names known."""
+    asked = [q for q, *_ in SHAPES]
+    some = known_for(ValueIndex.of({k: tables[k] for k in ("work", "credential")}), asked, tables["work"], states=["Kerala", "Goa"], own_names=["Own Works Ltd"])
+    assert some.only_client == {"A Rao": "Water Board, Kerala", "Carl Das": "City Metro Rail"}
+    for q in asked:
+        assert route.route(q, some) == route.route(q, known), q
