@@ -62,7 +62,7 @@ def shaped(name: str, fn: Callable[..., DataFrame], sql: str, *ctes: str, needs:
     """A named shape over its entity views."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(*[bind.work(spark, sf_dir, lines=lines) if n == "work" else bind.ENTITIES[n](spark, sf_dir) for n in needs])
+        return fn(*[bind.work(spark, sf_dir, lines=lines) if n == "work" else bind.work(spark, sf_dir) if n == "portfolio" else bind.ENTITIES[n](spark, sf_dir) for n in needs])
 
     register(name, sql, *ctes)(query)
 
@@ -102,7 +102,7 @@ shaped("role_split", lambda w: shapes.role_split(w, "F"), _per_client(_sum("lowe
 shaped("avg_size", shapes.avg_work_size, _per_client("CAST(round_even(sum(value)::DOUBLE / count(value), 0) AS BIGINT)"), _WORK)
 shaped("mean_median_gap", shapes.mean_median_gap, _per_client("CASE WHEN count(value) >= 2 THEN CAST(round_even(sum(value)::DOUBLE / count(value) - median(value), 0) AS BIGINT) END"), _WORK)
 shaped("hop_aggregate", shapes.hop_aggregate, """SELECT lead, answer FROM (SELECT lead, arg_min(client, work_id) AS client FROM led WHERE lead IS NOT NULL GROUP BY 1)
-JOIN (SELECT client, CAST(sum(value) AS BIGINT) AS answer FROM work GROUP BY 1) USING (client)""", _WORK, _LED, lines=True)
+JOIN (SELECT client, CAST(sum(value) AS BIGINT) AS answer FROM work GROUP BY 1) USING (client)""", _WORK, _LED, needs=("work", "portfolio"), lines=True)
 shaped("outstanding", shapes.outstanding_balance, _per_client("CAST(sum(invoiced) - sum(received) AS BIGINT)", "invoice"), _INVOICE, needs=("invoice",))
 shaped("invoiced", shapes.SHAPES["invoiced_total"], _per_client("CAST(sum(invoiced) AS BIGINT)", "invoice"), _INVOICE, needs=("invoice",))
 shaped("received", shapes.SHAPES["received_total"], _per_client("CAST(sum(received) AS BIGINT)", "invoice"), _INVOICE, needs=("invoice",))
@@ -250,7 +250,7 @@ def priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own-year figures beat the next year's comparative, which only fills gaps."""
     own = bind.work(spark, sf_dir).groupBy("category", "year").agg(F.sum("value").alias("value"))
     both = own.withColumn("p", F.lit(0)).unionByName(own.select("category", (F.col("year") + 1).cast("int").alias("year"), "value", F.lit(1).alias("p")))
-    return store.prioritised(both, ["category", "year"], "p").select("category", "year", "value")
+    return store.prioritised(both, ["category", "year"], "p", ["value"]).select("category", "year", "value")
 
 
 _NAMES = {"a": ("customer", "c_nationkey"), "b": ("supplier", "s_nationkey")}

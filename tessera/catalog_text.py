@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import _CREDENTIAL, _INVOICE, _LED, _WORK, register
 from tessera.functions import norm
-from tessera.operators import algebra, extract, resolve, shapes, store, verify
+from tessera.operators import algebra, extract, hot, resolve, shapes, store, verify
 from tessera.plans import bind, rewrite
 from tessera.plans.answer import answer_all
 from tessera.plans.compile import Vocabulary, compile_question
@@ -559,3 +559,44 @@ def index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = index.hits(asked.select(F.col("o_orderkey").alias("q"), word_list(said).alias("words"))).filter("whole")
     kind = lambda t: F.count_distinct(F.when(F.col("table") == t, F.col("value")))
     return hits.groupBy("q").agg(kind("customer").alias("clients"), kind("nation").alias("states"))
+
+
+# ------------------------------------------------------------------ hot keys
+
+
+@register("median_hot", "SELECT client, CAST(median(value) AS DOUBLE) AS median FROM (SELECT '*' AS client, value FROM work UNION ALL SELECT client, value FROM work) GROUP BY 1", _WORK)
+def median_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of all clients, and of all works as one client, which is never sorted in one task."""
+    work = bind.work(spark, sf_dir).select("client", "value")
+    return hot.median(work.withColumn("client", F.lit("*")).unionByName(work), "client", "value", small=1_000)
+
+
+_EVERY = "SELECT event_id, '*' AS who, value_cents AS v, ts FROM (SELECT event_id, ts, CAST(round(value * 100) AS BIGINT) AS value_cents FROM events)"
+
+
+def _one_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.table(spark, sf_dir, "events").select("event_id", F.lit("*").alias("who"), "ts", F.round(F.col("value") * 100).cast("bigint").alias("v"))
+
+
+@register("running_hot", f"SELECT event_id, CAST(sum(v) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM ({_EVERY})")
+def running_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running sum over all events as one account, block by block."""
+    return hot.running(_one_user(spark, sf_dir), "who", ["ts", "event_id"], F.col("v"), "balance").select("event_id", "balance")
+
+
+@register("previous_hot", f"SELECT event_id, lag(v) OVER (ORDER BY ts, event_id) AS before FROM ({_EVERY})")
+def previous_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value before, over all events as one account."""
+    return hot.previous(_one_user(spark, sf_dir), "who", ["ts", "event_id"], "v", "before").select("event_id", "before")
+
+
+@register("leaders_overall", "SELECT client, total FROM (SELECT client, CAST(sum(value) AS BIGINT) AS total FROM work GROUP BY 1) ORDER BY total DESC, client LIMIT 5", _WORK)
+def leaders_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five clients with the largest total value."""
+    return hot.leaders(bind.work(spark, sf_dir).groupBy("client").agg(F.sum("value").alias("total")), 5, "total", "client")
+
+
+@register("leaders_by_state", "SELECT state, work_id, value FROM work QUALIFY row_number() OVER (PARTITION BY state ORDER BY value DESC, work_id) <= 5", _WORK)
+def leaders_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest works of every state."""
+    return hot.leaders(bind.work(spark, sf_dir).select("state", "work_id", "value"), 5, "value", "work_id", "state")

@@ -74,10 +74,10 @@ def client_total(work: DataFrame) -> DataFrame:
     return work.groupBy("client").agg(F.sum("value").alias("answer"))
 
 
-def hop_aggregate(work: DataFrame) -> DataFrame:
-    """Person, client of their first led work, that client's whole portfolio."""
+def hop_aggregate(work: DataFrame, portfolio: DataFrame | None = None) -> DataFrame:
+    """Person, client of their first led work, that client's whole portfolio; ``portfolio``: the same works without who led them, where that is cheaper."""
     first = work.filter("lead is not null").groupBy("lead").agg(F.min_by("client", "work_id").alias("client"))
-    return first.join(client_total(work), "client").select("lead", "answer")
+    return first.join(client_total(work if portfolio is None else portfolio), "client").select("lead", "answer")
 
 
 def ledger_total(invoice: DataFrame, column: str) -> DataFrame:

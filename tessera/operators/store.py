@@ -24,8 +24,8 @@ def flagged(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame
 
 
 def first_stated(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Per key the first value that isn't null."""
-    return df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))
+    """Per key the first value that isn't null; where the order repeats, the smallest of its values."""
+    return df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(order, value)).alias(value))
 
 
 def singletons(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -45,9 +45,11 @@ def latest_only(df: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(latest), F.col(column) == F.col("__latest")).drop("__latest")  # one row
 
 
-def prioritised(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
-    """Merge by priority: the smallest number wins."""
-    return keep_first(df, keys, [priority])
+def prioritised(df: DataFrame, keys: list[str], priority: str, ties: list[str]) -> DataFrame:
+    """Merge by priority: the smallest number wins, among equal ones the first by ``ties``, which must tell rows of one priority apart."""
+    if not ties:
+        raise ValueError("rows of one priority need an order")
+    return keep_first(df, keys, [priority, *ties])
 
 
 def running(df: DataFrame, key: str, order: list[str], amount: Column, name: str) -> DataFrame:
