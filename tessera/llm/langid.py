@@ -17,7 +17,8 @@ that mixed known languages fit), on a scale where trigrams drawn at random have
 no language and don't count beside others.  ``accepted`` asks for ``LEAST_FIT``.
 
 Defined results: null text or text without a letter is ``und`` with score
-0; languages are those with a labelled row; without any, every row is ``und``; an
+0; languages are those with a labelled row; without any, every row is ``und``; of languages that are
+equally near the first in alphabetical order wins and the row is ambiguous; repeated rows are read once each; an
 empty table gives no rows; other columns don't matter, whatever their names.
 """
 

@@ -12,7 +12,9 @@ per sample, and ``read_samples`` gets them back from the container's chunks.
 
 Defined results: null or empty blobs have the type ``empty``; blobs without a
 valid signature at 0 keep the declared type's ``unknown`` verdict and may still
-carry embedded media.
+carry embedded media; of valid hits that overlap the first one claims its bytes, of equal starts the longer one;
+blobs of any length are scanned whole; repeated rows are stored once each and give equal values; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

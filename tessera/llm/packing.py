@@ -9,7 +9,8 @@ its expanded gap more tightly.  A shard wastes at most its last bin, so the
 number of sequences stays within one per shard of packing all at once.
 
 Defined results: null or empty text is the end id alone; repeated rows are
-packed once each; null ids are carried along; an empty table gives no rows.
+packed once each; null ids are carried along; an empty table gives no rows; pieces
+of equal length are taken in the order of their numbers; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ scores: a histogram of fixed bins, then pool-adjacent-violators.
 
 Defined results: null and empty texts have the statistics 0 and a score like
 any other; labels or ids that are null are no learning rows; of repeated labels
-of an id the larger one counts; without labels every score is 0.5.
+of an id the larger one counts; without labels every score is 0.5; repeated documents are scored once each; texts of any length count whole;
+equal raw scores have equal calibrated ones; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
