@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import _CREDENTIAL, _INVOICE, _LED, _WORK, register
 from tessera.functions import norm
 from tessera.operators import algebra, extract, hot, resolve, shapes, store, verify
-from tessera.plans import bind, rewrite
+from tessera.plans import bind, rewording, rewrite
 from tessera.plans.answer import answer_all
 from tessera.plans.compile import Vocabulary, compile_question
 from tessera.plans.index import ValueIndex, word_list
@@ -538,6 +538,21 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_all(spark, [(name, q, None) for name, q, _ in _ASKED], Known(), vocabulary, tables).select("qid", "answer")
 
 
+_REWORDED = [(name, rewrite) for name, question, _ in _ASKED for rewrite in rewording.rewordings(question)]
+
+
+@register(
+    "answer_reworded",
+    "SELECT r.qid, rewrite, answer FROM (VALUES " + ", ".join(f"('{q}', '{r}')" for q, r in _REWORDED) + ") AS r(qid, rewrite) JOIN (VALUES "
+    + ", ".join(f"('{name}', CAST(({sql}) AS DOUBLE))" for name, _, sql in _ASKED) + ") AS g(qid, answer) USING (qid)",
+    _WORK, _INVOICE, _ASSET,
+)
+def answer_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question above in all its rewordings, as one batch."""
+    tables = {"work": bind.work(spark, sf_dir), "invoice": bind.invoice(spark, sf_dir), "asset": bind.asset(spark, sf_dir)}
+    return rewording.reworded_answers(spark, [(name, q) for name, q, _ in _ASKED], Known(), lambda texts: vocabulary_of(tables, texts), tables).select("qid", "rewrite", "answer")
+
+
 @register("index_whole", "SELECT 'customer' AS \"table\", 'c_name' AS \"column\", lower(replace(c_name, '#', ' ')) AS run, c_name AS value FROM customer UNION ALL SELECT 'nation', 'n_name', lower(replace(n_name, '_', ' ')), n_name FROM nation")
 def index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value index of all names of customers and nations."""

@@ -140,27 +140,29 @@ def _probed(entries: list[_Entry], source: DataFrame) -> list[_Entry]:
     return out
 
 
-def _stacked(row: DataFrame, names: list[str]) -> DataFrame:
-    """(qid, answer) from one row with a column an answer."""
-    pairs = F.array(*[F.struct(F.lit(q).alias("qid"), F.col(f"a{i}").alias("answer")) for i, q in enumerate(names)])
-    return row.select(F.explode(pairs).alias("x")).select("x.qid", "x.answer")
+def _stacked(row: DataFrame, names: list[list[str]]) -> DataFrame:
+    """(qid, answer) from one row with a column an answer, for all questions that ask for it."""
+    pairs = F.array(*[F.struct(F.lit(qs).alias("qids"), F.col(f"a{i}").alias("answer")) for i, qs in enumerate(names)])
+    return row.select(F.explode(pairs).alias("x")).select(F.explode("x.qids").alias("qid"), "x.answer")
 
 
 def _answers(entries: list[_Entry], source: DataFrame) -> list[DataFrame]:
-    """(qid, answer) of the plans of one entity: one scan for ``PLANS_AT_ONCE`` of them, and one for each column that is grouped by."""
-    out = []
-    plain = [x for x in entries if x.plan.op != "groupby"]
+    """(qid, answer) of the plans of one entity: equal plans once, one scan for ``PLANS_AT_ONCE`` of them, and one for each column that is grouped by."""
+    asked: dict[QueryPlan, list[str]] = {}
+    for x in entries:
+        asked.setdefault(replace(x.plan, filters=tuple(sorted(set(x.plan.filters), key=str))), []).append(x.qid)
+    out, plain = [], [p for p in asked if p.op != "groupby"]
     for at in range(0, len(plain), PLANS_AT_ONCE):
         some = plain[at : at + PLANS_AT_ONCE]
-        wanted = [algebra.reads(x.plan) for x in some]
+        wanted = [algebra.reads(p) for p in some]
         rows = source if any(w is None for w in wanted) else source.filter(fold(lambda a, b: a | b, wanted))
-        out.append(_stacked(rows.agg(*[algebra.answer(x.plan).cast("double").alias(f"a{i}") for i, x in enumerate(some)]), [x.qid for x in some]))
-    for by in sorted({x.plan.by for x in entries if x.plan.op == "groupby"}):
-        some = [x for x in entries if x.plan.op == "groupby" and x.plan.by == by]
-        seen = lambda x: F.count_if(F.coalesce(algebra.matches(x.plan.filters), F.lit(False)))
-        inner = source.filter(F.col(by).isNotNull()).groupBy(by).agg(*[F.when(seen(x) > 0, algebra.reduction(x.plan.fn, x.plan.field, algebra.matches(x.plan.filters))).alias(f"g{i}") for i, x in enumerate(some)])
-        best = [(F.max if x.plan.dir == "max" else F.min)(f"g{i}").cast("double").alias(f"a{i}") for i, x in enumerate(some)]
-        out.append(_stacked(inner.agg(*best), [x.qid for x in some]))
+        out.append(_stacked(rows.agg(*[algebra.answer(p).cast("double").alias(f"a{i}") for i, p in enumerate(some)]), [asked[p] for p in some]))
+    for by in sorted({p.by for p in asked if p.op == "groupby"}):
+        some = [p for p in asked if p.op == "groupby" and p.by == by]
+        seen = lambda p: F.count_if(F.coalesce(algebra.matches(p.filters), F.lit(False)))
+        inner = source.filter(F.col(by).isNotNull()).groupBy(by).agg(*[F.when(seen(p) > 0, algebra.reduction(p.fn, p.field, algebra.matches(p.filters))).alias(f"g{i}") for i, p in enumerate(some)])
+        best = [(F.max if p.dir == "max" else F.min)(f"g{i}").cast("double").alias(f"a{i}") for i, p in enumerate(some)]
+        out.append(_stacked(inner.agg(*best), [asked[p] for p in some]))
     return out
 
 

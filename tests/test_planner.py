@@ -290,3 +290,28 @@ def test_candidates_by_index_lead_to_the_same_shapes(known, tables):
     assert some.only_client == {"A Rao": "Water Board, Kerala", "Carl Das": "City Metro Rail"}
     for q in asked:
         assert route.route(q, some) == route.route(q, known), q
+
+
+def test_rewordings_are_counted(spark, known, tables):
+    """A rate for every rewrite: answers stay, or the question is refused; none comes out wrong."""
+    from tessera.plans import rewording
+
+    some = {k: v for k, v in tables.items() if k != "person"}
+    questions = [(f"q{i}", q) for i, (q, *_) in enumerate(UNDERSTOOD[:28:3])]
+    gold = spark.createDataFrame([(f"q{i}", float(a)) for i, (_, a) in enumerate(UNDERSTOOD[:28:3])], "qid string, answer double")
+    index = ValueIndex.of(some)
+    answers = rewording.reworded_answers(spark, questions, known, lambda texts: Vocabulary.of_tables(some, index, texts), some)
+    rates = {r["rewrite"]: r for r in rewording.stress(answers, gold).collect()}
+    assert len(rates) > 25 and sum(r["n"] for r in rates.values()) > 200
+    assert all(r["wrong"] == 0 and r["same"] + r["refused"] == r["n"] for r in rates.values()), {k: r for k, r in rates.items() if r["wrong"]}
+    assert sum(r["same"] for r in rates.values()) >= 0.95 * sum(r["n"] for r in rates.values())
+
+
+def test_rewrites_change_what_they_should():
+    from tessera.plans import rewording
+
+    made = rewording.rewordings("What is the average value of works outside Goa that cost more than INR 2 Cr?")
+    assert made["synonyms.mean"].startswith("What is the mean value") and "other than in Goa" in made["synonyms.aside"] and "above INR 2 Cr" in made["synonyms.bounds"]
+    assert "Rs. 200 lakh" in made["order_and_figures.in_lakh"] and "INR 2,00,00,000" in made["order_and_figures.in_digits"]
+    assert rewording.rewordings("How many works in Goa?")["order_and_figures.fronted"] == "In Goa, how many works?"
+    assert rewording._grouped(1234567) == "12,34,567" and rewording._grouped(999) == "999" and made == rewording.rewordings("What is the average value of works outside Goa that cost more than INR 2 Cr?")
