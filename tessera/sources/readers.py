@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names under which question files carry a question's id, text, right answer and kind.
 QID = ("qid", "id", "question_id", "qID")
 TEXT = ("question", "text", "prompt", "query")
 GOLD = ("answer", "answer_gold", "gold", "expected")
@@ -88,15 +89,16 @@ def keyed_by_file(df: DataFrame, pattern: str, name: str) -> DataFrame:
 
 
 def decode(raw: bytes) -> str:
-    for mark, code in ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if raw.startswith(mark):
-            return raw.decode(code)
-    for code in ("utf-8-sig", "utf-16", "latin-1"):
-        try:
-            return raw.decode(code)
-        except UnicodeError:
-            continue
-    raise ValueError("unreadable")
+    """Text of a file by its mark, else as strict UTF-8; zero bytes at every other place are UTF-16 without a mark, anything else is Latin-1."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return raw.decode("utf-16")
+    even, odd = raw[::2].count(0), raw[1::2].count(0)
+    if 4 * max(even, odd) > len(raw) and len(raw) % 2 == 0:
+        return raw.decode("utf-16-be" if even > odd else "utf-16-le")
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
 def _first(row: dict[str, Any], names: tuple[str, ...]) -> Any:
