@@ -87,7 +87,8 @@ scalar("norm_mask_refs", "{name}: BOARD/{k}/003 of 28/08/2022", norm.mask_refs,
 scalar("norm_mask_epoch", "{name} days after {day} in 2020", norm.mask_epoch, "name || ' ' || repeat(' ', 21) || ' in 2020'")
 scalar("norm_after_label", ["x\nEmployer:\n  {name} \ny", "Employer {name}"], lambda t: norm.after_label(t, "Employer"), _turns("name", "NULL"))
 scalar("norm_clean_work", ["{name} (old)", "{name} (Pkg-{k})"], norm.without_trailing_note, _turns("name", "name || ' (Pkg-' || k || ')'"))
-scalar("norm_credential", ["pmp", "SIX SIGMA  black belt", "CSSBB", "chartered engineer", " "], norm.credential_name, _turns("'PMP'", "'Six Sigma Black Belt'", "'Six Sigma Black Belt'", "'Chartered Engineer'", "NULL"))
+scalar("norm_credential", ["pmp", "SIX SIGMA  black belt", "CSSBB", "{seg}  {seg}", " ", "{nation}"], norm.credential_name,
+       _turns("'PMP'", "'Six Sigma Black Belt'", "'Six Sigma Black Belt'", "upper(seg[1]) || lower(seg[2:]) || ' ' || upper(seg[1]) || lower(seg[2:])", "NULL", "upper(nation[1]) || lower(nation[2:])"))
 scalar("norm_section", ["head <A>{name}<B> tail <B>", "{name}", "<A>{nation}"], lambda t: norm.section(t, "<A>", "<B>"), _turns("name", "NULL", "nation"))
 scalar("norm_state", "Canal – {nation} Pkg-{k}", norm.state_of, "nation")
 scalar("norm_folded", ["UP PWD & {name}", "pulling up {nation}", "the up irrigation file"], lambda t: norm.folded(t, {"pwd": "public works department"}, capital={"UP": "uttar pradesh"}, beside=["irrigation"]),
@@ -313,12 +314,19 @@ def person_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("client").alias("name"), F.size("works").cast("bigint").alias("works"), F.get("works", F.lit(0))["work_id"].cast("bigint").alias("first"))
 
 
-@register("people_of_two_sources", "SELECT name, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS credentials, CASE WHEN k % 3 <> 0 THEN seg END AS designation, CASE WHEN k % 3 <> 0 THEN 'E' || k WHEN k % 2 = 0 THEN 'H' || k END AS employee_id FROM c WHERE k % 2 = 0 OR k % 3 <> 0", _C)
+@register(
+    "people_of_two_sources",
+    "SELECT name, CASE WHEN has THEN 1 ELSE 0 END::BIGINT AS credentials, CASE WHEN seg <> 'BUILDING' THEN seg END AS designation, CASE WHEN seg <> 'BUILDING' THEN 'E' || k ELSE 'H' || k END AS employee_id "
+    "FROM (SELECT *, k IN (SELECT o_custkey FROM orders) AS has FROM c) WHERE has OR seg <> 'BUILDING'",
+    _C,
+)
 def people_of_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders hold a credential, those outside one segment have a CV: some have both, some one."""
     rows = _customers(spark, sf_dir)
     key = F.col("k").cast("string")
-    held = rows.filter("k % 2 = 0").select("name", F.lit("PMP").alias("credential"), key.alias("credential_id"), F.col("day").alias("issued"), F.concat(F.lit("D"), key).alias("doc"), F.concat(F.lit("H"), key).alias("employee_id"))
-    cvs = rows.filter("k % 3 <> 0").select("name", F.concat(F.lit("V"), key).alias("doc"), F.concat(F.lit("E"), key).alias("employee_id"), F.col("seg").alias("designation"))
+    ordered = bind.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("k")).distinct()
+    held = rows.join(ordered, "k", "left_semi").select("name", F.lit("PMP").alias("credential"), key.alias("credential_id"), F.col("day").alias("issued"), F.concat(F.lit("D"), key).alias("doc"), F.concat(F.lit("H"), key).alias("employee_id"))
+    cvs = rows.filter("seg <> 'BUILDING'").select("name", F.concat(F.lit("V"), key).alias("doc"), F.concat(F.lit("E"), key).alias("employee_id"), F.col("seg").alias("designation"))
     return store.people(held, cvs).select("name", F.size("credentials").cast("bigint").alias("credentials"), "designation", "employee_id")
 
 
@@ -396,10 +404,12 @@ def resolve_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(said.unionByName(spark.range(1).select(F.lit("our water board").alias("mention"))), names.select("name")).select("mention", "name", "ambiguous")
 
 
-@register("contiguous_run", "SELECT k, CAST(CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS run FROM c", _C)
+@register("contiguous_run", "SELECT k, CAST(CASE WHEN k % 3 = 0 THEN 2 WHEN k % 3 = 1 THEN 4 ELSE 2 END AS INTEGER) AS run FROM c", _C)
 def contiguous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("k") % 2 == 0, "the north water board of it").otherwise("a north one, the water board")
-    return _customers(spark, sf_dir).select("k", resolve.contiguous_run(text, F.lit("North Water Board")).alias("run"))
+    """The customer's name and nation, said alone, together, or the other way round."""
+    said = F.when(F.col("k") % 3 == 0, F.concat(F.lit("the "), F.lower("name"), F.lit(" of it"))).when(F.col("k") % 3 == 1, F.concat_ws(" ", F.lit("our"), "name", "nation", F.lit("office")))
+    said = said.otherwise(F.concat_ws(" ", F.lit("in"), "nation", F.lit("the"), "name"))
+    return _customers(spark, sf_dir).select("k", resolve.contiguous_run(said, F.concat_ws(" ", "name", "nation")).alias("run"))
 
 
 # ------------------------------------------------------------------ questions

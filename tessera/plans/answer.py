@@ -171,7 +171,7 @@ def _shape_answers(entries: list[_Entry], tables: dict[str, DataFrame]) -> list[
     groups: dict[str, list[_Entry]] = {}
     for x in entries:
         alone = x.shape.person is not None or x.shape.client is None
-        groups.setdefault(f"{x.qid}" if alone else f"{x.shape.shape} {sorted(x.shape.params.items(), key=str)}", []).append(x)
+        groups.setdefault(f"{x.qid}" if alone else f"{x.shape.shape} {sorted(x.shape.params.items(), key=str)} {x.shape.scope}", []).append(x)
     out = []
     for some in groups.values():
         first = some[0].shape

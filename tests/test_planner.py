@@ -118,6 +118,15 @@ UNDERSTOOD = [  # question, answer
     ("How many works did A Rao lead?", 2), ("What is the largest work that Bela Sen led?", 300_000_000),
     ("How many works have no grading?", 1), ("How many works are without a grading?", 1), ("Sum of invoices that are not paid", 600), ("How many invoices of City Metro Rail were there in 2021?", 1), ("I believe it was INR 5 Cr. How many works are in Goa?", 2),
 ]
+NARROWED = [  # question, shape, scope, answer
+    ("Gap between the two largest works of Water Board Kerala completed after 2018", "rank_value", (("year", "gte", 2019),), 250_000_000),
+    ("Total value Water Board Kerala gave us as Prime in 2018", "role_split", (("year", "eq", 2018),), 100_000_000),
+    ("For Water Board Kerala, what separates Irrigation from Dams in value before 2020?", "category_delta", (("year", "lte", 2019),), 200_000_000),
+    ("How far is the mean work value of Water Board Kerala from the median for Irrigation?", "mean_median_gap", (("category", "eq", "Irrigation"),), 0),
+    ("What percentage of the Water Board Kerala works of Irrigation and Dams has a reference letter?", "referenced_share", None, 33.33),
+    ("How much have we billed Water Board Kerala in total in 2021?", "invoiced_total", (("year", "eq", 2021),), 600),
+    ("What does Water Board Kerala still owe from 2021 onwards?", "outstanding_balance", (("year", "gte", 2021),), 500),
+]
 NOT_UNDERSTOOD = [  # question, part of the reason
     ("What is the average value of works of Acme Board?", "acme"), ("Sum of invoices excluding disputed ones", "disputed"), ("How many works except?", "'except'"), ("How many works have no lift?", "lift"), ("How many works have a reference letter?", "works"), ("How many purple works in Goa?", "purple"),
     ("Total value for the Water Board", "ambiguous client"), ("How many bonds of Water Board Kerala?", "knows no client"), ("How many works of INR 5 Cr?", "what about"), ("How many works in Goa were not completed in June 2019?", "not"),
@@ -132,6 +141,18 @@ def test_every_word_counts(question, want, known, vocabulary, tables):
     assert got.answer == want, got
 
 
+@pytest.mark.parametrize(("question", "shape", "scope", "want"), NARROWED)
+def test_shapes_over_part_of_the_works(question, shape, scope, want, known, vocabulary, tables):
+    plan, why = route.route(question, known)
+    assert plan is not None and plan.shape == shape and (scope is None or plan.scope == scope), (plan, why)
+    assert answer_one("q", question, None, known, vocabulary, tables).answer == want
+
+
+def test_narrowed_shapes_in_a_batch(spark, known, vocabulary, tables):
+    rows = answer_all(spark, [(str(i), q, None) for i, (q, *_) in enumerate(NARROWED)], known, vocabulary, tables).collect()
+    assert {r["qid"]: r["answer"] for r in rows} == {str(i): float(x[3]) for i, x in enumerate(NARROWED)}
+
+
 @pytest.mark.parametrize(("question", "reason"), NOT_UNDERSTOOD)
 def test_what_is_not_understood_is_refused(question, reason, known, vocabulary, tables):
     got = answer_one("q", question, None, known, vocabulary, tables)
