@@ -19,7 +19,8 @@ whose tail has two plain edits need the others, and then more is known:
 Keys are 64-bit hashes of (kind, length, place, variant); a collision only adds a
 candidate.  A plain distance over 4 drops a candidate inside the join, whole
 names are verified on distinct pairs.  Copies of a name are one name until the
-figures are added up, so a name that a third of the rows bears travels once.
+figures are added up, so a name that a third of the rows bears travels once.  A key that too many
+names share is split by the keys of what it leaves open of them (see ``near_names``).
 
 Results for odd input: null and empty names take no part; rows count as often as
 they stand, on both sides; a null id counts in ``n_clients`` and in no minimum
@@ -31,7 +32,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CRC_SQL, id_crc, map_rows
+from .common import CRC_SQL, id_crc, map_rows, written
 
 #: Distances up to this one qualify; pieces and cases above are made for it.
 FARTHEST = 2
 #: What the characters beside a key say where the key doesn't leave one out: always different.
 ASKING, KNOWN = -1, -2
+#: Pairs that meet under one key before it is split.
+HOT_PAIRS = 1 << 22
 #: Cells that one verified block holds at most.
 BLOCK_CELLS = 1_000_000
 
@@ -68,74 +71,100 @@ def _bag(text: str) -> str:
     return "".join(sorted(text))
 
 
-def asking_keys(name: str) -> Iterator[tuple[int, int]]:
-    """(key, character left out) of a name that is cut into pieces."""
+Keys = Iterator[tuple[int, int, int, int]]
+
+
+def asking_keys(name: str) -> Keys:
+    """(key, character left out, begin and end of what the key leaves open) of a name that is cut into pieces."""
     n = len(name)
     head, tail = pieces(n)
-    p, m, s = name[:head], name[head : n - tail], name[n - tail :]
-    yield _key("tail", tail, s), ASKING
+    p, m, s, cut = name[:head], name[head : n - tail], name[n - tail :], n - tail
+    yield _key("tail", tail, s), ASKING, 0, cut
     for k, c in enumerate(s):
-        yield _key("tail for", tail, k, s[:k] + s[k + 1 :]), ord(c)
+        yield _key("tail for", tail, k, s[:k] + s[k + 1 :]), ord(c), 0, cut
     for x in _less(s):
-        yield _key("tail less", tail, x), ASKING
-    yield _key("tail more", tail, s), ASKING
-    start = max(n - tail - 1, 0)
-    yield _key("start", start, name[:start]), ASKING
+        yield _key("tail less", tail, x), ASKING, 0, cut
+    yield _key("tail more", tail, s), ASKING, 0, cut
+    start = max(cut - 1, 0)
+    yield _key("start", start, name[:start]), ASKING, start, n
     bag = _bag(s)
-    yield _key("head", n, p, bag), ASKING
+    yield _key("head", n, p, bag), ASKING, head, cut
     for k, c in enumerate(p):
-        yield _key("head for", n, k, p[:k] + p[k + 1 :], bag), ord(c)
+        yield _key("head for", n, k, p[:k] + p[k + 1 :], bag), ord(c), head, cut
     for x in _less(p):
-        yield _key("head less", n, x, bag), ASKING
-    yield _key("head more", n, p, bag), ASKING
-    yield _key("middle", n, m, _bag(p), bag), ASKING
+        yield _key("head less", n, x, bag), ASKING, head, cut
+    yield _key("head more", n, p, bag), ASKING, head, cut
+    yield _key("middle", n, m, _bag(p), bag), ASKING, 0, head
 
 
-def known_keys(name: str) -> Iterator[tuple[int, int]]:
-    """(key, character left out) of the substrings that pieces of another name can be aligned with."""
+def known_keys(name: str) -> Keys:
+    """The same of the substrings that pieces of another name can be aligned with."""
     n = len(name)
     lengths = range(max(1, n - FARTHEST), n + FARTHEST + 1)  # of the other name
     for tail in {pieces(k)[1] for k in lengths}:
         if tail <= n:
             s = name[n - tail :]
-            yield _key("tail", tail, s), KNOWN
+            yield _key("tail", tail, s), KNOWN, 0, n - tail
             for k, c in enumerate(s):
-                yield _key("tail for", tail, k, s[:k] + s[k + 1 :]), ord(c)
+                yield _key("tail for", tail, k, s[:k] + s[k + 1 :]), ord(c), 0, n - tail
         if tail - 1 <= n:
-            yield _key("tail less", tail, name[n - tail + 1 :]), KNOWN
+            yield _key("tail less", tail, name[n - tail + 1 :]), KNOWN, 0, n - tail + 1
         if tail + 1 <= n:
             for x in _less(name[n - tail - 1 :]):
-                yield _key("tail more", tail, x), KNOWN
+                yield _key("tail more", tail, x), KNOWN, 0, n - tail - 1
     for start in {max(k - pieces(k)[1] - 1, 0) for k in lengths}:
         if start <= n:
-            yield _key("start", start, name[:start]), KNOWN
+            yield _key("start", start, name[:start]), KNOWN, start, n
     for k in range(max(1, n - 1), n + 2):
         head, tail = pieces(k)
         if tail > n or head > n:
             continue
-        bag = _bag(name[n - tail :])
-        yield _key("head", k, name[:head], bag), KNOWN
+        bag, cut = _bag(name[n - tail :]), n - tail
+        yield _key("head", k, name[:head], bag), KNOWN, head, cut
         if k == n:
             p = name[:head]
             for at, c in enumerate(p):
-                yield _key("head for", k, at, p[:at] + p[at + 1 :], bag), ord(c)
-            yield _key("middle", k, name[head : n - tail], _bag(p), bag), KNOWN
+                yield _key("head for", k, at, p[:at] + p[at + 1 :], bag), ord(c), head, cut
+            yield _key("middle", k, name[head:cut], _bag(p), bag), KNOWN, 0, head
         elif k == n + 1 and head:
-            yield _key("head less", k, name[: head - 1], bag), KNOWN
+            yield _key("head less", k, name[: head - 1], bag), KNOWN, head - 1, cut
         elif k == n - 1:
             for x in _less(name[: head + 1]):
-                yield _key("head more", k, x, bag), KNOWN
+                yield _key("head more", k, x, bag), KNOWN, head + 1, cut
+
+
+def inner_keys(name: str, key: int, keys: Callable[[str], Keys], own: int) -> set[tuple[int, int]]:
+    """Keys of what one key leaves open of a name: those parts are within the same distance, so they share one as well."""
+    out = set()
+    for found, _, begin, end in keys(name):
+        if found == key:
+            rest = name[begin:end]
+            out |= {(_key(key, inner), left) for inner, left, _, _ in keys(rest)} if rest else set()
+            if len(rest) <= FARTHEST:
+                out.add((_key(key, "short"), own))
+    return out
 
 
-def _keyed(names: DataFrame, column: str, keys) -> DataFrame:
+def _keyed(names: DataFrame, column: str, keys: Callable[[str], Keys]) -> DataFrame:
     def rows(texts: list[str]) -> Iterator[tuple[int, int, str]]:
         for text in texts:
-            for key, left in keys(text):
+            for key, left, _, _ in keys(text):
                 yield key, left, text
 
     return map_rows(names, [column], rows, f"key long, left_out int, {column} string", ["key", "left_out", column], [pa.int64(), pa.int32(), pa.string()])
 
 
+def _split(rows: DataFrame, column: str, keys: Callable[[str], Keys], own: int) -> DataFrame:
+    """Rows of hot keys under the keys of what these leave open."""
+
+    def inner(texts: list[str], hot: list[int]) -> Iterator[tuple[int, int, str]]:
+        for text, key in zip(texts, hot, strict=True):
+            for more, left in inner_keys(text, key, keys, own):
+                yield more, left, text
+
+    return map_rows(rows.select(column, "key").distinct(), [column, "key"], inner, f"key long, left_out int, {column} string", ["key", "left_out", column], [pa.int64(), pa.int32(), pa.string()])
+
+
 def _distances(left: list[str], right: list[str]) -> np.ndarray:
     """Optimal-string-alignment distances of pairs in one block; beyond ``FARTHEST`` any larger number.
 
@@ -186,11 +215,25 @@ def verified(pairs: DataFrame) -> DataFrame:
     return map_rows(pairs, ["asking", "known"], rows, "asking string, known string, distance int", ["asking", "known", "distance"], [pa.string(), pa.string(), pa.int32()])
 
 
-def near_names(asking: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs (asking, known, distance) of two columns of different, non-empty names."""
-    a, k = _keyed(asking, "asking", asking_keys), _keyed(known, "known", known_keys)
+def _met(a: DataFrame, k: DataFrame) -> DataFrame:
     near = (a["key"] == k["key"]) & (a["left_out"] != k["left_out"]) & (F.levenshtein("asking", "known", 2 * FARTHEST) >= 0)
-    return verified(a.join(k.hint("merge"), near).select("asking", "known").distinct())
+    return a.join(k.hint("merge"), near).select("asking", "known")
+
+
+def near_names(asking: DataFrame, known: DataFrame) -> DataFrame:
+    """All pairs (asking, known, distance) of two columns of different, non-empty names.
+
+    A key under which more than ``HOT_PAIRS`` pairs meet (names that end in the same company form) is split: its names meet under
+    keys of what it leaves open of them.  Which keys are hot is counted by key, and only if there are any is anything split.
+    """
+    a, k = written(_keyed(asking, "asking", asking_keys), "asking-keys"), written(_keyed(known, "known", known_keys), "known-keys")
+    counts = a.groupBy("key").agg(F.count("*").alias("askers")).join(k.groupBy("key").agg(F.count("*").alias("holders")).hint("merge"), "key")
+    hot = written(counts.filter(F.col("askers") * F.col("holders") > HOT_PAIRS).select("key"), "hot-keys")
+    if hot.isEmpty():
+        return verified(_met(a, k).distinct())
+    only = lambda df, how: df.join(hot.hint("merge"), "key", how)
+    split = _met(_split(only(a, "left_semi"), "asking", asking_keys, ASKING), _split(only(k, "left_semi"), "known", known_keys, KNOWN))
+    return verified(_met(only(a, "left_anti"), only(k, "left_anti")).unionByName(split).distinct())
 
 
 def misspelt(vendor_id: str, name: str) -> Column:

@@ -46,11 +46,11 @@ def test_all_pairs(seed, alphabet, longest):
     keys = {x: dict(enumerate(name_join.known_keys(x))).values() for x in names}
     by_key = {}
     for x, pairs in keys.items():
-        for key, left in pairs:
+        for key, left, *_ in pairs:
             by_key.setdefault(key, []).append((left, x))
     missed = wrong = true = 0
     for a in names:
-        met = {x for key, left in name_join.asking_keys(a) for other, x in by_key.get(key, ()) if other != left}
+        met = {x for key, left, *_ in name_join.asking_keys(a) for other, x in by_key.get(key, ()) if other != left}
         near = names
         found = name_join._distances([a] * len(near), near).tolist()
         for b, distance in zip(near, found, strict=True):
@@ -88,6 +88,19 @@ def test_figures_per_vendor(spark):
     assert len(got) > 20
 
 
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    """Names with one ending for all: every key is split, and the pairs are the same."""
+    rng = random.Random(9)
+    base = [f"{''.join(rng.choice('abcd') for _ in range(rng.randint(0, 9)))} & Co Limited"[-22:] for _ in range(25)] + ["ab", "a", "Limited"]
+    names = sorted({edited(rng, rng.choice(base), "abL ") for _ in range(220)} - {""})
+    asking, known = (spark.createDataFrame([(n,) for n in some], f"{c} string") for some, c in ((names[::2], "asking"), (names, "known")))
+    want = {(a, b, osa(a, b)) for a in names[::2] for b in names if osa(a, b) <= 2}
+    for limit in (1 << 22, 400, 0):
+        monkeypatch.setattr(name_join, "HOT_PAIRS", limit)
+        assert {tuple(r) for r in name_join.near_names(asking, known).collect()} == want
+    assert len(want) > 300
+
+
 def test_empty_tables_and_no_growing_broadcast(spark):
     c = spark.createDataFrame([(1, "Ann Lee")], "client_id long, name string")
     v = spark.createDataFrame([], "vendor_id long, name string")
