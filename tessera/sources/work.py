@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -23,3 +25,9 @@ def settled(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+@atexit.register
+def _clear() -> None:
+    for root in _LOCAL:
+        shutil.rmtree(root, ignore_errors=True)
