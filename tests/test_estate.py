@@ -145,3 +145,14 @@ def test_templates(spark, template, text, want):
 
     row = forms.paged(spark.createDataFrame([(text,), (None,)], "text string")).select(forms.says(template)(forms.PAGE)).collect()
     assert [r[0] for r in row] == [want, None]
+
+
+def test_printed_texts_are_read_on_all_cores(spark):
+    """A small file of customers is one split; what is printed from it and read back is not one task."""
+    from pyspark.sql import functions as F
+
+    from tessera import catalog_text
+
+    dealt = catalog_text._customers(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
