@@ -40,7 +40,8 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
     which the rest weighs less than RECALL, so that every name that reaches it is a
     candidate.  A token of many names is dealt out over salted keys.  A mention that
     reaches no name so, but whose words all stand in one name and no other, is that name;
-    where they stand in several it is ambiguous.  Names with their tokens are written once,
+    where they stand in several it is ambiguous.  Words under which no name is keyed are asked nowhere, however
+    many names hold them.  Names with their tokens are written once,
     and so are the mentions with theirs.
     """
     said = settled(mentions.select(F.trim(mention).alias("m")).filter(F.col("m").isNotNull()).distinct().withColumn("ts", F.array_distinct(tokens(F.col("m")))))
@@ -49,11 +50,8 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
     spelt = held.select(F.lower("n").alias("k"), "n").distinct().groupBy("k").agg(F.min("n").alias("n"), F.count("*").alias("c"))
     exact = said.join(spelt, F.lower("m") == F.col("k")).select("m", F.when(F.col("c") == 1, F.col("n")).alias("n"), F.lit(1.0).alias("confidence"), (F.col("c") > 1).alias("ambiguous"))
     rest = said.join(exact.select("m"), "m", "left_anti")
-    salts = F.ceil(F.col("df") / SALTED).cast("int")
-    keyed = held.filter(F.col("left") >= RECALL * F.col("full") - 1e-9).select("n", "t", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt"))
-    df = held.select("t", "df").distinct()
-    asked = rest.select("m", F.explode("ts").alias("t")).join(df, "t").select("m", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    pairs = asked.join(keyed, ["t", "salt"]).select("m", "n").distinct()
+    keyed = held.filter(F.col("left") >= RECALL * F.col("full") - 1e-9).select("n", "t")
+    pairs = _met(rest.select("m", F.explode("ts").alias("t")), keyed).select("m", "n").distinct()
     scored = pairs.join(rest, "m").join(held, "n").filter(F.array_contains("ts", F.col("t")))
     scored = scored.groupBy("m", "n").agg(F.round(F.sum(1 / F.col("df")), 9).alias("got"), F.first("full").alias("full"), (F.count("*") == F.first("size")).alias("whole"))
     good = scored.filter(F.col("got") / F.col("full") >= RECALL - 1e-9)
@@ -66,15 +64,22 @@ def resolve(mentions: DataFrame, names: DataFrame, *, mention: str = "mention",
     return said.join(found, "m", "left").select(F.col("m").alias(mention), F.col("n").alias(name), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
+def _met(asked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``asked`` (m, t) with the names of ``keyed`` (n, t) under the same word; a word under which many stand is dealt out over salted keys."""
+    many = keyed.groupBy("t").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    dealt = keyed.join(many, "t").withColumn("salt", F.pmod(F.xxhash64("n"), F.col("salts")).cast("int")).drop("salts")
+    return asked.join(many, "t").select("m", "t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(dealt, ["t", "salt"])
+
+
 def _contained(said: DataFrame, held: DataFrame) -> DataFrame:
     """(m, n, confidence, ambiguous) of mentions all of whose words, but for small ones, stand in names."""
     small = F.array(*[F.lit(w) for w in SMALL])
     heard = said.select("m", F.array_except("ts", small).alias("ts")).filter(F.size("ts") > 0)
-    words = heard.select("m", F.size("ts").alias("want"), F.explode("ts").alias("t"))
-    salts = F.ceil(F.col("df") / SALTED).cast("int")
-    asked = words.join(held.select("t", "df").distinct(), "t").select("m", "want", "t", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = held.select("n", "t", "size", F.pmod(F.xxhash64("n"), salts).cast("int").alias("salt"))
-    whole = asked.join(dealt, ["t", "salt"]).groupBy("m", "n").agg(F.count("*").alias("hits"), F.first("want").alias("want"), F.first("size").alias("size")).filter(F.col("hits") == F.col("want"))
+    words = heard.select("m", F.size("ts").alias("want"), F.explode("ts").alias("t")).join(held.select("t", "df").distinct(), "t")
+    rarest = words.groupBy("m").agg(F.min_by("t", F.struct("df", "t")).alias("t"), F.count("*").alias("known"), F.first("want").alias("want")).filter(F.col("known") == F.col("want"))
+    found = _met(rarest.select("m", "t"), held.select("n", "t", "size"))
+    of_name = held.groupBy("n").agg(F.collect_set("t").alias("has"))  # as many as a name has words
+    whole = found.join(heard, "m").join(of_name, "n").filter(F.size(F.array_except("ts", "has")) == 0).withColumn("want", F.size("ts"))
     per = whole.groupBy("m").agg(F.min("n").alias("n"), F.max("n").alias("last"), F.max(F.col("want") / F.col("size")).alias("share"))
     one = F.col("n") == F.col("last")
     return per.select("m", F.when(one, F.col("n")).alias("n"), F.when(one, F.col("share")).otherwise(0.0).alias("confidence"), (~one).alias("ambiguous"))

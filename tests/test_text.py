@@ -285,3 +285,35 @@ def test_sessions_end_at_gaps(spark):
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts string")
     got = {(r["user_id"], str(r["session_start"])): r["n"] for r in balances.sessions(events).collect()}
     assert got == {(7, "2020-01-01 10:00:00"): 2, (7, "2020-01-01 11:00:00"): 1, (8, "2020-01-01 10:00:00"): 1}
+
+
+def test_a_word_of_all_names_is_asked_nowhere(spark):
+    """Every name holds one word and every mention says it: what is asked grows with the mentions, not with names times mentions."""
+    size = 20_000
+    names = spark.range(size).select(F.format_string("Customer#%09d", "id").alias("name"))
+    said = names.select(F.concat(F.lit("the "), F.lower("name"), F.lit(" people")).alias("mention"))
+    asked, met = [], resolve._met
+    try:
+        resolve._met = lambda a, k: asked.append(met(a, k)) or asked[-1]
+        found = resolve.resolve(said, names)
+    finally:
+        resolve._met = met
+    assert asked[0].count() == size
+    assert found.filter(F.col("mention") == F.concat(F.lit("the "), F.lower("name"), F.lit(" people"))).count() == size
+    assert "customer" not in {r["t"] for r in asked[0].select("t").distinct().limit(size).collect()}
+
+
+def test_contained_mentions_are_asked_under_their_rarest_word(spark):
+    """Said words that stand in one name alone, in several, and beside a word that no name holds."""
+    names = spark.createDataFrame([(f"Water Board Unit{k} of Region{k % 3} with many more words each{k} other{k}",) for k in range(300)], "name string")
+    said = spark.createDataFrame([("our water board unit7",), ("the water board",), ("water board unit7 nowhere",), ("water unit7 region2",), ("water unit7 region1",)], "mention string")
+    got = {r["mention"]: (r["name"], r["ambiguous"]) for r in resolve.resolve(said, names).collect()}
+    seven = "Water Board Unit7 of Region1 with many more words each7 other7"
+    assert got["our water board unit7"] == (seven, False) and got["the water board"] == (None, True) and got["water unit7 region1"] == (seven, False)
+    asked, met = [], resolve._met
+    try:
+        resolve._met = lambda a, k: asked.append(met(a, k)) or asked[-1]
+        resolve.resolve(spark.createDataFrame([("water board each7",)], "mention string"), names).collect()
+    finally:
+        resolve._met = met
+    assert asked[-1].count() <= 1
