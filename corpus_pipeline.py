@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language known from the corpus; mixed ones are in the nearest."""
+    """Documents that the output codes of the corpus' languages decode to one of them; mixed ones, far from every codeword, by their trigrams."""
     return langid.accepted(docs, langid.learn(docs))
 
 

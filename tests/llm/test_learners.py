@@ -264,6 +264,19 @@ def test_language_stage_drops_unknown_and_keeps_mixed(spark):
     assert one.fit(firsts["en"]) > 0.5 > max(map(one.fit, UNKNOWN))
 
 
+def test_language_stage_decodes_by_output_codes(spark, pipeline, monkeypatch):
+    """Codewords decide: without the check behind them all texts of known languages stay, without codewords or check none does."""
+    from dataclasses import replace
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = langid.learn(docs)
+    alone = replace(model, familiar=np.zeros(langid.SLOTS))
+    silent = replace(alone, weights=np.zeros_like(model.weights))
+    stage = lambda m: (monkeypatch.setattr(langid, "learn", lambda rows: m), pipeline.language_stage(spark, docs, DIR))[1]
+    assert stage(alone).count() == docs.filter("text rlike '[A-Za-z]'").count() > 0 and stage(silent).count() == 0
+    assert [t for t in UNKNOWN if alone.known(t) or model.known(t)] == []
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     import corpus_pipeline
