@@ -336,3 +336,17 @@ def test_rewrites_change_what_they_should():
     assert "Rs. 200 lakh" in made["order_and_figures.in_lakh"] and "INR 2,00,00,000" in made["order_and_figures.in_digits"]
     assert rewording.rewordings("How many works in Goa?")["order_and_figures.fronted"] == "In Goa, how many works?"
     assert rewording._grouped(1234567) == "12,34,567" and rewording._grouped(999) == "999" and made == rewording.rewordings("What is the average value of works outside Goa that cost more than INR 2 Cr?")
+
+
+def test_values_are_told_apart_only_where_a_question_opens_them(spark, monkeypatch):
+    """What is said is the same by the written index, and of an unwritten one only values that share two words with a question are told apart."""
+    rows = [(f"Water Board {k}", f"INV-{k}", "Goa" if k % 2 else "North Goa") for k in range(500)] + [("River Works of Goa Town", "INV-x", "9"), ("North Road", "a b", "north road")]
+    some = {"work": spark.createDataFrame(rows, "client string, work string, state string")}
+    questions = ["How many works of water board 7 in Goa?", "What of the river works of goa town north?", "Value of inv 12 on north road", "board", ""]
+    told, of = [], ValueIndex._told_apart
+    monkeypatch.setattr(ValueIndex, "_told_apart", staticmethod(lambda values: told.append(values) or of(values)))
+    index = ValueIndex.of(some)
+    said = index.said(questions)
+    whole = ValueIndex(index.whole, index.parts, index.held).said(questions)
+    assert said == whole and said[0]["work"]["client"]["water board 7"] == "Water Board 7" and said[1]["work"]
+    assert told[-1].filter("column = 'work'").count() <= 2 < 500 < told[0].filter("column = 'work'").count()
