@@ -175,3 +175,11 @@ def test_summaries_of_the_latest_report_are_read_once(spark):
     text = "FY {y}\nSEVEN-YEAR FINANCIAL SUMMARY\n2018-19\n{n}\n3\n-5\n2.5%\n2017-18\n4\n3\n-5\n1%\nANNEXURE"
     made = table(spark, "seven_year", DOC_AR_1=text.format(y=2020, n=7), DOC_AR_2=text.format(y=2021, n=8), DOC_AR_3=text.format(y=2021, n=8), DOC_AR_4="FY 2022\nnone", DOC_AR_5=text.format(y="x", n=9))
     assert sorted(rows(made, "year", "gross_billings", "margin")) == [(2017, 4, 1.0), (2017, 4, 1.0), (2018, 8, 2.5), (2018, 8, 2.5)]
+
+
+def test_statements_of_both_layouts_are_read_once(spark):
+    one = "FY 2020\nOpening balance b/f\n100\n2020-04-01\nFee\n10\n90\n2020-04-02\nSale\n50\n140\nend"
+    two = "FY 2020\n2020-04-01\nFee\n10\n0\n80\n2020-04-02\nSale\n0\n20\n100\nend"
+    made = table(spark, "bank_year", DOC_BANK_1=one, DOC_BANK_2=two, DOC_BANK_3=None, DOC_BANK_4="FY 2020")
+    assert rows(made, "doc", "opening", "deposits", "withdrawals", "closing", "net_movement", order="doc") == [("DOC-BANK-1", 100, 50, 10, 140, 40), ("DOC-BANK-2", None, 20, 10, 100, 100)]
+    assert passes_over_texts(made) == 1
