@@ -183,3 +183,15 @@ def test_statements_of_both_layouts_are_read_once(spark):
     made = table(spark, "bank_year", DOC_BANK_1=one, DOC_BANK_2=two, DOC_BANK_3=None, DOC_BANK_4="FY 2020")
     assert rows(made, "doc", "opening", "deposits", "withdrawals", "closing", "net_movement", order="doc") == [("DOC-BANK-1", 100, 50, 10, 140, 40), ("DOC-BANK-2", None, 20, 10, 100, 100)]
     assert passes_over_texts(made) == 1
+
+
+def test_figures_make_what_is_asked_for(spark):
+    """Readers look around numbers alone and make what is asked for; signs, units and other digits are read as before."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import norm
+
+    said = ["Rs. 1,234/- net", "-5 lakh and 7", "(12)", "x-3", "\u0663", "a.b", "", None, "INR -2.5 Cr"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(norm.number(F.col("t")), norm.money(F.col("t")), norm.figures(F.col("t"), "value").alias("v")).collect()
+    assert [(r[0], r[1]) for r in got] == [(1234, 1234), (-5, -500000), (-12, -12), (3, 3), (3, 3), (None, None), (None, None), (None, None), (-2, -25000000)]
+    assert got[1]["v"][0].asDict().keys() == {"value"}
