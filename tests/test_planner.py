@@ -350,3 +350,66 @@ def test_values_are_told_apart_only_where_a_question_opens_them(spark, monkeypat
     whole = ValueIndex(index.whole, index.parts, index.held).said(questions)
     assert said == whole and said[0]["work"]["client"]["water board 7"] == "Water Board 7" and said[1]["work"]
     assert told[-1].filter("column = 'work'").count() <= 2 < 500 < told[0].filter("column = 'work'").count()
+
+
+def test_what_fails_is_no_result(spark, known, vocabulary, tables, monkeypatch):
+    """A job that fails raises; a question that fails by itself, one that is refused and one whose answer can't be are told apart, and a strict batch raises for each."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans import answer
+
+    ask = lambda qs, ts=tables, **k: answer_all(spark, [(str(i), q, kind) for i, (q, kind) in enumerate(qs)], known, vocabulary, ts, **k)
+    total, bar = ("What is the total value of works in Goa?", None), ("How many works are worth more than INR 6 Cr?", None)
+    lost = dict(tables, work=tables["work"].withColumn("value", F.raise_error(F.lit("lost block")).cast("long")))
+    for kw in ({}, {"strict": True}):
+        with pytest.raises(Exception, match="lost block"):
+            ask([bar, ("How many bonds were there in 2021?", None)], lost, **kw).collect()
+    with pytest.raises(Exception, match="lost block"):
+        answer_one("q", *bar, known, vocabulary, lost)
+    compiling = answer.compile_question
+    monkeypatch.setattr(answer, "compile_question", lambda q, *a: 1 // 0 if "bonds" in q else compiling(q, *a))
+    odd = [("How many bonds were there in 2021?", None), ("How many purple works in Goa?", None), (total[0], "days"), (total[0], "weight"), ("What is the total value of works before 1990?", None), total]
+    rows = {r["qid"]: (r["answer"], r["source"], r["reason"].split(":")[0]) for r in ask(odd).collect()}
+    assert rows == {"0": (None, "failed", "ZeroDivisionError"), "1": (None, "", "not understood"), "2": (None, "plan", "no days"), "3": (None, "", "PlanError"), "4": (None, "plan", "nothing selected"), "5": (570_000_000.0, "plan", "")}
+    assert all((a.answer, a.source, a.reason.split(":")[0]) == rows[str(i)] for i, (q, k) in enumerate(odd) for a in [answer_one("q", q, k, known, vocabulary, tables)])
+    for i, said in enumerate(("0: ZeroDivisionError", "0: not understood: purple", "0: no days", "unknown type of answers")):
+        with pytest.raises(Exception, match=said):
+            ask([odd[i], total], strict=True).collect()
+    assert [r["answer"] for r in ask(odd[4:], strict=True).sort("qid").collect()] == [None, 570_000_000.0]
+
+
+def test_a_plan_that_cannot_be_probed_fails_alone(spark, known, vocabulary, tables):
+    """A bar that its column can't be compared with is found before any job: its question fails, the others of the table are answered."""
+    from pyspark.sql import functions as F
+
+    odd = dict(tables, bond=tables["bond"].withColumn("amount", F.array("amount")))
+    rows = answer_all(spark, [("a", "How many bonds have an amount of more than INR 6?", None), ("b", "How many bonds were there in 2021?", None)], known, vocabulary, odd).collect()
+    assert {r["qid"]: (r["answer"], r["source"], r["reason"].split(":")[0]) for r in rows} == {"a": (None, "failed", "AnalysisException"), "b": (2.0, "plan", "")}
+
+
+def test_counts_and_sums_of_any_size(spark, known, vocabulary, tables):
+    """Ten million rows, amounts over a quadrillion and more collected than billed are answers; a unit's bounds hold where the plan doesn't make the unit."""
+    many = dict(tables, work=spark.range(10_000_001).selectExpr("2 * 1000000000L AS value", "'Goa' AS state", "DATE '2020-01-01' AS completed", "2020 AS year"))
+    questions = [("n", "How many works in Goa?", None), ("s", "What is the total value of works in Goa?", None), ("d", "How many works in Goa?", "days"), ("c", "What percentage of the invoiced amount was collected from City Metro Rail?", None)]
+    rows = {r["qid"]: (r["answer"], r["reason"]) for r in answer_all(spark, questions, known, vocabulary, dict(many, invoice=tables["invoice"].selectExpr("* except (received)", "3 * received AS received"))).collect()}
+    assert rows == {"n": (10_000_001.0, ""), "s": (20_000_002_000_000_000.0, ""), "d": (None, "no days: 1.0000001E7"), "c": (300.0, "")}
+
+
+def test_a_batch_answers_what_no_row_holds(spark, tmp_path):
+    """Works of one category, all cheap, some far off: values that no row has, bars that keep none, and days of many centuries are answered as the SQL does."""
+    from pathlib import Path
+
+    import duckdb
+
+    from tessera import catalog
+
+    catalog.queries()
+    c = duckdb.connect()
+    for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        odd = "o_orderkey, o_custkey, o_orderstatus, o_totalprice / 1000 AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '9999-12-31' ELSE o_orderdate END AS o_orderdate, o_orderpriority"
+        what = f"SELECT {odd} FROM '{f}' WHERE o_orderpriority = '3-MEDIUM'" if f.stem == "orders" else f"SELECT * FROM '{f}'"
+        c.sql(f"COPY ({what}) TO '{tmp_path}/{f.name}' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{tmp_path}/{f.name}'")
+    want = dict(c.sql(catalog.SQL["answer_batch"]).fetchall())
+    assert want["ask_bar"] == 0 and want["ask_besides"] > 0 and want["ask_epoch"] > 1e6
+    assert {r["qid"]: r["answer"] for r in catalog.QUERIES["answer_batch"](spark, str(tmp_path)).collect()} == want
